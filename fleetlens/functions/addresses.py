@@ -6,6 +6,8 @@ equality on a prefix of the digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ _V6_TEXT = (
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, where the body mentions it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _v4_bits(ip: Column) -> Column:
     octets = F.split(ip, r"\.")
     return F.concat(*[F.lpad(F.bin(F.get(octets, F.lit(i)).try_cast("bigint")), 8, "0") for i in range(4)])
@@ -48,18 +55,23 @@ def _hex_digits(groups: Column) -> Column:
 
 
 def _v6_bits(ip: Column) -> Column:
-    plain = F.when(ip.contains("."), _tail_to_groups(ip)).otherwise(ip)
-    halves = F.split(plain, "::", -1)
-    left = F.get(halves, F.lit(0))
-    right = F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+    return bound(F.when(ip.contains("."), _tail_to_groups(ip)).otherwise(ip), _plain_v6_bits)
+
+
+def _plain_v6_bits(ip: Column) -> Column:
+    left = F.substring_index(ip, "::", 1)
+    right = F.substr(ip, F.length(left) + 3)
     given = _group_count(left) + _group_count(right)
+    whole = F.when(ip.contains("::"), given <= 7).otherwise(given == 8)
     digits = F.concat(_hex_digits(left), F.repeat(F.lit("0000"), 8 - given), _hex_digits(right))
-    bits = F.concat(
-        F.lpad(F.conv(digits.substr(1, 16), 16, 2), 64, "0"),
-        F.lpad(F.conv(digits.substr(17, 16), 16, 2), 64, "0"),
+    bits = bound(
+        digits,
+        lambda hex32: F.concat(
+            F.lpad(F.conv(hex32.substr(1, 16), 16, 2), 64, "0"),
+            F.lpad(F.conv(hex32.substr(17, 16), 16, 2), 64, "0"),
+        ),
     )
-    whole = F.when(F.size(halves) == 2, given <= 7).otherwise(given == 8)
-    return F.when(plain.rlike(_V6_TEXT) & whole, bits)
+    return F.when(ip.rlike(_V6_TEXT) & whole, bits)
 
 
 def ip_family(ip: Column) -> Column:
@@ -78,19 +90,25 @@ def net_parts(cidr: Column) -> Column:
     A missing mask means the whole address; a mask beyond the address width means the same.
     """
     parts = F.split(F.regexp_replace(cidr, r"(?d)^([0-9a-f:.]+)(?:/(\d{1,3}))?$", "$1\n$2"), "\n", -1)
+    return bound(parts, _checked_net)
+
+
+def _checked_net(parts: Column) -> Column:
     address = F.when(F.size(parts) == 2, F.get(parts, F.lit(0)))
-    bits = ip_bits(address)
     mask = F.when(F.get(parts, F.lit(1)) != "", F.get(parts, F.lit(1)).try_cast("int"))
-    width = F.length(bits)
-    prefix_len = F.least(F.coalesce(mask, width), width)
-    return F.when(
-        bits.isNotNull(),
-        F.struct(
-            ip_family(address).alias("family"),
-            prefix_len.alias("prefix_len"),
-            F.substring(bits, F.lit(1), prefix_len).alias("bits"),
-        ),
-    )
+
+    def net(bits: Column) -> Column:
+        prefix_len = F.least(F.coalesce(mask, F.length(bits)), F.length(bits))
+        return F.when(
+            bits.isNotNull(),
+            F.struct(
+                ip_family(address).alias("family"),
+                prefix_len.alias("prefix_len"),
+                F.substring(bits, F.lit(1), prefix_len).alias("bits"),
+            ),
+        )
+
+    return bound(bound(address, ip_bits), net)
 
 
 def net_bits(cidr: Column) -> Column:

@@ -160,12 +160,9 @@ def join_group_facts(
     """
     hot = facts.where(F.col(n) > hot_rows).select(key, F.lit(True).alias("_hot"))
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*identity), F.lit(spread))).otherwise(F.lit(0))
+        "_salt",
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(*identity), F.lit(spread))).otherwise(0).cast("bigint"),
     )
-    copies = F.when(F.col(n) > hot_rows, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_facts = facts.select("*", F.explode(copies).cast("bigint").alias("_salt"))
-    return salted_rows.withColumn("_salt", F.col("_salt").cast("bigint")).join(
-        salted_facts, [key, "_salt"], how
-    ).drop("_hot", "_salt")
+    last = F.when(F.col(n) > hot_rows, spread - 1).otherwise(0).cast("bigint")
+    salted_facts = facts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_salt"))
+    return salted_rows.join(salted_facts, [key, "_salt"], how).drop("_hot", "_salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.access import apply_filters, label_access, parse_access, parse_request, prefilter_lines
@@ -40,8 +40,12 @@ FIELDS = "event_id stamp peer ip user proto date time req status size referer ag
 FIELDS_SQL = ", ".join(f'"{f}"' for f in FIELDS)
 
 
+def _lines(spark: SparkSession, sf_dir: str, closing: Column | None = None) -> DataFrame:
+    return access_lines(table(spark, sf_dir, "events", "event_id"), closing)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, _ = parse_access(route_lines(access_lines(table(spark, sf_dir, "events")))[0])
+    records, _ = parse_access(route_lines(_lines(spark, sf_dir))[0])
     return records
 
 
@@ -61,7 +65,7 @@ def access_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def access_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.when(F.col("event_id") % 11 == 0, "").otherwise("]")
-    _, rejects = parse_access(access_lines(table(spark, sf_dir, "events"), damaged))
+    _, rejects = parse_access(_lines(spark, sf_dir, damaged))
     return rejects.select("event_id", "file_path", "stage")
 
 
@@ -105,7 +109,7 @@ def access_filter_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = [
         "status=404,500", "minsize=1000000", "maxsize=20000000", "url=sign,?k=1", "ip=10.", "time=0,12:",
     ]
-    lines = prefilter_lines(route_lines(access_lines(table(spark, sf_dir, "events")))[0], filters)
+    lines = prefilter_lines(route_lines(_lines(spark, sf_dir))[0], filters)
     records, _ = parse_access(lines)
     return _as_seconds(apply_filters(records, filters)).select(*FIELDS)
 
@@ -125,7 +129,11 @@ def access_filter_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_seconds(apply_filters(_records(spark, sf_dir), filters)).select(*FIELDS)
 
 
-LABELS_SQL = """
+def labels_sql(net: str | None = None) -> str:
+    """The display classes of the access columns; ``net`` is the network label column, if any."""
+    flag = f"CASE WHEN {net} IS NOT NULL THEN '@' WHEN peer <> '' THEN '>' ELSE '' END"
+    plain_flag = "CASE WHEN peer <> '' THEN '>' ELSE '' END"
+    return f"""
   CASE WHEN status = 200 THEN 'ok' WHEN status // 100 = 2 THEN 'success'
     WHEN status // 100 = 3 THEN 'redirect' ELSE 'problem' END AS status_class,
   CASE WHEN size = 0 THEN '  - ' WHEN size / 1024.0 < 0.5 THEN '  < '
@@ -138,12 +146,12 @@ LABELS_SQL = """
     ELSE printf('%4ds ', round(duration_ms / 1000.0)::BIGINT) END AS duration_label,
   CASE WHEN duration_ms >= 10000 THEN 'critical' WHEN duration_ms > 1499 THEN 'slow'
     WHEN duration_ms > 299 THEN 'warn' ELSE 'normal' END AS duration_band,
-  CASE WHEN peer <> '' THEN '>' ELSE '' END AS origin_flag,
-  ip AS client, CASE WHEN proto = '' THEN 'PLAIN' ELSE proto END AS protocol
+  {flag if net else plain_flag} AS origin_flag,
+  {f"coalesce({net}, ip)" if net else "ip"} AS client, CASE WHEN proto = '' THEN 'PLAIN' ELSE proto END AS protocol
 """
 
 
-@query("access_labels", f"{ACCESS_SQL} SELECT event_id, {LABELS_SQL} FROM access")
+@query("access_labels", f"{ACCESS_SQL} SELECT event_id, {labels_sql()} FROM access")
 def access_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_access(_records(spark, sf_dir)).select(
         "event_id", "status_class", "size_label", "duration_label", "duration_band", "origin_flag",
@@ -186,17 +194,17 @@ placed AS (
 
 @query("line_offsets", f"{LINE_SQL} SELECT event_id, line, line_offset FROM placed")
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = with_offsets(access_lines(table(spark, sf_dir, "events")), "line_offset")
+    placed = with_offsets(_lines(spark, sf_dir), "line_offset")
     return placed.select("event_id", F.col("value").alias("line"), "line_offset")
 
 
 @query("tail_bytes", f"{LINE_SQL} SELECT event_id, line FROM placed WHERE line_offset >= file_size - 2048")
 def tail_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = tail_bytes(access_lines(table(spark, sf_dir, "events")), "2k")
+    tail = tail_bytes(_lines(spark, sf_dir), "2k")
     return tail.select("event_id", F.col("value").alias("line"))
 
 
 @query("tail_lines", f"{LINE_SQL} SELECT event_id, line FROM placed WHERE from_end <= 5")
 def tail_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = tail_lines(access_lines(table(spark, sf_dir, "events")))
+    tail = tail_lines(_lines(spark, sf_dir))
     return tail.select("event_id", F.col("value").alias("line"))

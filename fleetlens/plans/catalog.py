@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlens.plans import access_queries  # noqa: F401
+from fleetlens.plans import access_queries, error_queries, mail_queries, network_queries  # noqa: F401
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,5 +24,14 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    """A test table. With ``key``, a table of fewer scan splits than cores is spread over the cores.
+
+    A small table comes as one row group, which one task would read and process alone. Large tables
+    have more splits than cores and are read as they are, without this shuffle.
+    """
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if key and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, *key)
+    return rows

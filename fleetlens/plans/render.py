@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
-
+from fleetlens.functions.matching import held
 
-def _long(text: str) -> Column:
-    return F.expr(text).cast("bigint")
+BLOCK_ROWS = 4096
 
 
 def as_lines(df: DataFrame, file_path: Column, seq: Column, value: Column, *keep: str) -> DataFrame:
@@ -24,10 +22,11 @@ def as_lines(df: DataFrame, file_path: Column, seq: Column, value: Column, *keep
         file_path.alias("file_path"),
         F.call_function("div", seq.cast("bigint"), F.lit(BLOCK_ROWS).cast("bigint")).alias("block_start"),
         seq.cast("bigint").alias("seq"),
-        value.alias("value"),
         *keep,
+        value.alias("value"),
     )
-    return rows.withColumn("n_bytes", F.octet_length("value").cast("bigint") + 1)
+    # Held, so that filters on the text do not render it again, as they would not with a scanned line.
+    return held(rows, value=F.col("value")).withColumn("n_bytes", F.octet_length("value").cast("bigint") + 1)
 
 
 def event_ip() -> Column:
@@ -92,3 +91,139 @@ def access_lines(events: DataFrame, closing: Column | None = None) -> DataFrame:
         access_line(closing),
         "event_id",
     )
+
+
+def error_line() -> Column:
+    """One error-log line per row of ``events``; some are damaged in one of three ways."""
+    return F.concat(
+        F.lit("["),
+        F.date_format("ts", "EEE "),
+        F.expr("CASE WHEN event_id % 31 = 30 THEN 'Xyz' ELSE date_format(ts, 'MMM') END"),
+        F.date_format("ts", " dd HH:mm:ss.SSSSSS yyyy"),
+        F.expr(
+            """concat('] [', CASE event_id % 5 WHEN 0 THEN 'ssl' WHEN 1 THEN 'core' WHEN 2 THEN 'php7'
+               WHEN 3 THEN '' ELSE 'reqtimeout' END,
+               CASE WHEN event_id % 2 = 0 THEN ':info] ' ELSE ':error] ' END,
+               CASE WHEN event_id % 37 = 36 THEN '[' ELSE '[pid ' END, 1000 + user_id,
+               CASE WHEN event_id % 4 = 0 THEN concat(':tid ', event_id * 31) ELSE '' END, '] ')"""
+        ),
+        F.when(F.expr("event_id % 3 = 0"), "").otherwise(
+            F.concat(
+                F.lit("[client "),
+                F.when(F.expr("event_id % 29 = 28"), "10.0.0.1").otherwise(
+                    F.concat(event_ip(), F.expr("concat(':', 1024 + event_id % 60000)"))
+                ),
+                F.lit("] "),
+            )
+        ),
+        F.expr(
+            """CASE event_id % 9 WHEN 0 THEN concat('AH01964: Connection to child ', event_id, ' established')
+               WHEN 1 THEN 'AH01998: Connection closed to child' WHEN 2 THEN 'AH01991: SSL input filter'
+               WHEN 3 THEN 'AH01993: SSL output filter' WHEN 4 THEN 'AH01382: Request header read timeout'
+               WHEN 5 THEN "script '/srv/a.php' not found or unable to stat"
+               WHEN 6 THEN 'AH00128: File does not exist: /srv/b'
+               WHEN 7 THEN concat('  Notice:  undefined index k', event_id, ' ')
+               ELSE 'late AH01382: not at the start' END"""
+        ),
+    )
+
+
+def error_lines(events: DataFrame) -> DataFrame:
+    """One error log per web server of ten."""
+    file_path = F.expr("concat('error/web', user_id % 10)")
+    return as_lines(events, file_path, F.col("event_id"), error_line(), "event_id")
+
+
+def message_id(key: str) -> Column:
+    return F.upper(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 10))
+
+
+def mail_line() -> Column:
+    """One mail-log line per row of ``lineitem``: all message kinds, other texts, and bad months."""
+    kind = "(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 18"
+    return F.concat(
+        F.expr(f"CASE WHEN {kind} = 17 THEN 'Xxx' ELSE date_format(l_shipdate, 'MMM') END"),
+        F.lit(" "),
+        F.lpad(F.date_format("l_shipdate", "d"), 2, " "),
+        F.expr(
+            """concat(' ', lpad(l_suppkey % 24, 2, '0'), ':', lpad(l_partkey % 60, 2, '0'), ':',
+               lpad(l_orderkey % 60, 2, '0'), ' mx', l_suppkey % 50, ' ')"""
+        ),
+        F.expr(
+            f"""CASE WHEN {kind} BETWEEN 10 AND 12 THEN 'dovecot: '
+                WHEN {kind} = 6 THEN concat('policyd-spf(', l_linenumber, '): ')
+                ELSE concat('postfix/smtpd[', l_partkey, ']: ') END"""
+        ),
+        mail_message(
+            kind,
+            "concat('h', l_partkey, '.example.org')",
+            "concat('10.', l_suppkey % 250, '.', l_partkey % 250, '.', l_linenumber)",
+            message_id("l_orderkey"),
+        ),
+    )
+
+
+def mail_message(kind: str, host: str, ip: str, msgid: Column) -> Column:
+    texts = [
+        f"concat('warning: hostname ', {host}, ' does not resolve to address ', {ip}, "
+        "CASE WHEN l_linenumber % 2 = 0 THEN ': Name or service not known' ELSE '' END)",
+        f"concat('connect from ', {host}, '[', {ip}, ']')",
+        f"concat('warning: unknown[', {ip}, ']: SASL LOGIN authentication failed: UGFz')",
+        f"concat('lost connection after AUTH from unknown[', {ip}, ']')",
+        f"concat('timeout after DATA from ', {host}, '[', {ip}, ']')",
+        f"concat('disconnect from ', {host}, '[', {ip}, '] ehlo=1 commands=', l_linenumber)",
+        f"concat('Pass; identity=mailfrom; client-ip=', {ip}, '; helo=', {host}, "
+        "'; envelope-from=a@example.org; receiver=b@example.net')",
+        f"concat('NOQUEUE: reject: RCPT from unknown[', {ip}, ']: 550 5.7.1 rejected')",
+        f"concat(': client=', {host}, '[', {ip}, '], sasl_method=LOGIN')",
+        "concat(': from=<a@example.org>, size=', l_partkey, ', nrcpt=1 (queue active)')",
+        f"concat(CASE WHEN l_linenumber % 2 = 0 THEN 'auth: passwd-file' ELSE 'auth-worker(9): sql' END, "
+        f"'(user', l_suppkey, ',', {ip}, '): unknown user')",
+        f"concat('auth: login(user,', {ip}, '): Request timed out waiting for client to continue "
+        "authentication (150 secs)')",
+        f"concat('auth: login(?,', {ip}, '): Username character disallowed by auth_username_chars: "
+        "0x7d (username: }x)')",
+        "concat('statistics: max connection rate ', l_linenumber, '/60s for (smtp:10.0.0.1) at Feb  8')",
+        "concat('statistics: max connection count ', l_linenumber, ' for (smtp:10.0.0.1) at Feb  8')",
+        "concat('statistics: max cache size ', l_linenumber, ' at Feb  8')",
+        "concat('statistics: other text ', l_partkey)",
+        "'never seen'",
+    ]
+    branches = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(texts))
+    text = F.expr(f"CASE {kind} {branches} END")
+    return F.concat(F.when(F.expr(f"{kind} IN (8, 9)"), msgid).otherwise(""), text)
+
+
+def mail_lines(lineitem: DataFrame) -> DataFrame:
+    """One mail log per supplier."""
+    return as_lines(
+        lineitem,
+        F.expr("concat('mail/mx', l_suppkey % 50)"),
+        F.col("l_orderkey"),
+        mail_line(),
+        "l_orderkey",
+        "l_linenumber",
+    )
+
+
+def session_line() -> Column:
+    """One mail-log line per row of ``events``: message ids with and without a client row."""
+    return F.concat(
+        F.date_format("ts", "MMM d HH:mm:ss"),
+        F.expr("concat(' mx', user_id % 3, ' postfix/smtpd[', user_id, ']: ')"),
+        F.when(F.expr("event_type IN ('signup', 'click', 'view')"), message_id("user_id")).otherwise(""),
+        F.expr(
+            """CASE event_type
+               WHEN 'signup' THEN CASE WHEN user_id % 7 = 0 THEN ': no client'
+                 ELSE concat(': client=h', user_id, '[10.', event_id % 200, '.0.', user_id % 250, ']') END
+               WHEN 'purchase' THEN concat('connect from h', user_id, '[10.0.0.', user_id % 250, ']')
+               WHEN 'error' THEN concat('statistics: max cache size ', event_id, ' at Feb  8')
+               ELSE concat(': ', event_type, ' ', event_id) END"""
+        ),
+    )
+
+
+def session_lines(events: DataFrame) -> DataFrame:
+    """One mail log per host of three."""
+    file_path = F.expr("concat('mail/mx', user_id % 3)")
+    return as_lines(events, file_path, F.col("event_id"), session_line(), "event_id")
