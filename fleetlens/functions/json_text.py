@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The nesting limit, the integer range, and the decimal exponents written plainly.
 MAX_DEPTH = 512
@@ -62,6 +63,6 @@ def pretty(text: str | None) -> str | None:
         return "null"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_pretty(texts: pd.Series) -> pd.Series:
     return texts.map(pretty)

@@ -59,6 +59,8 @@ MAIL_KINDS = (
     ("anvil_stats_2", r"statistics: max connection count \d+ for \(.*\) at .*", "", "", "", "info"),
     ("anvil_stats_3", r"statistics: max cache size \d+ at .*", "", "", "", "info"),
 )
+# Patterns per generated method; all of them in one make a method too long to be compiled.
+_KINDS_PER_STEP = 4
 UNPARSED = "unparsed"
 UNKNOWN_ADDRESS = "**UNKNOWN**"
 
@@ -108,8 +110,11 @@ def classify_mail(records: DataFrame) -> DataFrame:
     One replacement per kind runs over the message; the first that matches packs its fields. The
     address of ``msg_generic`` rows is left null for :func:`enrich_msgid`.
     """
-    packed = reduce(_packed, MAIL_KINDS, F.col("message"))
-    rows = held(records, p=F.split(packed, SEPARATOR, -1))
+    rows = records.withColumn("_packed", F.col("message"))
+    for start in range(0, len(MAIL_KINDS), _KINDS_PER_STEP):
+        kinds = MAIL_KINDS[start : start + _KINDS_PER_STEP]
+        rows = held(rows, _packed=reduce(_packed, kinds, F.col("_packed")))
+    rows = held(rows, p=F.split("_packed", SEPARATOR, -1))
     found = F.size("p") > 1
     name, address, msgid, content, severity, reason = (F.get("p", F.lit(i)) for i in range(6))
     return rows.select(

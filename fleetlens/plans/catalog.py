@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from fleetlens.plans import access_queries, error_queries, mail_queries, network_queries  # noqa: F401
+from fleetlens.plans import (  # noqa: F401
+    access_queries,
+    content_queries,
+    error_queries,
+    host_queries,
+    mail_queries,
+    network_queries,
+)
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -128,7 +128,7 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse, filter, look up, mark sections and label: the whole access-log report."""
     lines, _ = route_lines(access_lines(table(spark, sf_dir, "events", "event_id")))
     records = apply_filters(parse_access(lines)[0], ["status=404,500", "minsize=1000000"])
-    marked = mark_sections(lookup_network(records, "ip", networks(spark, sf_dir)))
+    marked = lookup_network(mark_sections(records), "ip", networks(spark, sf_dir))
     return label_access(marked, "net_label").select(
         "event_id", "date", "time", "req", "referer", "agent", "status_class", "size_label", "duration_label",
         "duration_band", "origin_flag", "client", "protocol", "new_section",

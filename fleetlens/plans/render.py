@@ -37,8 +37,8 @@ def event_ip() -> Column:
 
 
 def access_line(closing: Column | None = None) -> Column:
-    """One access-log line per row of ``events``."""
-    ip = event_ip()
+    """One access-log line per row of ``events`` with its ``ip``."""
+    ip = F.col("ip")
     peer = (
         F.when(F.expr("event_id % 5 = 0"), F.concat(ip, F.lit(">")))
         .when(F.expr("event_id % 5 = 1"), F.expr("concat('172.16.0.', event_id % 250, '>')"))
@@ -85,7 +85,7 @@ def access_request() -> Column:
 def access_lines(events: DataFrame, closing: Column | None = None) -> DataFrame:
     """One log file per user."""
     return as_lines(
-        events,
+        held(events, ip=event_ip()),
         F.concat(F.lit("access/"), F.col("user_id").cast("string")),
         F.col("event_id"),
         access_line(closing),
@@ -111,7 +111,7 @@ def error_line() -> Column:
             F.concat(
                 F.lit("[client "),
                 F.when(F.expr("event_id % 29 = 28"), "10.0.0.1").otherwise(
-                    F.concat(event_ip(), F.expr("concat(':', 1024 + event_id % 60000)"))
+                    F.concat(F.col("ip"), F.expr("concat(':', 1024 + event_id % 60000)"))
                 ),
                 F.lit("] "),
             )
@@ -131,76 +131,79 @@ def error_line() -> Column:
 def error_lines(events: DataFrame) -> DataFrame:
     """One error log per web server of ten."""
     file_path = F.expr("concat('error/web', user_id % 10)")
-    return as_lines(events, file_path, F.col("event_id"), error_line(), "event_id")
+    rows = held(events, ip=event_ip())
+    return as_lines(rows, file_path, F.col("event_id"), error_line(), "event_id")
 
 
 def message_id(key: str) -> Column:
     return F.upper(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 10))
 
 
-def mail_line() -> Column:
-    """One mail-log line per row of ``lineitem``: all message kinds, other texts, and bad months."""
-    kind = "(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 18"
-    return F.concat(
-        F.expr(f"CASE WHEN {kind} = 17 THEN 'Xxx' ELSE date_format(l_shipdate, 'MMM') END"),
-        F.lit(" "),
-        F.lpad(F.date_format("l_shipdate", "d"), 2, " "),
-        F.expr(
-            """concat(' ', lpad(l_suppkey % 24, 2, '0'), ':', lpad(l_partkey % 60, 2, '0'), ':',
-               lpad(l_orderkey % 60, 2, '0'), ' mx', l_suppkey % 50, ' ')"""
-        ),
-        F.expr(
-            f"""CASE WHEN {kind} BETWEEN 10 AND 12 THEN 'dovecot: '
-                WHEN {kind} = 6 THEN concat('policyd-spf(', l_linenumber, '): ')
-                ELSE concat('postfix/smtpd[', l_partkey, ']: ') END"""
-        ),
-        mail_message(
-            kind,
-            "concat('h', l_partkey, '.example.org')",
-            "concat('10.', l_suppkey % 250, '.', l_partkey % 250, '.', l_linenumber)",
-            message_id("l_orderkey"),
-        ),
-    )
-
-
-def mail_message(kind: str, host: str, ip: str, msgid: Column) -> Column:
-    texts = [
-        f"concat('warning: hostname ', {host}, ' does not resolve to address ', {ip}, "
-        "CASE WHEN l_linenumber % 2 = 0 THEN ': Name or service not known' ELSE '' END)",
-        f"concat('connect from ', {host}, '[', {ip}, ']')",
-        f"concat('warning: unknown[', {ip}, ']: SASL LOGIN authentication failed: UGFz')",
-        f"concat('lost connection after AUTH from unknown[', {ip}, ']')",
-        f"concat('timeout after DATA from ', {host}, '[', {ip}, ']')",
-        f"concat('disconnect from ', {host}, '[', {ip}, '] ehlo=1 commands=', l_linenumber)",
-        f"concat('Pass; identity=mailfrom; client-ip=', {ip}, '; helo=', {host}, "
-        "'; envelope-from=a@example.org; receiver=b@example.net')",
-        f"concat('NOQUEUE: reject: RCPT from unknown[', {ip}, ']: 550 5.7.1 rejected')",
-        f"concat(': client=', {host}, '[', {ip}, '], sasl_method=LOGIN')",
-        "concat(': from=<a@example.org>, size=', l_partkey, ', nrcpt=1 (queue active)')",
-        f"concat(CASE WHEN l_linenumber % 2 = 0 THEN 'auth: passwd-file' ELSE 'auth-worker(9): sql' END, "
-        f"'(user', l_suppkey, ',', {ip}, '): unknown user')",
-        f"concat('auth: login(user,', {ip}, '): Request timed out waiting for client to continue "
-        "authentication (150 secs)')",
-        f"concat('auth: login(?,', {ip}, '): Username character disallowed by auth_username_chars: "
-        "0x7d (username: }x)')",
-        "concat('statistics: max connection rate ', l_linenumber, '/60s for (smtp:10.0.0.1) at Feb  8')",
-        "concat('statistics: max connection count ', l_linenumber, ' for (smtp:10.0.0.1) at Feb  8')",
-        "concat('statistics: max cache size ', l_linenumber, ' at Feb  8')",
-        "concat('statistics: other text ', l_partkey)",
-        "'never seen'",
-    ]
-    branches = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(texts))
-    text = F.expr(f"CASE {kind} {branches} END")
-    return F.concat(F.when(F.expr(f"{kind} IN (8, 9)"), msgid).otherwise(""), text)
+# Message texts by kind number; all of the columns they use are held by mail_lines.
+MAIL_MESSAGES = (
+    """concat('warning: hostname ', h, ' does not resolve to address ', ip,
+       CASE WHEN l_linenumber % 2 = 0 THEN ': Name or service not known' ELSE '' END)""",
+    "concat('connect from ', h, '[', ip, ']')",
+    "concat('warning: unknown[', ip, ']: SASL LOGIN authentication failed: UGFz')",
+    "concat('lost connection after AUTH from unknown[', ip, ']')",
+    "concat('timeout after DATA from ', h, '[', ip, ']')",
+    "concat('disconnect from ', h, '[', ip, '] ehlo=1 commands=', l_linenumber)",
+    """concat('Pass; identity=mailfrom; client-ip=', ip, '; helo=', h,
+       '; envelope-from=a@example.org; receiver=b@example.net')""",
+    "concat('NOQUEUE: reject: RCPT from unknown[', ip, ']: 550 5.7.1 rejected')",
+    "concat(id, ': client=', h, '[', ip, '], sasl_method=LOGIN')",
+    "concat(id, ': from=<a@example.org>, size=', l_partkey, ', nrcpt=1 (queue active)')",
+    """concat(CASE WHEN l_linenumber % 2 = 0 THEN 'auth: passwd-file' ELSE 'auth-worker(9): sql' END,
+       '(user', l_suppkey, ',', ip, '): unknown user')""",
+    """concat('auth: login(user,', ip,
+       '): Request timed out waiting for client to continue authentication (150 secs)')""",
+    """concat('auth: login(?,', ip,
+       '): Username character disallowed by auth_username_chars: 0x7d (username: }x)')""",
+    "concat('statistics: max connection rate ', l_linenumber, '/60s for (smtp:10.0.0.1) at Feb  8')",
+    "concat('statistics: max connection count ', l_linenumber, ' for (smtp:10.0.0.1) at Feb  8')",
+    "concat('statistics: max cache size ', l_linenumber, ' at Feb  8')",
+    "concat('statistics: other text ', l_partkey)",
+    "'never seen'",
+)
+_MESSAGES_PER_STEP = 6
 
 
 def mail_lines(lineitem: DataFrame) -> DataFrame:
-    """One mail log per supplier."""
-    return as_lines(
+    """One mail log per supplier: all message kinds, other texts, and bad months."""
+    rows = held(
         lineitem,
+        k=F.expr("(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 18"),
+        h=F.expr("concat('h', l_partkey, '.example.org')"),
+        ip=F.expr("concat('10.', l_suppkey % 250, '.', l_partkey % 250, '.', l_linenumber)"),
+        id=message_id("l_orderkey"),
+        text=F.lit(""),
+    )
+    for start in range(0, len(MAIL_MESSAGES), _MESSAGES_PER_STEP):
+        texts = enumerate(MAIL_MESSAGES[start : start + _MESSAGES_PER_STEP], start)
+        branches = " ".join(f"WHEN {kind} THEN {text}" for kind, text in texts)
+        rows = held(rows, text=F.expr(f"CASE k {branches} ELSE text END"))
+    head = held(
+        rows,
+        head=F.concat(
+            F.when(F.col("k") == 17, "Xxx").otherwise(F.date_format("l_shipdate", "MMM")),
+            F.lit(" "),
+            F.lpad(F.date_format("l_shipdate", "d"), 2, " "),
+            F.expr(
+                """concat(' ', lpad(l_suppkey % 24, 2, '0'), ':', lpad(l_partkey % 60, 2, '0'), ':',
+                   lpad(l_orderkey % 60, 2, '0'), ' mx', l_suppkey % 50, ' ')"""
+            ),
+        ),
+    )
+    process = F.expr(
+        """CASE WHEN k BETWEEN 10 AND 12 THEN 'dovecot: '
+           WHEN k = 6 THEN concat('policyd-spf(', l_linenumber, '): ')
+           ELSE concat('postfix/smtpd[', l_partkey, ']: ') END"""
+    )
+    return as_lines(
+        head,
         F.expr("concat('mail/mx', l_suppkey % 50)"),
         F.col("l_orderkey"),
-        mail_line(),
+        F.concat(F.col("head"), process, F.col("text")),
         "l_orderkey",
         "l_linenumber",
     )
@@ -227,3 +230,154 @@ def session_lines(events: DataFrame) -> DataFrame:
     """One mail log per host of three."""
     file_path = F.expr("concat('mail/mx', user_id % 3)")
     return as_lines(events, file_path, F.col("event_id"), session_line(), "event_id")
+
+
+def document_files(documents: DataFrame) -> DataFrame:
+    """Documents as files of a tree per source, hashed in the pass that reads their text."""
+    return documents.select(
+        F.col("source").alias("root"),
+        F.expr("concat(lang, '/', doc_id, '.txt')").alias("subpath"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"),
+        F.md5("text").alias("md5"),
+        "doc_id",
+    )
+
+
+def document_lines(documents: DataFrame) -> DataFrame:
+    """All documents as one file, in order; each document is one block of it."""
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "value"))
+    return rows.select(
+        F.lit("history").alias("file_path"),
+        F.col("doc_id").alias("block_start"),
+        F.col("pos").cast("bigint").alias("seq"),
+        (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
+        "value",
+    )
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """Pages as files of a tree per web host."""
+    path = F.regexp_replace("url", r"(?d)^[a-z]+://[^/]+/|[?#].*$", "")
+    return pages.select(
+        F.split("url", "/")[2].alias("root"),
+        path.alias("subpath"),
+        F.octet_length("html").cast("bigint").alias("size"),
+    )
+
+
+def _with_header(lines: DataFrame, header: str) -> DataFrame:
+    """Put a header line before the first line of each file."""
+    first = lines.select("file_path").distinct().select(
+        "file_path", F.lit(0).cast("bigint").alias("block_start"), F.lit(-1).cast("bigint").alias("seq"),
+        F.lit(header).alias("value"),
+    )
+    return lines.unionByName(first, allowMissingColumns=True)
+
+
+def disk_lines(supplier: DataFrame) -> DataFrame:
+    """Three mounts per supplier: a container (for three of four), its overlay, and a plain one."""
+    mounts = supplier.select(
+        "s_suppkey",
+        F.expr("concat('h', s_nationkey)").alias("host"),
+        F.expr("cast(abs(s_acctbal) * 100 AS bigint)").alias("size"),
+        F.expr(
+            """posexplode(array(
+                 CASE WHEN s_suppkey % 4 > 0 THEN concat('/var/lib/docker/containers/',
+                   sha2(concat('c', s_suppkey), 256), '/mounts/shm') ELSE concat('/data/', s_suppkey) END,
+                 concat('/var/lib/docker/overlay2/', sha2(concat('o', s_suppkey), 256), '/merged'),
+                 concat('/srv/', s_suppkey)))"""
+        ).alias("n", "mount"),
+    )
+    value = F.expr(
+        """concat('/dev/sd', n, '   ext4   ', size, ' ', size div 2, '  ', size - size div 2, ' 50%   ', mount)"""
+    )
+    lines = as_lines(mounts, F.col("host"), F.col("s_suppkey") * 3 + F.col("n"), value, "host")
+    blank = lines.select("file_path", "host").distinct().select(
+        "file_path", "host", F.lit(2**40).alias("block_start"), F.lit(2**52).alias("seq"), F.lit("").alias("value")
+    )
+    lines = _with_header(lines.unionByName(blank, allowMissingColumns=True),
+                         "Filesystem Type 1M-blocks Used Available Use% Mounted on")
+    return lines.withColumn("host", F.col("file_path"))
+
+
+def container_meta(supplier: DataFrame) -> DataFrame:
+    """Inspect output of one container per supplier."""
+    return supplier.select(
+        F.expr("concat('h', s_nationkey)").alias("host"),
+        F.expr(
+            """concat('[{"Id": "', sha2(concat('c', s_suppkey), 256), '", "Name": "/svc', s_suppkey,
+               '", "State": {"Running": true}, "GraphDriver": {"Name": "overlay2", "Data": {"MergedDir": ',
+               CASE WHEN s_suppkey % 5 = 0 THEN '"/mnt/other"' ELSE concat('"/var/lib/docker/overlay2/',
+                 sha2(concat('o', s_suppkey), 256), '/merged"') END, '}}}, {"Name": "/second"}]')"""
+        ).alias("value"),
+    )
+
+
+def container_lines(lineitem: DataFrame) -> DataFrame:
+    """One container listing per supplier, with empty, malformed and repeated port groups."""
+    value = F.expr(
+        """concat(substring(md5(cast(l_orderkey AS string)), 1, 12), '   img', l_partkey, ':1.0   "run it"   ',
+             l_linenumber, ' days ago   ',
+             CASE l_linenumber WHEN 1 THEN concat('Exited (', l_suppkey % 3, ') 2 days ago') WHEN 2 THEN 'Created'
+               WHEN 3 THEN 'Restarting (1) 5 seconds ago' ELSE 'Up 2 hours' END, '   ',
+             CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN ':::80->80/tcp   '
+               WHEN 7 THEN '0.0.0.0:8000-8001->8000-8001/tcp   '
+               ELSE concat('0.0.0.0:', l_partkey, '->80/tcp, 10.', l_suppkey % 250, '.0.1:25->25/tcp, 53/udp, ',
+                 '0.0.0.0:443->443/tcp, 10.', l_suppkey % 250, '.0.1:', l_partkey, '->53/udp   ') END,
+             CASE WHEN l_linenumber = 6 THEN '' ELSE concat('svc', l_orderkey) END)"""
+    )
+    key = F.expr("l_orderkey * 16 + l_linenumber")
+    file_path = F.expr("concat('ps/', l_suppkey)")
+    lines = as_lines(lineitem, file_path, key, value, "l_orderkey", "l_linenumber")
+    return _with_header(lines, "CONTAINER ID   IMAGE   COMMAND   CREATED   STATUS   PORTS   NAMES")
+
+
+def firewall_lines(part: DataFrame, region: DataFrame) -> DataFrame:
+    """One listing: a chain per brand, an empty chain and a stray line per region."""
+    brand = "cast(substring(p_brand, 7) AS bigint)"
+    rules = part.selectExpr(
+        f"{brand} AS block_start",
+        "p_partkey + 10 AS seq",
+        """concat(p_partkey, '   ', p_size, 'K  ', p_partkey * 3, ' ', element_at(array('REJECT', 'DROP', 'ACCEPT',
+             'LOG', 'RETURN', p_type), cast(p_partkey % 6 + 1 AS int)), '  ',
+             CASE WHEN p_size % 2 = 0 THEN 'all' ELSE 'tcp' END, '  --  ',
+             CASE WHEN p_size % 3 = 0 THEN '!eth0' ELSE '*' END, '  eth', p_size, '   ',
+             CASE WHEN p_size % 5 = 0 THEN '0.0.0.0/0' ELSE '!10.0.0.0/8' END, '   0.0.0.0/0   ',
+             CASE WHEN p_size % 7 = 0 THEN '' ELSE concat('tcp  dpt:', p_size) END) AS value""",
+    )
+    brands = part.select(F.expr(f"{brand} AS block_start"), "p_brand").distinct()
+    frame = brands.select("block_start", F.expr(
+        """inline(array(struct(0L AS seq, concat('Chain ', p_brand, ' (policy DROP 0 packets, 0 bytes)') AS value),
+             struct(1L AS seq, 'num   pkts bytes target prot opt in out source destination' AS value),
+             struct(1L << 40 AS seq, '' AS value)))"""
+    ))
+    empty = region.select(F.expr("1000L + r_regionkey").alias("block_start"), F.expr(
+        """inline(array(struct(0L AS seq, concat('Chain ', r_name, ' (2 references)') AS value),
+             struct(1L AS seq, 'num   pkts bytes target prot opt in out source destination' AS value),
+             struct(2L AS seq, '' AS value), struct(3L AS seq, concat('stray ', r_name) AS value)))"""
+    ))
+    lines = rules.unionByName(frame).unionByName(empty)
+    return lines.select(F.lit("firewall").alias("file_path"), "block_start", "seq", "value")
+
+
+def account_lines(customer: DataFrame) -> DataFrame:
+    value = F.expr(
+        """concat(c_name, ':x:', c_custkey, ':', 100 + c_nationkey, ':', c_mktsegment, ':/home/', c_custkey,
+             ':', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/bin/bash' END)"""
+    )
+    return as_lines(customer, F.lit("passwd"), F.col("c_custkey"), value)
+
+
+def alias_lines(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """An alias per nation, some given again, with comments and text past the end mark."""
+    alias = "substring(md5(cast(n_nationkey AS string)), 1, 6)"
+    rows = (
+        nation.selectExpr("n_nationkey AS seq", f"concat('  ', {alias}, '  ', n_name, ' rest') AS value")
+        .union(nation.where("n_regionkey = 1").selectExpr("50 + n_nationkey", f"concat({alias}, ' ', n_name, '_new')"))
+        .union(region.selectExpr("-10 - r_regionkey", "concat('; comment ', r_name)"))
+        .union(region.selectExpr("-20 - r_regionkey", "''"))
+        .union(region.selectExpr("100 + r_regionkey * 2", "'_EOF_'"))
+        .union(region.selectExpr("101 + r_regionkey * 2", "concat('00', r_regionkey, ' ignored')"))
+    )
+    return as_lines(rows, F.lit("aliases"), F.col("seq"), F.col("value"))
