@@ -9,6 +9,7 @@ from fleetlens.plans import (  # noqa: F401
     host_queries,
     mail_queries,
     network_queries,
+    stream_queries,
 )
 from fleetlens.plans.registry import ORACLES, QUERIES
 

@@ -129,7 +129,7 @@ def firewall_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "firewall_chains",
     """SELECT p_brand AS chain, count(*) AS rules FROM part GROUP BY p_brand
-       UNION ALL SELECT r_name, 0 FROM region""",
+       UNION ALL SELECT replace(r_name, ' ', '-'), 0 FROM region""",
 )
 def firewall_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = firewall_lines(table(spark, sf_dir, "part"), table(spark, sf_dir, "region"))

@@ -353,7 +353,7 @@ def firewall_lines(part: DataFrame, region: DataFrame) -> DataFrame:
              struct(1L << 40 AS seq, '' AS value)))"""
     ))
     empty = region.select(F.expr("1000L + r_regionkey").alias("block_start"), F.expr(
-        """inline(array(struct(0L AS seq, concat('Chain ', r_name, ' (2 references)') AS value),
+        """inline(array(struct(0L AS seq, concat('Chain ', replace(r_name, ' ', '-'), ' (2 references)') AS value),
              struct(1L AS seq, 'num   pkts bytes target prot opt in out source destination' AS value),
              struct(2L AS seq, '' AS value), struct(3L AS seq, concat('stray ', r_name) AS value)))"""
     ))
@@ -381,3 +381,17 @@ def alias_lines(nation: DataFrame, region: DataFrame) -> DataFrame:
         .union(region.selectExpr("101 + r_regionkey * 2", "concat('00', r_regionkey, ' ignored')"))
     )
     return as_lines(rows, F.lit("aliases"), F.col("seq"), F.col("value"))
+
+
+def conversation_lines(conversations: DataFrame) -> DataFrame:
+    """One mail message per conversation; user turns name the client, unless there is none."""
+    value = F.concat(
+        F.lit("Feb  8 15:51:20 mx postfix/smtpd[1]: "),
+        message_id("conv_id"),
+        F.expr(
+            """CASE WHEN role = 'user' AND conv_id % 7 > 0
+                 THEN concat(': client=', role, '[10.', conv_id % 250, '.', turn, '.0]')
+               ELSE concat(': ', octet_length(text), ' bytes') END"""
+        ),
+    )
+    return as_lines(conversations, F.lit("mail/conversations"), F.col("turn"), value, "conv_id", "turn")

@@ -35,13 +35,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for checkpoints and intermediate tables, which all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, is
-    a new temporary folder made and set for the rest of the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where no folder is set, as in local tests,
+    a new temporary one is made and set for the rest of the session.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="fleetlens-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-", dir="/tmp"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
