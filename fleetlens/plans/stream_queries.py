@@ -54,7 +54,7 @@ def finished_batches(stream: DataFrame, name: str, marker: Callable, schema: str
     run = stream.writeStream.foreachBatch(marker(sink, f"{name}-{uuid4().hex}"))
     run = run.option("checkpointLocation", f"{folder}/checkpoint")
     run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("batch")
 
 
 @query(

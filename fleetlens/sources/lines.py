@@ -34,12 +34,13 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], **options: str)
 
 
 def stream_lines(
-    spark: SparkSession, path: str, max_bytes_per_trigger: str | None = "64g", **options: str
+    spark: SparkSession, path: str, max_bytes_per_trigger: str | None = "1g", **options: str
 ) -> DataFrame:
     """Lines of files as they appear in a folder. Each file must be complete when it appears.
 
-    ``max_bytes_per_trigger`` bounds a micro-batch, and with it the rows that a keyed state sees at
-    once. A file is never split over two batches.
+    ``max_bytes_per_trigger`` bounds a micro-batch, and with it the rows of one key that a stateful
+    operator holds at once; streams that work row by row can take far larger ones. A file is never
+    split over two batches.
     """
     reader = spark.readStream.format("text").option("lineSep", "\n").options(**options)
     if max_bytes_per_trigger:
