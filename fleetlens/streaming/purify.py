@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.lines import SEQ
+from fleetlens.operators.lines import BLOCK, FILE
 from fleetlens.operators.purify import MAX_LINE_BYTES, drop_long
 
 
 def stream_purify(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES, spread: int = 16) -> DataFrame:
     """Each distinct line once, over the whole stream; over-long lines are dropped.
 
-    Lines are made distinct in ``spread`` parts per text first, so a very frequent line does not go
-    through one task. The state holds every distinct line; see :func:`stream_purify_within` for a
+    Lines are made distinct in ``spread`` parts per text first, parted by the block they come from,
+    so a very frequent line does not go through one task. The state holds every distinct line; see :func:`stream_purify_within` for a
     bounded one.
     """
-    part = F.pmod(F.xxhash64(*[c for c in ("file_path", SEQ) if c in lines.columns]), F.lit(spread))
+    part = F.pmod(F.xxhash64(*FILE, *BLOCK), F.lit(spread))
     short = drop_long(lines, max_bytes).select("value", part.alias("part"))
     return short.dropDuplicates(["value", "part"]).select("value").dropDuplicates(["value"])
 
