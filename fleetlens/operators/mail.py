@@ -134,16 +134,15 @@ def enrich_msgid(records: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Give rows of a message id the client address of its latest earlier ``msg_start`` row.
 
     ``scope`` narrows the state, for instance to ``["host"]``, where several hosts may use the same
-    ids. Rows without a message id keep their address and take no part in the shuffle.
+    ids. Rows without a message id keep their address; they stay in the same flow, as splitting them
+    off would read and parse the lines once more.
     """
-    with_id = records.where(F.col("msgid") != "")
-    without_id = records.where(F.col("msgid") == "")
     client = F.when(F.col("kind") == "msg_start", F.col("ipaddr"))
     carried = carry_last(
-        with_id, [*scope, "msgid"], ["file_path", "block_start"], "seq", client, "_client"
+        records, [*scope, "msgid"], ["file_path", "block_start"], "seq", client, "_client"
     )
     ipaddr = F.coalesce(F.col("ipaddr"), F.col("_client"), F.lit(UNKNOWN_ADDRESS))
-    return carried.withColumn("ipaddr", ipaddr).select(*records.columns).unionByName(without_id)
+    return carried.withColumn("ipaddr", ipaddr).select(*records.columns)
 
 
 def drop_statistics(records: DataFrame) -> DataFrame:

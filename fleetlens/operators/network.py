@@ -6,13 +6,12 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.addresses import ip_bits, ip_family, net_parts
 from fleetlens.functions.matching import held
-from fleetlens.operators.ordered import HOT_ROWS, join_group_facts
+from fleetlens.operators.ordered import HOT_ROWS, SPREAD, join_group_facts
 
 # Known groups in priority order, and the addresses of the built-in one.
 GROUPS = ("local", "cloudflare", "google:bot", "google:ads", "google:user")
@@ -107,16 +106,17 @@ def _lookup_broadcast(df: DataFrame, ip: str, nets: pa.Table, out: str) -> DataF
     if not kinds:
         return df.withColumn(out, F.lit(None).cast("string"))
     rows = held(df, _bits=ip_bits(F.col(ip)))
+    table = df.sparkSession.createDataFrame(nets)
     hits: list[Column] = []
     for kind in sorted(kinds, key=lambda k: (k["family"], k["prefix_len"])):
         family, prefix_len = kind["family"], kind["prefix_len"]
         key, hit = f"_key_{family}_{prefix_len}", f"_hit_{family}_{prefix_len}"
-        same = pc.and_(pc.equal(nets["family"], family), pc.equal(nets["prefix_len"], prefix_len))
-        side = df.sparkSession.createDataFrame(nets.filter(same).select(["bits", "priority", "label"]))
-        side = side.select(F.col("bits").alias(key), F.struct("priority", "label").alias(hit))
+        side = table.where((F.col("family") == family) & (F.col("prefix_len") == prefix_len)).select(
+            F.col("bits").alias(key), F.struct("priority", "label").alias(hit)
+        )
         width = 32 if family == "v4" else 128
         leading = F.when(F.length("_bits") == width, F.substring("_bits", 1, prefix_len))
-        rows = rows.join(F.broadcast(side), leading == F.col(key), "left").drop(key)
+        rows = rows.join(F.broadcast(side), leading == F.col(key), "left")
         hits.append(F.col(hit))
     best = F.least(*hits) if len(hits) > 1 else hits[0]
     return rows.select(*df.columns, best["label"].alias(out))
@@ -132,8 +132,11 @@ def _lookup_shuffled(df: DataFrame, ip: str, table: DataFrame, out: str, hot_row
         .withColumn("prefix_len", F.explode("_lengths"))
         .withColumn("bits", F.expr("substring(_bits, 1, prefix_len)"))
     )
+    # Many addresses may share a short prefix, so every network is repeated once per salt.
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    probes = probes.withColumn("_salt", F.pmod(F.xxhash64("_ip"), F.lit(SPREAD)).cast("int"))
     found = (
-        probes.join(table, ["family", "prefix_len", "bits"])
+        probes.join(salted, ["family", "prefix_len", "bits", "_salt"])
         .groupBy("_ip", "_n")
         .agg(F.min(F.struct("priority", "label"))["label"].alias(out))
     )

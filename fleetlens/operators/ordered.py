@@ -92,7 +92,8 @@ def previous_value(
     whole = Window.partitionBy(*group).orderBy(*block)
     edges = edges.select(*group, *block, F.lag("_edge").over(whole).alias("_edge"))
     inside = Window.partitionBy(*group, *block).orderBy(seq)
-    return df.join(edges, [*group, *block]).select(
+    # Every block has its edge; a left join can be left out where the result is not asked for.
+    return df.join(edges, [*group, *block], "left").select(
         *df.columns, F.coalesce(F.lag(held).over(inside), F.col("_edge")).alias(out)
     )
 

@@ -10,15 +10,17 @@ from fleetlens.functions.matching import held, match_groups
 from fleetlens.operators.lines import BLOCK, FILE, KEY, SEQ
 from fleetlens.operators.ordered import carry_last, previous_value
 
-# Patterns of paths, ports, chains and counters.
+# Patterns of paths, ports, chains, counters and header lines.
 _CONTAINER_PATH = r"(?d)^/var/lib/docker/containers/([0-9a-f]+)/"
 _OVERLAY_PATH = r"(?d)^/var/lib/docker/overlay2/([0-9a-f]+)/"
-_EXPOSED_PORT = r"(?d)^([0-9.]+):(\d+)->(\d+)/(tcp|udp)$"
-_INNER_PORT = r"(?d)^(\d+)/(tcp|udp)$"
+_PORT = r"(?:([0-9.]+):(\d+)->)?(\d+)/(tcp|udp)"
+_PORTS = rf"(?d)^(?:{_PORT})?(?:, (?:{_PORT})?)*+$"
 _CHAIN = r"(?d)^Chain (\S+) (.*)$"
 _COUNTER = r"(?d)^([0-9]+)([^0-9]+)$"
 _BLANKS = r"\s+"
 _WIDE_BLANKS = r"\s{2,}"
+DISK_HEADER = r"^Filesystem\s+Type\s"
+CONTAINER_HEADER = r"^CONTAINER ID\s"
 _TRIMMED = " \t\n\r\0\x0b"
 ANY_ADDRESS = "0.0.0.0"
 ANY_NETWORK = "0.0.0.0/0"
@@ -28,8 +30,13 @@ def _token(name: str, position: int) -> Column:
     return F.get(F.col(name), F.lit(position))
 
 
-def drop_first_line(lines: DataFrame) -> DataFrame:
-    """Drop the header, the first line of each file."""
+def drop_header(lines: DataFrame, header: str | None) -> DataFrame:
+    """Drop the lines that match the header pattern, or with ``None`` the first line of each file.
+
+    The pattern works row by row; finding first lines shuffles the lines by their key.
+    """
+    if header is not None:
+        return lines.where(~F.col("value").rlike(header))
     first = lines.groupBy(*FILE).agg(F.min(F.struct(*BLOCK, SEQ)).alias("_first"))
     return lines.join(first.select(*FILE, "_first.*"), KEY, "left_anti")
 
@@ -37,9 +44,9 @@ def drop_first_line(lines: DataFrame) -> DataFrame:
 # Disks
 
 
-def read_disk_snapshot(lines: DataFrame) -> DataFrame:
+def read_disk_snapshot(lines: DataFrame, header: str | None = DISK_HEADER) -> DataFrame:
     """``df -T -B 1M`` text to rows; sizes in MiB, null where the text is no number."""
-    rows = drop_first_line(lines).where(F.col("value") != "")
+    rows = drop_header(lines, header).where(F.col("value") != "")
     names = "fsname fstype size used free pp mount".split()
     tokens = rows.select(*[c for c in lines.columns if c != "value"], F.split("value", _BLANKS).alias("t"))
     columns = [
@@ -112,10 +119,12 @@ def resolve_mounts(disks: DataFrame, meta: DataFrame) -> DataFrame:
 # Containers
 
 
-def read_container_snapshot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_container_snapshot(
+    lines: DataFrame, header: str | None = CONTAINER_HEADER
+) -> tuple[DataFrame, DataFrame]:
     """``(containers, rejects)`` of a container listing; six columns mean no ports."""
     others = [c for c in lines.columns if c != "value"]
-    rows = drop_first_line(lines)
+    rows = drop_header(lines, header)
     tokens = held(rows, t=F.split("value", _WIDE_BLANKS, -1))
     whole = F.size("t").isin(6, 7)
     ports = F.when(F.size("t") == 7, _token("t", 5)).otherwise("")
@@ -137,34 +146,23 @@ def read_container_snapshot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_ports(ports: Column) -> Column:
     """``array<struct<iface, proto, host_port, container_port>>``; null when any entry is malformed.
 
-    Ports of all addresses have ``*`` as interface, ports that are not exposed have ``-``.
+    Ports of all addresses have ``*`` as interface, ports that are not exposed have ``-``. One
+    pattern checks the whole text and one replacement splits all its entries.
     """
-
-    def entry(port: Column) -> Column:
-        def group(pattern: str, number: int) -> Column:
-            return F.regexp_extract(port, pattern, number)
-
-        iface = group(_EXPOSED_PORT, 1)
-        return F.when(
-            port.rlike(_EXPOSED_PORT),
-            F.struct(
-                F.when(iface == ANY_ADDRESS, "*").otherwise(iface).alias("iface"),
-                group(_EXPOSED_PORT, 4).alias("proto"),
-                group(_EXPOSED_PORT, 2).alias("host_port"),
-                group(_EXPOSED_PORT, 3).alias("container_port"),
-            ),
-        ).when(
-            port.rlike(_INNER_PORT),
-            F.struct(
-                F.lit("-").alias("iface"),
-                group(_INNER_PORT, 2).alias("proto"),
-                F.lit(None).cast("string").alias("host_port"),
-                group(_INNER_PORT, 1).alias("container_port"),
-            ),
+    fields = F.regexp_replace(ports, _PORT, "$1 $2 $3 $4")
+
+    def entry(text: Column) -> Column:
+        part = F.split(text, " ", -1)
+        iface, host_port = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+        return F.struct(
+            F.when(iface == "", "-").when(iface == ANY_ADDRESS, "*").otherwise(iface).alias("iface"),
+            F.get(part, F.lit(3)).alias("proto"),
+            F.when(host_port != "", host_port).alias("host_port"),
+            F.get(part, F.lit(2)).alias("container_port"),
         )
 
-    entries = F.transform(F.filter(F.split(ports, ", "), lambda port: port != ""), entry)
-    return F.when(~F.exists(entries, lambda e: e.isNull()), entries)
+    entries = F.transform(F.filter(F.split(fields, ", ", -1), lambda text: text != ""), entry)
+    return F.when(ports.rlike(_PORTS), entries)
 
 
 def ports_by_interface(entries: Column) -> Column:

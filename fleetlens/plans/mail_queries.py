@@ -111,7 +111,7 @@ def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mail_enrich", f"{SESSION_SQL} SELECT event_id, kind, msgid, ipaddr, content FROM session")
 def mail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = drop_statistics(enrich_msgid(session_records(spark, sf_dir)))
+    records = enrich_msgid(drop_statistics(session_records(spark, sf_dir)))
     return records.select("event_id", "kind", "msgid", "ipaddr", "content")
 
 
@@ -122,7 +122,7 @@ def mail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM session""",
 )
 def mail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = drop_statistics(enrich_msgid(session_records(spark, sf_dir), scope=["host"]))
-    return mark_sections(records).select(
+    marked = mark_sections(drop_statistics(session_records(spark, sf_dir)))
+    return enrich_msgid(marked, scope=["host"]).select(
         "event_id", "date", "time", "ipaddr", "msgid", "content", "new_section"
     )

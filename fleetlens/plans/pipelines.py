@@ -45,8 +45,8 @@ def mail_log(
     """``(report, rejects)`` of mail-log lines; by default the last 32 KiB of each file."""
     tailed = tail(lines) if tail else tail_bytes(lines, DEFAULT_MAIL_TAIL_BYTES)
     records, rejects = parse_syslog(route_lines(tailed)[0], year)
-    enriched = enrich_msgid(classify_mail(records), scope)
-    return mark_sections(drop_statistics(enriched)), rejects
+    marked = mark_sections(drop_statistics(classify_mail(records)))
+    return enrich_msgid(marked, scope), rejects
 
 
 def duplicate_scan(

@@ -5,20 +5,19 @@ Results go to a file sink in the shared folder, not through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from fleetlens.operators.access import parse_access
 from fleetlens.operators.lines import route_lines
 from fleetlens.operators.mail import classify_mail, parse_syslog
-from fleetlens.operators.access import parse_access
-from fleetlens.plans.access_queries import ACCESS_SQL
+from fleetlens.plans.access_queries import ACCESS_SQL, labels_sql
 from fleetlens.plans.content_queries import LINES_SQL
 from fleetlens.plans.mail_queries import YEAR
 from fleetlens.plans.network_queries import NETS_SQL, networks
-from fleetlens.plans.access_queries import labels_sql
 from fleetlens.plans.registry import query
 from fleetlens.plans.render import access_lines, conversation_lines, document_lines
 from fleetlens.session import shared_folder
@@ -34,12 +33,22 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, number: int) -> Iterator[None]:
+    """Keyed state is split into this many parts for good when a stream first starts."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def finished(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all input there is and read its output."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/streams/{name}-{uuid4().hex}"
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-    run.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+        run.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

@@ -164,6 +164,13 @@ def test_disks_and_containers(spark, tmp_path, lines_of):
     assert unmounted.where("mount_label <> mount").count() == 0
 
 
+def test_first_lines_are_headers_without_a_pattern(spark, lines_of):
+    listing = ["Dateisystem Typ ...", "/dev/sda1 ext4 10 4 6 40% /"]
+    lines = lines_of(listing, "a").unionByName(lines_of(listing, "b"))
+    got = read_disk_snapshot(lines, header=None)
+    assert [(r["file_path"], r["mount"]) for r in got.orderBy("file_path").collect()] == [("a", "/"), ("b", "/")]
+
+
 def test_container_listing(spark, lines_of):
     containers, rejects = read_container_snapshot(
         lines_of(
