@@ -81,7 +81,7 @@ def parse_syslog(lines: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     )
     others = [c for c in groups.columns if c != "g"]
     records = groups.where(valid).select(
-        *[c for c in others if c != "value"],
+        *[c for c in others if c not in ("value", "host")],  # the host is named in the line
         date.alias("date"),
         fields["time"].alias("time"),
         fields["host"].alias("host"),

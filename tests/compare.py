@@ -35,9 +35,9 @@ def _rows(names: list[str], table) -> tuple[list[tuple[str, str]], Counter]:
     return types, Counter(zip(*columns))
 
 
-def compare(spark, connection, name: str, run, sql: str, sf_dir: str) -> str | None:
-    """``None`` when equal, else a short account of the difference."""
-    mine = run(spark, sf_dir).toArrow()
+def compare(rows, connection, name: str, sql: str) -> str | None:
+    """``None`` when the DataFrame and the SQL agree, else a short account of the difference."""
+    mine = rows.toArrow()
     theirs = connection.sql(sql).to_arrow_table()
     if sorted(mine.column_names) != sorted(theirs.column_names):
         return f"{name}: columns {sorted(mine.column_names)} != {sorted(theirs.column_names)}"

@@ -23,7 +23,31 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    assert compare(spark, connection, name, QUERIES[name], ORACLES[name], SF_DIR) is None
+    rows = QUERIES[name](spark, SF_DIR)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert compare(rows, connection, name, ORACLES[name]) is None
+
+
+def test_lookup_does_not_shuffle_the_rows(spark):
+    from fleetlens.operators.network import lookup_network
+    from fleetlens.plans.network_queries import networks
+    from fleetlens.plans.registry import table
+    from fleetlens.plans.render import event_ip
+
+    rows = table(spark, SF_DIR, "events").select("event_id", event_ip().alias("ip"))
+    plan = lookup_network(rows, "ip", networks(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") > 1
+
+
+@pytest.mark.parametrize("name", ["access_parse", "error_parse", "mail_classify"])
+def test_parsing_runs_each_pattern_once(spark, name):
+    from fleetlens.operators.mail import MAIL_KINDS
+
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    patterns = {"access_parse": 1, "error_parse": 3, "mail_classify": 1 + len(MAIL_KINDS)}
+    assert plan.count("regexp_replace(") == patterns[name]
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
 
 
 def test_entry(spark):
