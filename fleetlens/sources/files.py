@@ -13,17 +13,20 @@ from pyspark.sql.types import StringType
 
 from fleetlens.operators.duplicates import skip_version_control
 from fleetlens.sources.ranges import md5_of
+from fleetlens.sources.walk import walk_files
 
 # Fixed value: the format of the stored index.
 INDEX_VERSION = 1
 
 
-def read_manifest(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def read_manifest(spark: SparkSession, roots: Sequence[str], hidden: bool = True) -> DataFrame:
     """``(root, subpath, size, mtime, path)`` of all files below the roots; content is not read.
 
-    Empty files and ``.git`` and ``.svn`` folders are left out. Spark does not list names that start
-    with a dot or an underscore; where those matter, use a manifest table from elsewhere.
+    Empty files and ``.git`` and ``.svn`` folders are left out. With ``hidden=False`` Spark's own
+    listing is used, which knows no names that start with a dot or an underscore, and follows links.
     """
+    if hidden:
+        return walk_files(spark, roots)
     per_root = []
     for root in roots:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

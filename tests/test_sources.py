@@ -63,15 +63,23 @@ def tree(tmp_path):
 
 def test_duplicate_scan(spark, tree, tmp_path):
     roots = [str(tree / "one"), str(tree / "two")]
-    manifest = read_manifest(spark, roots)
-    assert {(os.path.basename(r["root"]), r["subpath"], r["size"]) for r in manifest.collect()} == {
+    plain = {
         ("one", "a.txt", 4), ("one", "sub/b.txt", 4), ("one", "sub/c.txt", 4), ("one", "big.bin", 5_000_000),
         ("two", "d.txt", 4), ("two", "e.txt", 12), ("two", "big copy.bin", 5_000_000),
     }
+    (tree / "two/.hid").mkdir()
+    (tree / "two/.hid/_x").write_bytes(b"hidden")
+    for hidden, expected in [(False, plain), (True, plain | {("two", ".hid/_x", 6)})]:
+        manifest = read_manifest(spark, roots, hidden).collect()
+        assert {(os.path.basename(r["root"]), r["subpath"], r["size"]) for r in manifest} == expected
+        assert all(abs(r["mtime"].timestamp() - os.stat(os.path.join(r["root"], r["subpath"])).st_mtime) < 1
+                   for r in manifest)
+    (tree / "two/link.txt").symlink_to(tree / "one/a.txt")
+    (tree / "two/loop").symlink_to(tree / "two")
     now = datetime(2024, 1, 1)
     first = duplicate_scan(spark, roots, str(tmp_path / "index1"), now)
     md5 = {r["subpath"]: r["md5"] for r in first.collect()}
-    assert md5["e.txt"] is None
+    assert md5["e.txt"] is None and md5[".hid/_x"] is None and "link.txt" not in md5
     assert md5["a.txt"] == md5["d.txt"] == hashlib.md5(b"same").hexdigest()
     assert md5["big.bin"] == md5["big copy.bin"] == hashlib.md5(b"z" * 5_000_000).hexdigest()
 
