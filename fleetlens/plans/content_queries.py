@@ -21,6 +21,7 @@ from fleetlens.operators.retention import retention_plan
 from fleetlens.operators.usage import ascending, dir_usage, root_usage
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import document_files, document_lines, page_files
+from fleetlens.session import stored
 
 FILES_SQL = """
 WITH files AS (
@@ -38,6 +39,11 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(table(spark, sf_dir, "documents"))
 
 
+def _indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file rows with their digests, stored, so that the content is read and hashed once."""
+    return stored(_files(spark, sf_dir), "files")
+
+
 @query(
     "dup_candidates",
     f"""{FILES_SQL} SELECT root, subpath, size FROM files
@@ -58,7 +64,7 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dup_members", f"{FILES_SQL} SELECT root, subpath, size, md5, n FROM members WHERE n > 1")
 def dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).select("root", "subpath", "size", "md5")
+    files = _indexed_files(spark, sf_dir).select("root", "subpath", "size", "md5")
     return in_walk_order(duplicate_members(files))
 
 
@@ -73,7 +79,7 @@ def dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM members WHERE n > 1""",
 )
 def dup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_plan(_files(spark, sf_dir)).select("root", "subpath", "md5", "n", "action")
+    return dedup_plan(_indexed_files(spark, sf_dir)).select("root", "subpath", "md5", "n", "action")
 
 
 @query(
@@ -82,7 +88,7 @@ def dup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE 'delete' END AS action FROM members WHERE n > 1""",
 )
 def dup_plan_third(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_plan(_files(spark, sf_dir), keep=3).select("root", "subpath", "md5", "n", "action")
+    return dedup_plan(_indexed_files(spark, sf_dir), keep=3).select("root", "subpath", "md5", "n", "action")
 
 
 @query(
@@ -97,7 +103,7 @@ def dup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Its digests are written backwards, which shows where a digest was taken over.
     """
-    files = _files(spark, sf_dir)
+    files = _indexed_files(spark, sf_dir)
     changed = F.when(F.col("toxic") == 1, F.expr("mtime - interval 1 day")).otherwise(F.col("mtime"))
     previous = files.join(table(spark, sf_dir, "labels"), "doc_id").select(
         "root", "subpath", "size", changed.alias("mtime"), F.reverse("md5").alias("md5")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.errors import flag_noise, parse_error
-from fleetlens.operators.lines import mark_sections, route_lines
+from fleetlens.operators.lines import route_lines
+from fleetlens.plans.pipelines import error_log
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import error_lines
 
@@ -73,7 +74,7 @@ def error_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM error WHERE stage IS NULL AND NOT noise""",
 )
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = flag_noise(_parsed(spark, sf_dir)[0], drop=True)
-    return mark_sections(records).select(
+    report, _ = error_log(error_lines(table(spark, sf_dir, "events", "event_id")), drop_noise=True)
+    return report.select(
         "event_id", "date", "time", "ip", "level", "channel", "message", "new_section"
     )

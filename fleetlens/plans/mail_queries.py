@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.operators.lines import mark_sections, route_lines
+from fleetlens.operators.lines import route_lines, tail_start
 from fleetlens.operators.mail import classify_mail, drop_statistics, enrich_msgid, parse_syslog
+from fleetlens.plans.pipelines import mail_log
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import mail_lines, session_lines
 
@@ -122,7 +123,8 @@ def mail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM session""",
 )
 def mail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark_sections(drop_statistics(session_records(spark, sf_dir)))
-    return enrich_msgid(marked, scope=["host"]).select(
+    lines = session_lines(table(spark, sf_dir, "events", "event_id"))
+    report, _ = mail_log(lines, YEAR, tail=tail_start, scope=["host"])
+    return report.select(
         "event_id", "date", "time", "ipaddr", "msgid", "content", "new_section"
     )

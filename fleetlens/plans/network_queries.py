@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.addresses import ip_bits, ip_family, net_parts
-from fleetlens.operators.access import apply_filters, label_access, parse_access
-from fleetlens.operators.lines import mark_sections, route_lines
 from fleetlens.operators.network import lookup_network, network_union
 from fleetlens.plans.access_queries import ACCESS_SQL, labels_sql
+from fleetlens.plans.pipelines import access_log
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import access_lines, event_ip
 
@@ -126,10 +125,9 @@ def net_bits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse, filter, look up, mark sections and label: the whole access-log report."""
-    lines, _ = route_lines(access_lines(table(spark, sf_dir, "events", "event_id")))
-    records = apply_filters(parse_access(lines)[0], ["status=404,500", "minsize=1000000"])
-    marked = lookup_network(mark_sections(records), "ip", networks(spark, sf_dir))
-    return label_access(marked, "net_label").select(
+    lines = access_lines(table(spark, sf_dir, "events", "event_id"))
+    report, _ = access_log(lines, filters=["status=404,500", "minsize=1000000"], nets=networks(spark, sf_dir))
+    return report.select(
         "event_id", "date", "time", "req", "referer", "agent", "status_class", "size_label", "duration_label",
         "duration_band", "origin_flag", "client", "protocol", "new_section",
     )

@@ -1,4 +1,9 @@
-"""The three entry points: access log, error log and mail log tails, and the duplicate scan."""
+"""Whole runs: access log, error log and mail log reports, and the duplicate scan.
+
+The log reports parse the lines once and store the records that pass the filters below the shared
+folder, as the section marks and sessions read them more than once. With ``store=False`` nothing is
+run or written, and each of those reads parses the lines again.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from fleetlens.operators.errors import flag_noise, parse_error
 from fleetlens.operators.lines import DEFAULT_MAIL_TAIL_BYTES, mark_sections, route_lines, tail_bytes
 from fleetlens.operators.mail import classify_mail, drop_statistics, enrich_msgid, parse_syslog
 from fleetlens.operators.network import lookup_network
+from fleetlens.session import stored
 from fleetlens.sources.files import hash_files, read_index, read_manifest, write_index
 
 Tail = Callable[[DataFrame], DataFrame]
@@ -24,28 +30,38 @@ def access_log(
     tail: Tail | None = None,
     filters: Iterable[str | Clause] = (),
     nets: DataFrame | None = None,
+    store: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(report, rejects)`` of access-log lines."""
     records, rejects = parse_access(route_lines(tail(lines) if tail else lines)[0])
-    marked = mark_sections(apply_filters(records, filters))
+    passed = apply_filters(records, filters)
+    marked = mark_sections(stored(passed, "access") if store else passed)
     if nets is None:
         return label_access(marked), rejects
     return label_access(lookup_network(marked, "ip", nets), "net_label"), rejects
 
 
-def error_log(lines: DataFrame, tail: Tail | None = None, drop_noise: bool = False) -> tuple[DataFrame, DataFrame]:
+def error_log(
+    lines: DataFrame, tail: Tail | None = None, drop_noise: bool = False, store: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """``(report, rejects)`` of error-log lines."""
     records, rejects = parse_error(route_lines(tail(lines) if tail else lines)[0])
-    return mark_sections(flag_noise(records, drop=drop_noise)), rejects
+    flagged = flag_noise(records, drop=drop_noise)
+    return mark_sections(stored(flagged, "error") if store else flagged), rejects
 
 
 def mail_log(
-    lines: DataFrame, year: int, tail: Tail | None = None, scope: Sequence[str] = ()
+    lines: DataFrame,
+    year: int,
+    tail: Tail | None = None,
+    scope: Sequence[str] = (),
+    store: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(report, rejects)`` of mail-log lines; by default the last 32 KiB of each file."""
     tailed = tail(lines) if tail else tail_bytes(lines, DEFAULT_MAIL_TAIL_BYTES)
     records, rejects = parse_syslog(route_lines(tailed)[0], year)
-    marked = mark_sections(drop_statistics(classify_mail(records)))
+    classified = drop_statistics(classify_mail(records))
+    marked = mark_sections(stored(classified, "mail") if store else classified)
     return enrich_msgid(marked, scope), rejects
 
 

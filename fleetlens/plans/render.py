@@ -234,12 +234,12 @@ def session_lines(events: DataFrame) -> DataFrame:
 
 def document_files(documents: DataFrame) -> DataFrame:
     """Documents as files of a tree per source, hashed in the pass that reads their text."""
-    return documents.select(
+    return held(documents, md5=F.md5("text")).select(
         F.col("source").alias("root"),
         F.expr("concat(lang, '/', doc_id, '.txt')").alias("subpath"),
         F.octet_length("text").cast("bigint").alias("size"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"),
-        F.md5("text").alias("md5"),
+        "md5",
         "doc_id",
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes reduce tasks from the real shuffle sizes and splits skewed joins; the
 # initial count only has to be high enough for the largest shuffle.
@@ -46,3 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-", dir="/tmp"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Run ``df`` once, write it below the shared folder, and read it back.
+
+    For input that is costly to compute and that a plan reads several times: each later read takes
+    only the columns it needs from the stored table, and a lost executor does not cost the
+    computation again. The table stays until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
