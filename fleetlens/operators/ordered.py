@@ -85,12 +85,21 @@ def previous_value(
     seq: str,
     value: Column,
     out: str,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """``value`` of the preceding row of the group, as ``struct<v>``; null on the first row."""
+    """``value`` of the preceding row of the group, as ``struct<v>``; null on the first row.
+
+    ``initial`` has the group columns and ``v``, the value before the first row of a group. It joins
+    the block summary, not the rows.
+    """
     held = F.struct(value.alias("v"))
     edges = df.groupBy(*group, *block).agg(F.max_by(held, F.col(seq)).alias("_edge"))
     whole = Window.partitionBy(*group).orderBy(*block)
     edges = edges.select(*group, *block, F.lag("_edge").over(whole).alias("_edge"))
+    if initial is not None:
+        edges = edges.join(initial.select(*group, F.struct("v").alias("_initial")), [*group], "left").select(
+            *group, *block, F.coalesce("_edge", "_initial").alias("_edge")
+        )
     inside = Window.partitionBy(*group, *block).orderBy(seq)
     # Every block has its edge; a left join can be left out where the result is not asked for.
     return df.join(edges, [*group, *block], "left").select(

@@ -60,3 +60,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/stored/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession, per_core: int = 4) -> int:
+    """Tasks for work that is large per row, such as opening files.
+
+    Such rows are small, so adaptive execution would put all of them into one task; it leaves a
+    repartition with a number as it is.
+    """
+    return spark.sparkContext.defaultParallelism * per_core

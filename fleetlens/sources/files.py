@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fleetlens.operators.duplicates import skip_version_control
+from fleetlens.session import task_count
 from fleetlens.sources.ranges import md5_of
 from fleetlens.sources.walk import walk_files
 
@@ -57,7 +58,7 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     known = files.where(F.col("md5").isNotNull())
     missing = files.where(F.col("md5").isNull())
-    spread = missing.repartition(tasks, "path") if tasks else missing.repartition("path")
+    spread = missing.repartition(tasks or task_count(files.sparkSession), "path")
     return known.unionByName(spread.withColumn("md5", _file_md5("path")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.arguments import parse_size_arg
+from fleetlens.session import task_count
 from fleetlens.sources.lines import TRAILING
 from fleetlens.sources.ranges import lines_between
 
@@ -47,6 +48,6 @@ def read_tail(spark: SparkSession, paths: str | Sequence[str], amount: int | str
         .select("path", "length", F.explode(F.sequence(start, F.greatest(F.col("length") - 1, start),
                                                        F.lit(PIECE).cast("bigint"))).alias("start"))
         .withColumn("end", F.least(F.col("start") + PIECE, F.col("length")))
-        .repartition("path", "start")
+        .repartition(task_count(spark), "path", "start")
     )
     return pieces.mapInArrow(_read_pieces, _SCHEMA).withColumn("value", F.rtrim("value", F.lit(TRAILING)))

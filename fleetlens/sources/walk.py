@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.session import shared_folder
+from fleetlens.session import shared_folder, task_count
 
 # Folders that hold copies by design.
 VERSION_CONTROL = (".git", ".svn")
@@ -57,7 +57,7 @@ def walk_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     pending = spark.createDataFrame([(root.rstrip("/") or "/", "") for root in roots], "root string, subpath string")
     level = 0
     while not pending.isEmpty():
-        listed = pending.repartition("root", "subpath").mapInPandas(_list_folders, _SCHEMA)
+        listed = pending.repartition(task_count(spark), "root", "subpath").mapInPandas(_list_folders, _SCHEMA)
         listed.write.parquet(f"{folder}/level={level}")
         pending = spark.read.schema(_SCHEMA).parquet(f"{folder}/level={level}").where("is_dir")
         level += 1

@@ -37,24 +37,19 @@ def section_marker(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state_folder = folder or f"{shared_folder(spark)}/sections/{name}"
-        rows = batch.withColumn("_log", F.col(log))
+        # Read three times below; losing an executor only computes its part of the batch again.
+        rows = batch.withColumn("_log", F.col(log)).persist()
         block = [c for c in (*KEY[:1], *BLOCK) if c != log]
-        marked = previous_value(rows, ["_log"], block, SEQ, F.col(date), "_previous")
         before = _state_of(spark, state_folder, batch_id)
-        if before is None:
-            previous = F.col("_previous.v")
-        else:
-            carried = before.select(F.col("log").alias("_log"), F.col("date").alias("_carried"))
-            marked = marked.join(carried, "_log", "left")
-            previous = F.coalesce("_previous.v", "_carried")
-        result = marked.withColumn("new_section", ~previous.eqNullSafe(F.col(date))).select(
-            *batch.columns, "new_section"
-        )
-        sink(result, batch_id)
+        initial = None if before is None else before.select(F.col("log").alias("_log"), F.col("date").alias("v"))
+        marked = previous_value(rows, ["_log"], block, SEQ, F.col(date), "_previous", initial)
+        changed = F.col("_previous").isNull() | ~F.col("_previous.v").eqNullSafe(F.col(date))
+        sink(marked.select(*batch.columns, changed.alias("new_section")), batch_id)
         order = F.struct(*block, SEQ)
         last = rows.groupBy(F.col("_log").alias("log")).agg(F.max_by(date, order).alias("date"))
         if before is not None:
             last = last.unionByName(before.join(last.select("log"), "log", "left_anti"))
         last.write.mode("overwrite").parquet(f"{state_folder}/after={batch_id}")
+        rows.unpersist()
 
     return run
