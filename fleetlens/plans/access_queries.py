@@ -9,6 +9,7 @@ from fleetlens.operators.access import apply_filters, label_access, parse_access
 from fleetlens.operators.lines import mark_sections, route_lines, tail_bytes, tail_lines, with_offsets
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import access_lines
+from fleetlens.session import stored
 
 # The columns that the rendered access lines stand for, straight from the raw table.
 ACCESS_SQL = r"""
@@ -167,7 +168,8 @@ def access_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def access_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = apply_filters(_records(spark, sf_dir), [("status", ["204", "302", "404", "500"])])
-    return mark_sections(records).select("event_id", "date", "new_section")
+    needed = records.select("event_id", "file_path", "block_start", "seq", "date")
+    return mark_sections(stored(needed, "sections")).select("event_id", "date", "new_section")
 
 
 # The rendered line itself, for byte positions.

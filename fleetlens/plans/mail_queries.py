@@ -9,6 +9,7 @@ from fleetlens.operators.mail import classify_mail, drop_statistics, enrich_msgi
 from fleetlens.plans.pipelines import mail_log
 from fleetlens.plans.registry import query, table
 from fleetlens.plans.render import mail_lines, session_lines
+from fleetlens.session import stored
 
 YEAR = 2022
 
@@ -112,8 +113,8 @@ def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mail_enrich", f"{SESSION_SQL} SELECT event_id, kind, msgid, ipaddr, content FROM session")
 def mail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = enrich_msgid(drop_statistics(session_records(spark, sf_dir)))
-    return records.select("event_id", "kind", "msgid", "ipaddr", "content")
+    records = stored(drop_statistics(session_records(spark, sf_dir)), "sessions")
+    return enrich_msgid(records).select("event_id", "kind", "msgid", "ipaddr", "content")
 
 
 @query(
