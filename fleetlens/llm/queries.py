@@ -3,13 +3,83 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
+from fleetlens.llm.sharding import contiguous_shards
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def preference_rows(conversations: DataFrame) -> DataFrame:
+    """Chosen: each conversation. Rejected: its first ``conv_id mod 4`` turns, then those of its neighbour.
+
+    The neighbour is the conversation whose id differs in the last bit only.
+    """
+    own, other = F.col("conv_id"), F.col("conv_id").bitwiseXOR(F.lit(1))
+    places = F.array(
+        F.struct(own.alias("pair_id"), F.lit("chosen").alias("side")),
+        F.when(F.col("turn") < own % 4, F.struct(own.alias("pair_id"), F.lit("rejected").alias("side"))),
+        F.when(F.col("turn") >= other % 4, F.struct(other.alias("pair_id"), F.lit("rejected").alias("side"))),
+    )
+    rows = conversations.select(F.explode(places).alias("place"), "turn", "role", "text")
+    return rows.filter("place IS NOT NULL").select("place.*", "turn", "role", "text")
+
+
+def _mask(side: str):
+    """Characters of each segment and whether they are learned, as ``length:flag`` joined by blanks."""
+    each = F.transform(side, lambda s: F.concat(F.length(s["text"]), F.lit(":"), s["loss"].cast("int")))
+    return F.array_join(each, " ").alias(f"{side}_mask")
+
+
+def _text(side: str):
+    return F.array_join(F.col(side)["text"], "").alias(side)
+
+
+_SIDE = """
+           coalesce(string_agg('<|' || {s}_role || '|>' || chr(10) || {s}_text || '<|end|>' || chr(10), '' ORDER BY turn)
+               FILTER (turn >= cut AND {s}_n > 0), '') AS {s},
+           coalesce(string_agg((length({s}_role) + 5) || ':0 ' || (length({s}_text) + 8) || ':'
+               || ({s}_role = 'assistant')::int, ' ' ORDER BY turn) FILTER (turn >= cut AND {s}_n > 0), '') AS {s}_mask"""
+
+
+@query(
+    "op1_preference_pairs",
+    f"""
+    WITH sides AS (
+        SELECT conv_id AS pair_id, TRUE AS chosen, turn, role, text FROM conversations
+        UNION ALL
+        SELECT conv_id, FALSE, turn, role, text FROM conversations WHERE turn < conv_id % 4
+        UNION ALL
+        SELECT xor(conv_id, 1), FALSE, turn, role, text FROM conversations WHERE turn >= xor(conv_id, 1) % 4
+    ), turns AS (
+        SELECT pair_id, turn, count(*) FILTER (chosen) AS chosen_n, count(*) FILTER (NOT chosen) AS rejected_n,
+               max(role) FILTER (chosen) AS chosen_role, max(text) FILTER (chosen) AS chosen_text,
+               max(role) FILTER (NOT chosen) AS rejected_role, max(text) FILTER (NOT chosen) AS rejected_text
+        FROM sides GROUP BY pair_id, turn
+    ), cuts AS (
+        SELECT *, coalesce(min(turn) FILTER (chosen_n <> rejected_n OR chosen_role <> rejected_role
+                                             OR chosen_text <> rejected_text) OVER (PARTITION BY pair_id),
+                           1 << 40) AS cut
+        FROM turns
+    )
+    SELECT pair_id, (count(*) FILTER (turn < cut))::int AS n_prompt_turns,
+           coalesce(string_agg('<|' || chosen_role || '|>' || chr(10) || chosen_text || '<|end|>' || chr(10), ''
+               ORDER BY turn) FILTER (turn < cut), '') AS prompt,
+           {_SIDE.format(s="chosen")},
+           {_SIDE.format(s="rejected")}
+    FROM cuts GROUP BY pair_id HAVING sum(chosen_n) > 0
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_pairs(preference_rows(table(spark, sf_dir, "conversations"))).filter("n_chosen_turns > 0")
+    return pairs.select(
+        "pair_id", "n_prompt_turns", "prompt", _text("chosen"), _mask("chosen"), _text("rejected"), _mask("rejected")
+    )
+
+
 @query(
     "op5_exact_dedup",
     """
@@ -20,3 +90,9 @@ __all__ = ["ORACLES", "QUERIES"]
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_minimax_shards")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = contiguous_shards(table(spark, sf_dir, "documents"), shards=16)
+    return shards.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
