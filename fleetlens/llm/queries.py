@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.bpe import decode_ids, encode_texts
 from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
@@ -92,6 +94,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_bpe_round_trip")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = encode_texts(table(spark, sf_dir, "documents"), path)
+    hashed = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = decode_ids(hashed, path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op10_minimax_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = contiguous_shards(table(spark, sf_dir, "documents"), shards=16)
