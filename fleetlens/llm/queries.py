@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import decode_ids, encode_texts
 from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
+from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
 from fleetlens.llm.sharding import contiguous_shards
 
@@ -82,6 +83,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packed_documents(table(spark, sf_dir, "documents"), path, capacity=2048)
+
+
 @query(
     "op5_exact_dedup",
     """
