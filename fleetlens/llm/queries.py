@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import decode_ids, encode_texts
 from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
+from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
 from fleetlens.llm.sharding import contiguous_shards
@@ -110,6 +111,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op10_minimax_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = contiguous_shards(table(spark, sf_dir, "documents"), shards=16)
