@@ -46,6 +46,10 @@ class Cuts:
         reaches further than the real walk.
         """
         cuts, at = [], 0
+        if not by_block:
+            blocks = self.possible(capacity, capacity)
+            if len(blocks) <= FETCH_AT_ONCE:
+                self.need(blocks)
         for _ in range(self.shards):
             reach = at + capacity
             if reach >= self.total:
@@ -89,7 +93,7 @@ class Cuts:
             return self.walk(low)
         while low < high:
             blocks = self.possible(low, high)
-            if len(blocks) <= FETCH_AT_ONCE:
+            if len(blocks) <= FETCH_AT_ONCE:  # all that is left to try needs these sizes at most
                 self.need(blocks)
             middle = (low + high) // 2
             if self.walk(middle)[-1] < self.total:
