@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import decode_ids, encode_texts
 from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
+from fleetlens.llm.language import fit_languages, held_out, predict_languages
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
 from fleetlens.llm.sharding import contiguous_shards
+from fleetlens.llm.toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -102,6 +104,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_ppm_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    trees = fit_languages(documents.filter(~held_out("doc_id", 3, 1)))
+    found = predict_languages(documents, trees)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "bits")
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -111,6 +121,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op8_noisy_or_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4, 2))
+    found = score_toxicity(documents, fit_toxicity(documents, labels))
+    return found.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("offending").alias("offending_sentences"),
+    )
+
+
 @query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
