@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import decode_ids, encode_texts
 from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
+from fleetlens.llm.hnsw import near_vectors
 from fleetlens.llm.language import fit_languages, held_out, predict_languages
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import packed_documents
@@ -92,6 +93,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), path, capacity=2048)
 
 
+@query("op4_hnsw_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query(
     "op5_exact_dedup",
     """
