@@ -11,6 +11,8 @@ from fleetlens.llm.chat import preference_pairs
 from fleetlens.llm.exact_dedup import exact_duplicates
 from fleetlens.llm.hnsw import near_vectors
 from fleetlens.llm.language import fit_languages, held_out, predict_languages
+from fleetlens.llm.license_texts import TEMPLATES
+from fleetlens.llm.licenses import find_licenses
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
@@ -93,6 +95,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), path, capacity=2048)
 
 
+@query("op3_license_patience")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+    best = F.array_max(F.transform("found", lambda f: F.struct(f["coverage"], f["words"], f["license"], f["start"], f["end"])))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("found")["license"])), "|")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("found").alias("n_found"),
+        names.alias("licenses"),
+        F.col("best.license").alias("best_license"),
+        F.col("best.coverage").alias("best_coverage"),
+        F.col("best.start").alias("best_start"),
+        F.col("best.end").alias("best_end"),
+    )
+
+
 @query("op4_hnsw_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
