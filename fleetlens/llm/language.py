@@ -200,21 +200,13 @@ def predict_languages(docs: DataFrame, trees: Trees | None, id_col: str = "doc_i
         model = held.value
         scorer = Scorer(model) if model is not None else None
         for rows, data, bounds in text_batches(batches, "text"):
-            letters = have_letters(data, bounds)
-            if scorer is None:
-                letters[:] = False
-                totals = np.zeros((rows.num_rows, 1))
-            else:
-                totals = scorer.totals(data, bounds)
-            best = np.argmin(totals, axis=1)
-            least = totals[np.arange(len(best)), best]
-            share = 1.0 / np.exp2(np.maximum(least[:, None] - totals, -1000.0)).sum(axis=1)
-            names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)] if model else [UNKNOWN] * len(best)
+            best, share, least = _judged(scorer, data, bounds)
+            names = [model.languages[b] if b >= 0 else UNKNOWN for b in best]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array(names, pa.string()),
-                    pa.array(np.where(letters, share, 0.0)),
+                    pa.array(share),
                     pa.array(least / np.maximum(np.diff(bounds), 1)),
                 ],
                 names=["id", "lang_pred", "score", "bits"],
@@ -224,3 +216,28 @@ def predict_languages(docs: DataFrame, trees: Trees | None, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(predict, f"id {kind}, lang_pred string, score double, bits double")
     return found.withColumnRenamed("id", id_col)
+
+
+def _judged(scorer: Scorer | None, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language of each text (-1 for none), its share, and its code length."""
+    letters = have_letters(data, bounds)
+    n = len(bounds) - 1
+    if scorer is None:
+        return np.full(n, -1), np.zeros(n), np.zeros(n)
+    totals = scorer.totals(data, bounds)
+    best = np.argmin(totals, axis=1)
+    least = totals[np.arange(n), best]
+    share = 1.0 / np.exp2(np.maximum(least[:, None] - totals, -1000.0)).sum(axis=1)
+    return np.where(letters, best, -1), np.where(letters, share, 0.0), least
+
+
+def in_known_language(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text is predicted to be in some language, with all their columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value) if held.value is not None else None
+        for rows, data, bounds in text_batches(batches, text_col):
+            yield rows.filter(pa.array(_judged(scorer, data, bounds)[0] >= 0))
+
+    return docs.mapInArrow(keep, docs.schema)

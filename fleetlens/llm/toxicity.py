@@ -223,6 +223,24 @@ class Lookup:
         return word[hit], at[hit]
 
 
+def _scored(
+    model: Model, lookup: Lookup, rolling: Rolling, data: np.ndarray, bounds: np.ndarray
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+    """Score of each text; start of the first and last word, text and chance of each sentence."""
+    n = len(bounds) - 1
+    features, starts, sentence, row = sentence_words(rolling, data, bounds)
+    if not len(starts):
+        return np.zeros(n), None
+    word, index = lookup.find(features)
+    changes = sentence[1:] != sentence[:-1]
+    begin = np.flatnonzero(np.concatenate([[True], changes]))
+    of_word = np.cumsum(np.concatenate([[0], changes.astype(np.int64)]))
+    z = model.bias + np.bincount(of_word[word], weights=model.weights[index], minlength=len(begin))
+    none = np.bincount(row[begin], weights=_log_none(z), minlength=n)
+    last = np.append(begin[1:], len(starts)) - 1
+    return -np.expm1(none), (starts[begin], starts[last], row[begin], 1.0 / (1.0 + np.exp(-z)))
+
+
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` of every text and ``offending`` sentences, one row per input row with its id.
 
@@ -238,25 +256,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         rolling, lookup = Rolling(), Lookup(model.hashes)
         for rows, data, bounds in text_batches(batches, "text"):
             n = rows.num_rows
-            scores, spans = np.zeros(n), [[] for _ in range(n)]
-            features, starts, sentence, row = sentence_words(rolling, data, bounds)
-            if len(starts):
-                word, index = lookup.find(features)
-                begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-                of_word = np.cumsum(np.concatenate([[0], (sentence[1:] != sentence[:-1]).astype(np.int64)]))
-                z = model.bias + np.bincount(of_word[word], weights=model.weights[index], minlength=len(begin))
-                none = np.bincount(row[begin], weights=_log_none(z), minlength=n)
-                scores = -np.expm1(none)
-                chance = 1.0 / (1.0 + np.exp(-z))
-                last = np.append(begin[1:], len(starts)) - 1
+            scores, words = _scored(model, lookup, rolling, data, bounds)
+            spans: list[list[dict]] = [[] for _ in range(n)]
+            if words is not None:
+                first, last, row, chance = words
                 for s in np.flatnonzero(chance >= OFFENDING).tolist():
-                    r = int(row[begin[s]])
+                    r = int(row[s])
                     spans[r].append(
-                        {
-                            "start": int(starts[begin[s]] - bounds[r]),
-                            "last": int(starts[last[s]] - bounds[r]),
-                            "score": float(chance[s]),
-                        }
+                        {"start": int(first[s] - bounds[r]), "last": int(last[s] - bounds[r]), "score": float(chance[s])}
                     )
             kind = pa.list_(pa.struct([("start", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
@@ -267,3 +274,16 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, score double, offending array<struct<start: long, last: long, score: double>>"
     return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+
+
+def not_toxic(docs: DataFrame, model: Model, limit: float = OFFENDING, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below ``limit``, with all their columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        rolling, lookup = Rolling(), Lookup(model.hashes)
+        for rows, data, bounds in text_batches(batches, text_col):
+            yield rows.filter(pa.array(_scored(model, lookup, rolling, data, bounds)[0] < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
