@@ -285,9 +285,12 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stored(set_signatures(source, index), "near-sets")
     usable = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    members = stored(usable.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"]).select("id", "n", "rep"), "near-members")
-    reps = stored(usable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "signature"), "near-reps")
+    # Stored, so that a class of very many copies meets its rows in a join of its own, which can be split.
+    classes = stored(usable.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep")), "near-classes")
+    classed = usable.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"])
+    members = stored(classed.select("id", "n", "rep"), "near-members")
+    chosen = usable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = stored(chosen.select("id", "n", "signature"), "near-reps")
 
     keys = index_keys(reps, index)
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top")
