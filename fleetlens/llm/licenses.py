@@ -85,30 +85,45 @@ class Template:
         self.reach = ceil(stretch * len(words))
         self.counts = Counter(words)
 
-    def windows(self, places: list[int], words: list[int]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    def stretches(self, places: list[int], words: list[int]) -> tuple[list[int], list[int]]:
+        """For the stretch that begins at each word: where it ends, and how many words it could pair at most."""
+        have: Counter[int] = Counter()
+        ends, most = [], []
+        covered = end = 0
+        for begin, place in enumerate(places):
+            while end < len(places) and places[end] < place + self.reach:
+                have[words[end]] += 1
+                covered += have[words[end]] <= self.counts[words[end]]
+                end += 1
+            ends.append(end)
+            most.append(covered)
+            covered -= have[words[begin]] <= self.counts[words[begin]]
+            have[words[begin]] -= 1
+        return ends, most
+
+    def windows(self, places: list[int], words: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """Aligned stretches of a text, of which the template's words are given with their places.
 
-        A stretch is as long as the template and half as much; it is aligned if its words can cover
-        enough of the template at all. The next one begins after the last word that was paired.
+        A stretch is as long as the template and half as much. Where one could pair enough words, the
+        one that could pair most of those that begin inside it is aligned, and if that fails the
+        stretch itself. The next one begins after the last word that was paired.
         """
-        have: Counter[int] = Counter()
-        covered, end, begin = 0, 0, 0
+        ends, most = self.stretches(places, words)
+        begin, failed = 0, -1
         while begin < len(places):
-            while end < len(places) and places[end] < places[begin] + self.reach:
-                word = words[end]
-                have[word] += 1
-                covered += have[word] <= self.counts[word]
-                end += 1
-            step = 1
-            if covered >= self.least:
-                pairs = align(words[begin:end], self.words)
-                if len(pairs) >= self.least:
-                    yield begin, end, pairs
-                    step = pairs[-1][0] + 1
-            for word in words[begin : begin + step]:
-                covered -= have[word] <= self.counts[word]
-                have[word] -= 1
-            begin += step
+            step = begin + 1
+            if most[begin] >= self.least:
+                inside = most[begin : ends[begin]]
+                for at in dict.fromkeys((begin + inside.index(max(inside)), begin)):
+                    if at == failed:
+                        continue
+                    pairs = align(words[at : ends[at]], self.words)
+                    if len(pairs) >= self.least:
+                        yield at, pairs
+                        step = at + pairs[-1][0] + 1
+                        break
+                    failed = max(failed, at)
+            begin = step
 
 
 def words_of(rolling: Rolling, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +188,7 @@ def find_licenses(
                 own = slice(first[r], first[r + 1])
                 mine = counts[word[own], t] > 0
                 places, words = at[own][mine], word[own][mine]
-                for begin, _, pairs in template.windows(places.tolist(), words.tolist()):
+                for begin, pairs in template.windows(places.tolist(), words.tolist()):
                     low, high = places[begin + pairs[0][0]], places[begin + pairs[-1][0]]
                     found[r].append(
                         (
