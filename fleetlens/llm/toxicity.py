@@ -14,8 +14,8 @@ from fleetlens.llm.textbytes import Rolling, lower_table, member_table, runs, te
 
 TRAINING_DOCS = 8000
 FEATURES = 20_000
-LEAST_DOCS = 5
-LEAST_CHI2 = 30.0
+LEAST_DOCS = 3
+LEAST_CHI2 = 15.0
 PREFIXES = (4, 5, 6)
 ENDS = b".!?\n"
 STEPS = 600
