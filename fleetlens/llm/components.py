@@ -12,9 +12,9 @@ def components(links: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node in ``links`` (``a``, ``b``).
 
     Large-star and small-star steps alternate until every node points at a root. Each step takes a
-    minimum per node, combined before the shuffle, and joins it back, so that a node with very many
-    links is an ordinary skewed join and never a group in one task. Each round is stored, which
-    cuts the lineage. Links with a null end and from a node to itself are left out.
+    minimum per node, combined before the shuffle and stored, and joins it back, so that a node with
+    very many links is an ordinary skewed join, which adaptive execution splits, and never a group in
+    one task. Each round is stored, which cuts the lineage. Links with a null end and from a node to itself are left out.
     """
     edges = stored(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -25,9 +25,10 @@ def components(links: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(least, f"{name}-large")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.filter("a <> b").distinct(), f"{name}-moved")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-small")
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}-round")
         roots = edges.select(F.col("b").alias("a")).distinct()
