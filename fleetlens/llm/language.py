@@ -13,6 +13,7 @@ from fleetlens.llm.textbytes import lower_table, member_table, text_batches
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 300
+SAMPLE_PARTS = 16
 UNKNOWN = "und"
 BEFORE = 0x0A  # a text is taken to follow line ends
 KNOWN_WINDOWS = 1_000_000
@@ -142,13 +143,13 @@ def fit_languages(
     usable = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     ).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    hashed = usable.select("id", "lang", F.xxhash64("id").alias("hash"))
+    # The first of each part, and then of all parts: the last step sees so many rows of a language only.
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE_PARTS))
+    first = F.row_number().over(Window.partitionBy("lang", part).orderBy("hash", "id"))
+    parted = hashed.withColumn("place", first).filter(F.col("place") <= docs_per_language)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
-    sample = (
-        usable.select("id", "lang", F.xxhash64("id").alias("hash"))
-        .withColumn("place", rank)
-        .filter(F.col("place") <= docs_per_language)
-        .select("id", "lang")
-    )
+    sample = parted.withColumn("place", rank).filter(F.col("place") <= docs_per_language).select("id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_batches(batches, "text", 1 << 20):
