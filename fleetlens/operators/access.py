@@ -24,6 +24,7 @@ from fleetlens.functions.labels import (
     unquote_field,
 )
 from fleetlens.functions.matching import blank_to_null, digits_to_long, held, match_groups
+from fleetlens.operators.lines import split_rejects
 
 # The line grammar
 #   [peer>]ip user proto [date:time zone] "req" status size[ ["referer"] "agent"[ duration_us]]
@@ -52,6 +53,11 @@ def parse_access(lines: DataFrame, strict_zone: bool = True) -> tuple[DataFrame,
     A line is rejected when it does not match the grammar or has no valid time. With
     ``strict_zone`` only zones east of Greenwich match, as written with a plus sign.
     """
+    return split_rejects(parse_access_lines(lines, strict_zone), lines.columns)
+
+
+def parse_access_lines(lines: DataFrame, strict_zone: bool = True) -> DataFrame:
+    """The frame that holds records and rejects; see :func:`~fleetlens.operators.lines.split_rejects`."""
     pattern = _LINE % (r"\+" if strict_zone else "[+-]")
     groups = held(lines, g=match_groups(F.col("value"), pattern, _LINE_GROUPS))
     names = "peer ip user proto date time zone req status size referer agent duration".split()
@@ -59,11 +65,12 @@ def parse_access(lines: DataFrame, strict_zone: bool = True) -> tuple[DataFrame,
     stamp = F.try_to_timestamp(
         F.concat_ws(" ", fields["date"], fields["time"], fields["zone"]), F.lit(_STAMP)
     )
-    others = [c for c in groups.columns if c != "g"]
-    staged = held(groups, stamp=F.when(F.size("g") == _LINE_GROUPS, stamp))
-    keep = [c for c in others if c != "value"]
-    records = staged.where(F.col("stamp").isNotNull()).select(
-        *keep,
+    found = F.size("g") == _LINE_GROUPS
+    staged = held(groups, stamp=F.when(found, stamp))
+    rejected = F.when(F.col("stamp").isNull(), F.when(found, "time").otherwise("line"))
+    return staged.select(
+        *lines.columns,
+        rejected.alias("stage"),
         "stamp",
         effective_peer(blank_to_null(fields["peer"]), fields["ip"]).alias("peer"),
         fields["ip"].alias("ip"),
@@ -80,10 +87,6 @@ def parse_access(lines: DataFrame, strict_zone: bool = True) -> tuple[DataFrame,
         unquote_field(blank_to_null(fields["agent"])).alias("agent"),
         duration_ms(digits_to_long(fields["duration"])).alias("duration_ms"),
     )
-    rejects = staged.where(F.col("stamp").isNull()).select(
-        *others, F.when(F.size("g") == _LINE_GROUPS, "time").otherwise("line").alias("stage")
-    )
-    return records, rejects
 
 
 def parse_request(req: Column) -> Column:
@@ -131,13 +134,17 @@ def clauses_of(filters: Iterable[str | Clause]) -> list[Clause]:
 
 def apply_filters(records: DataFrame, filters: Iterable[str | Clause]) -> DataFrame:
     """All clauses must hold; within a clause any value may. An unknown key holds for no row."""
-    for key, values in clauses_of(filters):
-        known = _PREDICATES.get(key)
-        matches = [known(v) for v in values] if known else []
-        records = records.where(reduce(Column.__or__, matches, F.lit(False)))
+    for clause in clauses_of(filters):
+        records = records.where(clause_condition(clause))
     return records
 
 
+def clause_condition(clause: Clause) -> Column:
+    key, values = clause
+    known = _PREDICATES.get(key)
+    return reduce(Column.__or__, [known(v) for v in values] if known else [], F.lit(False))
+
+
 def prefilter_lines(lines: DataFrame, filters: Iterable[str | Clause]) -> DataFrame:
     """Drop lines that cannot pass ``filters`` before the costly parse.
 

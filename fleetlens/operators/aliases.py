@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.lines import FILE, KEY
+from fleetlens.operators.ordered import join_group_facts, row_hash
+from fleetlens.session import stored
 
 # The line that ends an alias file, and the comment mark.
 END_MARK = "_EOF_"
 COMMENT = ";"
-# An alias table is a hand-kept file; the annotation holds it in memory up to this many rows.
-MAX_ALIASES = 100_000
+_RUN = "[0-9a-f]+"  # fixed value: what an id and an alias consist of
 
 
 def read_aliases(lines: DataFrame) -> DataFrame:
@@ -42,20 +43,48 @@ def in_order(aliases: DataFrame) -> DataFrame:
     return aliases.orderBy("alias")
 
 
+def _prefixes(text: Column, lengths: list[int]) -> Column:
+    """The beginnings of all hexadecimal runs in a text, of the given lengths."""
+    starts = F.transform(
+        F.regexp_extract_all(text, F.lit(f"({_RUN})"), F.lit(1)),
+        lambda run: F.array(*[F.when(F.length(run) >= n, F.substring(run, 1, n)) for n in lengths]),
+    )
+    return F.array_distinct(F.array_compact(F.flatten(starts)))
+
+
+def _followers(aliases: DataFrame, lengths: list[int], rounds: int = 64) -> DataFrame:
+    """For each alias those later ones that its label brings in, directly or through another label."""
+    heads = aliases.select("alias", "seq", F.explode(_prefixes(F.col("label"), lengths)).alias("next"))
+    ends = aliases.select(F.col("alias").alias("next"), F.col("seq").alias("next_seq"))
+    step = stored(heads.join(ends, "next").where("next_seq > seq").select("alias", "next"), "alias-steps")
+    known, new = step, step
+    for _ in range(rounds):
+        if new.isEmpty():
+            return known
+        further = new.join(step.select(F.col("alias").alias("next"), F.col("next").alias("last")), "next")
+        new = stored(further.select("alias", F.col("last").alias("next")).distinct().exceptAll(known.distinct()), "alias-steps")
+        known = known.unionByName(new)
+    raise ValueError(f"labels bring in aliases over more than {rounds} steps")
+
+
 def annotate_ids(df: DataFrame, text: str, aliases: DataFrame, out: str = "annotated") -> DataFrame:
     """Add ``text`` with a label after each hexadecimal run that starts with an alias.
 
-    Aliases apply one after the other, each to the text the earlier ones left. Runs one job that
-    fetches the aliases; a table of more than ``MAX_ALIASES`` raises ``ValueError``.
+    Aliases apply one after the other, each to the text the earlier ones left, labels included. An
+    alias that is no hexadecimal text starts no run. Texts meet the aliases in a join on the
+    beginnings of their runs, one for each length of an alias; each distinct text is then rewritten
+    by the few aliases it has. Runs jobs for the lengths and for aliases within labels.
     """
-    fetched = aliases.orderBy("seq").select("alias", "label").limit(MAX_ALIASES + 1).collect()
-    if len(fetched) > MAX_ALIASES:
-        raise ValueError(f"more than {MAX_ALIASES} aliases")
-    if not fetched:
+    usable = stored(aliases.where(F.col("alias").rlike(f"^{_RUN}$")).select("alias", "label", "seq"), "aliases")
+    lengths = sorted(r["n"] for r in usable.select(F.length("alias").alias("n")).distinct().collect())
+    if not lengths:
         return df.withColumn(out, F.col(text))
-    table = F.array(
-        *[F.struct(F.lit(row["alias"]).alias("alias"), F.lit(row["label"]).alias("label")) for row in fetched]
-    )
+    texts = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n"))
+    hits = texts.select("_text", F.explode(_prefixes(F.col("_text"), lengths)).alias("alias")).join(usable, "alias")
+    later = _followers(usable, lengths).join(usable.withColumnRenamed("alias", "next"), "next")
+    brought = hits.select("_text", "alias").join(later, "alias").select("_text", F.col("next").alias("alias"), "label", "seq")
+    entries = hits.select("_text", "alias", "label", "seq").unionByName(brought)
+    found = entries.groupBy("_text").agg(F.sort_array(F.collect_set(F.struct("seq", "alias", "label"))).alias("_entries"))
 
     def annotate(result, entry):
         pattern = F.concat(F.lit("(?d)(^|[^0-9a-f])("), entry["alias"], F.lit(")([0-9a-f]*)"))
@@ -63,7 +92,12 @@ def annotate_ids(df: DataFrame, text: str, aliases: DataFrame, out: str = "annot
         replacement = F.concat(F.lit("$1$2$3 "), label)
         return F.when(result.contains(entry["alias"]), F.regexp_replace(result, pattern, replacement)).otherwise(result)
 
-    return df.withColumn(out, F.aggregate(table, F.col(text), annotate))
+    rewritten = found.select("_text", F.aggregate("_entries", F.col("_text"), annotate).alias(out))
+    # Every text has its facts, so one that is very frequent is spread whether it has an alias or not.
+    facts = texts.join(rewritten, "_text", "left")
+    rows = df.withColumn("_text", F.coalesce(F.col(text), F.concat(F.lit("none "), row_hash(df).cast("string"))))
+    joined = join_group_facts(rows, facts, "_text", "_n", "left")
+    return joined.select(*df.columns, F.coalesce(out, F.col(text)).alias(out))
 
 
 def resolve_alias(df: DataFrame, id_column: str, aliases: DataFrame, out: str = "resolved") -> DataFrame:

@@ -36,7 +36,7 @@ def skip_version_control(files: DataFrame) -> DataFrame:
 def size_candidates(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Files whose size occurs more than once; no other file can have a duplicate."""
     sizes = files.groupBy("size").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    return join_group_facts(files, sizes, "size", "_n", IDENTITY, "inner", hot_rows).select(*files.columns)
+    return join_group_facts(files, sizes, "size", "_n", "inner", hot_rows).select(*files.columns)
 
 
 def reuse_digest(files: DataFrame, previous: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _group_sizes(files: DataFrame) -> DataFrame:
 
 def duplicate_members(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per member of a duplicate group, with the size of the group."""
-    members = join_group_facts(files, _group_sizes(files), "md5", "n", IDENTITY, "inner", hot_rows)
+    members = join_group_facts(files, _group_sizes(files), "md5", "n", "inner", hot_rows)
     return members.select(*files.columns, "n")
 
 
@@ -99,7 +99,7 @@ def dedup_plan(files: DataFrame, keep: int | str | None = 1, hot_rows: int = HOT
         ranked = first_in_group(with_md5, ["md5"], [member_order()], keep, F.xxhash64(*IDENTITY))
         nth = ranked.where(F.col("rank") == keep).select("md5", member_order().alias("_kept"))
         kept = _group_sizes(files).join(nth, "md5", "left")
-    members = join_group_facts(files, kept.where("n > 1"), "md5", "n", IDENTITY, "inner", hot_rows)
+    members = join_group_facts(files, kept.where("n > 1"), "md5", "n", "inner", hot_rows)
     action = (
         F.when(F.col("_kept").isNull(), "skip")
         .when(F.col("_kept") == member_order(), "keep")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.labels import section_date
 from fleetlens.functions.matching import blank_to_null, digits_to_long, held, match_groups
+from fleetlens.operators.lines import split_rejects
 
 # The line grammar
 #   [Day Mon DD HH:MM:SS.us YYYY] [channel:level] [pid n[:tid n]] [[client ip:port]] message
@@ -42,6 +43,11 @@ Rule = tuple[str | None, str | None, str | None]
 
 def parse_error(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(records, rejects)``; a reject names the stage that failed: line, datetime or client."""
+    return split_rejects(parse_error_lines(lines), lines.columns)
+
+
+def parse_error_lines(lines: DataFrame) -> DataFrame:
+    """The frame that holds records and rejects; see :func:`~fleetlens.operators.lines.split_rejects`."""
     groups = held(lines, g=match_groups(F.col("value"), _LINE, _LINE_GROUPS))
     names = "datetime channel level pid tid client message".split()
     fields = {name: F.get("g", F.lit(i)) for i, name in enumerate(names)}
@@ -55,14 +61,14 @@ def parse_error(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(_STAMP),
     )
     staged = held(staged, stamp=F.when(F.size("d") == 4, stamp))
-    others = [c for c in staged.columns if c not in ("g", "d", "c", "stamp")]
     stage = (
         F.when(~found, "line")
         .when(F.col("stamp").isNull(), "datetime")
         .when(F.col("c").isNotNull() & (F.size("c") != 2), "client")
     )
-    records = staged.where(stage.isNull()).select(
-        *[c for c in others if c != "value"],
+    return staged.select(
+        *lines.columns,
+        stage.alias("stage"),
         "stamp",
         section_date(F.col("stamp")).alias("date"),
         clock.substr(1, 8).alias("time"),
@@ -74,8 +80,6 @@ def parse_error(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         digits_to_long(F.get("c", F.lit(1))).alias("port"),
         F.btrim(fields["message"], F.lit(_TRIMMED)).alias("message"),
     )
-    rejects = staged.where(stage.isNotNull()).select(*others, stage.alias("stage"))
-    return records, rejects
 
 
 def _matches(rule: Rule) -> Column:

@@ -7,6 +7,8 @@ block_start, seq)`` is the order of lines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,22 @@ def route_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, lines.where(_is_passthrough())
 
 
+def split_rejects(rows: DataFrame, line_columns: Sequence[str], replaced: str = "") -> tuple[DataFrame, DataFrame]:
+    """``(records, rejects)`` of one parsed frame, so that a stored frame gives both from one parse.
+
+    The frame has the columns of the lines, ``stage`` (null for a record) and the fields of records. A
+    line column of the name ``replaced`` is held as ``line_`` and that name, as records have their own.
+    """
+    held_as = {c: f"line_{c}" if c == replaced else c for c in line_columns}
+    dropped = {"value", "stage", *(held_as[c] for c in line_columns if c == replaced)}
+    records = rows.where(F.col("stage").isNull()).select(*[c for c in rows.columns if c not in dropped])
+    rejects = rows.where(F.col("stage").isNotNull())
+    return records, rejects.select(*[F.col(held_as[c]).alias(c) for c in line_columns], "stage")
+
+
 def mark_sections(rows: DataFrame, date: str = "date", out: str = "new_section") -> DataFrame:
     """True where the date differs from that of the preceding row of the file, and on the first."""
-    marked = previous_value(rows, FILE, BLOCK, SEQ, F.col(date), "_previous")
-    changed = F.col("_previous").isNull() | ~F.col("_previous.v").eqNullSafe(F.col(date))
+    day = F.xxhash64(date)  # only whether it changes counts
+    marked = previous_value(rows, FILE, BLOCK, SEQ, day, "_previous")
+    changed = F.col("_previous").isNull() | (F.col("_previous") != day)
     return marked.select(*rows.columns, changed.alias(out))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.arguments import MONTHS
 from fleetlens.functions.matching import SEPARATOR, digits_to_long, held, match_groups
+from fleetlens.operators.lines import split_rejects
 from fleetlens.operators.ordered import carry_last
 
-# The syslog grammar; text before the month name is skipped.
+# The syslog grammar; text before the month name is skipped. A month is tried at the
+# start of a run of letters only, so a long run is passed once.
 _SYSLOG = (
-    r"(?d)^.*?([A-Za-z]+) +(\d+) (\d{2}:\d{2}:\d{2}) "
+    r"(?d)^.*?(?<![A-Za-z])([A-Za-z]++) +(\d+) (\d{2}:\d{2}:\d{2}) "
     r"([a-z0-9-]+) "
     r"(.*?)(?:\[(\d+)\])?: "
     r"(.*)$"
@@ -59,14 +62,29 @@ MAIL_KINDS = (
     ("anvil_stats_2", r"statistics: max connection count \d+ for \(.*\) at .*", "", "", "", "info"),
     ("anvil_stats_3", r"statistics: max cache size \d+ at .*", "", "", "", "info"),
 )
-# Patterns per generated method; all of them in one make a method too long to be compiled.
-_KINDS_PER_STEP = 4
+# A text that every message of the kind holds, where the pattern does not begin with one.
+_HOLDS = {
+    "conn_auth_fail": "]: SASL ",
+    "conn_spf": "; identity=",
+    "msg_start": ": client=",
+    "msg_generic": ": ",
+    "sys_dovecot_1": "auth",
+}
 UNPARSED = "unparsed"
 UNKNOWN_ADDRESS = "**UNKNOWN**"
 
 
 def parse_syslog(lines: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     """``(records, rejects)``. Syslog lines carry no year, so the caller gives it."""
+    return split_rejects(parse_syslog_lines(lines, year), lines.columns, "host")
+
+
+def parse_syslog_lines(lines: DataFrame, year: int) -> DataFrame:
+    """The frame that holds records and rejects; see :func:`~fleetlens.operators.lines.split_rejects`.
+
+    The host is the one that the line names; a host column of the lines stays with the rejects as
+    ``line_host``.
+    """
     groups = held(lines, g=match_groups(F.col("value"), _SYSLOG, _SYSLOG_GROUPS))
     names = "month day time host process pid message".split()
     fields = {name: F.get("g", F.lit(i)) for i, name in enumerate(names)}
@@ -79,9 +97,10 @@ def parse_syslog(lines: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
         F.lpad(month.cast("string"), 2, "0"),
         F.when(F.length(day) < 2, F.lpad(day, 2, "0")).otherwise(day),
     )
-    others = [c for c in groups.columns if c != "g"]
-    records = groups.where(valid).select(
-        *[c for c in others if c not in ("value", "host")],  # the host is named in the line
+    others = [F.col(c).alias("line_host" if c == "host" else c) for c in lines.columns]
+    return groups.select(
+        *others,
+        F.when(~valid, "syslog").alias("stage"),
         date.alias("date"),
         fields["time"].alias("time"),
         fields["host"].alias("host"),
@@ -89,33 +108,36 @@ def parse_syslog(lines: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
         digits_to_long(fields["pid"]).alias("pid"),
         fields["message"].alias("message"),
     )
-    rejects = groups.where(~valid).select(*others, F.lit("syslog").alias("stage"))
-    return records, rejects
 
 
-def _packed(message: Column, kind: tuple[str, ...]) -> Column:
-    """Replace a message of this kind by its packed fields; leave any other text alone.
+def _may_match(message: Column, name: str, pattern: str) -> Column:
+    """A cheap test that every message of the kind passes."""
+    start = re.match(r"[\w :]*", pattern).group()
+    tests = [message.startswith(start)] if start else []
+    tests += [message.contains(_HOLDS[name])] if name in _HOLDS else []
+    return reduce(Column.__and__, tests)
 
-    A packed text holds newlines, which no pattern can cross, so later kinds leave it alone too.
-    """
-    name, pattern, address, msgid, content, severity = kind
-    reason = "$3" if name == "conn_prewarn" else ""  # shown in brackets, if there is one
-    packed = SEPARATOR.join((name, address, msgid, content, severity, reason))
-    return F.regexp_replace(message, f"(?d)^{pattern}$", packed)
+
+def _packed(message: Column) -> Column:
+    """The fields of the first kind that a message matches, as one text; null if it matches none."""
+    cases = F
+    for name, pattern, address, msgid, content, severity in MAIL_KINDS:
+        reason = "$3" if name == "conn_prewarn" else ""  # shown in brackets, if there is one
+        packed = SEPARATOR.join((name, address, msgid, content, severity, reason))
+        whole = f"(?d)^{pattern}$"
+        matches = _may_match(message, name, pattern) & message.rlike(whole)
+        cases = cases.when(matches, F.regexp_replace(message, whole, packed))
+    return cases
 
 
 def classify_mail(records: DataFrame) -> DataFrame:
     """Add ``kind``, ``ipaddr``, ``msgid``, ``severity`` and ``content``.
 
-    One replacement per kind runs over the message; the first that matches packs its fields. The
-    address of ``msg_generic`` rows is left null for :func:`enrich_msgid`.
+    Most messages meet the pattern of their own kind only, as literal texts tell the kinds apart
+    first. The address of ``msg_generic`` rows is left null for :func:`enrich_msgid`.
     """
-    rows = records.withColumn("_packed", F.col("message"))
-    for start in range(0, len(MAIL_KINDS), _KINDS_PER_STEP):
-        kinds = MAIL_KINDS[start : start + _KINDS_PER_STEP]
-        rows = held(rows, _packed=reduce(_packed, kinds, F.col("_packed")))
-    rows = held(rows, p=F.split("_packed", SEPARATOR, -1))
-    found = F.size("p") > 1
+    rows = held(records, p=F.split(_packed(F.col("message")), SEPARATOR, -1))
+    found = F.col("p").isNotNull()
     name, address, msgid, content, severity, reason = (F.get("p", F.lit(i)) for i in range(6))
     return rows.select(
         *records.columns,
@@ -135,11 +157,11 @@ def enrich_msgid(records: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
     ``scope`` narrows the state, for instance to ``["host"]``, where several hosts may use the same
     ids. Rows without a message id keep their address; they stay in the same flow, as splitting them
-    off would read and parse the lines once more.
+    off would read and parse the lines once more, but carry nothing and are no group of their own.
     """
     client = F.when(F.col("kind") == "msg_start", F.col("ipaddr"))
     carried = carry_last(
-        records, [*scope, "msgid"], ["file_path", "block_start"], "seq", client, "_client"
+        records, [*scope, "msgid"], ["file_path", "block_start"], "seq", client, "_client", F.col("msgid") != ""
     )
     ipaddr = F.coalesce(F.col("ipaddr"), F.col("_client"), F.lit(UNKNOWN_ADDRESS))
     return carried.withColumn("ipaddr", ipaddr).select(*records.columns)

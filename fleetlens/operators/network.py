@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.addresses import ip_bits, ip_family, net_parts
 from fleetlens.functions.matching import held
-from fleetlens.operators.ordered import HOT_ROWS, SPREAD, join_group_facts
+from fleetlens.operators.ordered import HOT_ROWS, SPREAD, join_group_facts, row_hash
+from fleetlens.session import stored
 
 # Known groups in priority order, and the addresses of the built-in one.
 GROUPS = ("local", "cloudflare", "google:bot", "google:ads", "google:user")
@@ -19,8 +19,8 @@ GOOGLE_GROUPS = ("google:bot", "google:ads", "google:user")
 LOCAL_ADDRESSES = ("127.0.0.1", "::1")
 LOCAL_LABEL = "localhost"
 
-# Networks up to this number are broadcast, one hash table per prefix length; 200,000 rows of at
-# most about 200 bytes stay below 40 MB. More take the shuffled way.
+# Networks up to this number in all are broadcast, one hash table per prefix length; 200,000 rows of
+# at most about 200 bytes stay below 40 MB. The networks of larger prefix lengths are shuffled.
 BROADCAST_NETS = 200_000
 _GROUP_STEP = 2**40
 
@@ -86,48 +86,72 @@ def bad_networks(nets: DataFrame) -> DataFrame:
 
 
 def lookup_network(
-    df: DataFrame, ip: str, nets: DataFrame, out: str = "net_label", broadcast_nets: int = BROADCAST_NETS
+    df: DataFrame,
+    ip: str,
+    nets: DataFrame,
+    out: str = "net_label",
+    broadcast_nets: int = BROADCAST_NETS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the label of the first network, by priority, that holds the address; null without one.
 
     Runs one job to fetch up to ``broadcast_nets`` networks and one more. If that was all of them,
     the rows are not shuffled: each distinct prefix length is one broadcast hash join on the leading
-    digits. Otherwise distinct addresses are looked up with shuffled joins and joined back.
+    digits. Otherwise distinct addresses are looked up with shuffled joins and joined back; on a
+    stream, which cannot be grouped by address without end, the rows themselves meet the networks
+    of each large prefix length in a shuffled join.
     """
     table = network_table(nets)
     fetched = table.limit(broadcast_nets + 1).toArrow()
-    if fetched.num_rows > broadcast_nets:
-        return _lookup_shuffled(df, ip, table, out)
-    return _lookup_broadcast(df, ip, fetched, out)
-
-
-def _lookup_broadcast(df: DataFrame, ip: str, nets: pa.Table, out: str) -> DataFrame:
-    kinds = nets.group_by(["family", "prefix_len"]).aggregate([]).to_pylist()  # at most 33 + 129
+    if fetched.num_rows <= broadcast_nets:
+        kinds = fetched.group_by(["family", "prefix_len"]).aggregate([]).to_pylist()  # at most 33 + 129
+        local = df.sparkSession.createDataFrame(fetched)
+        return _lookup_by_kind(df, ip, [(k["family"], k["prefix_len"], True) for k in kinds], local, out)
+    kept = stored(table, "networks")
+    if not df.isStreaming:
+        return _lookup_by_address(df, ip, kept, out, hot_rows)
+    counts = kept.groupBy("family", "prefix_len").agg(F.count("*").alias("n")).orderBy("n").collect()
+    kinds, total = [], 0
+    for kind in counts:
+        total += kind["n"]
+        kinds.append((kind["family"], kind["prefix_len"], total <= broadcast_nets))
+    return _lookup_by_kind(df, ip, kinds, kept, out)
+
+
+def _lookup_by_kind(df: DataFrame, ip: str, kinds: list[tuple[str, int, bool]], nets: DataFrame, out: str) -> DataFrame:
+    """One left join per family and prefix length, a broadcast one where the kind says so."""
     if not kinds:
         return df.withColumn(out, F.lit(None).cast("string"))
-    rows = held(df, _bits=ip_bits(F.col(ip)))
-    table = df.sparkSession.createDataFrame(nets)
+    spread = F.pmod(row_hash(df), F.lit(SPREAD)).cast("int")
+    rows = held(df, _bits=ip_bits(F.col(ip)), _spread=spread)
     hits: list[Column] = []
-    for kind in sorted(kinds, key=lambda k: (k["family"], k["prefix_len"])):
-        family, prefix_len = kind["family"], kind["prefix_len"]
+    for family, prefix_len, small in sorted(kinds):
         key, hit = f"_key_{family}_{prefix_len}", f"_hit_{family}_{prefix_len}"
-        side = table.where((F.col("family") == family) & (F.col("prefix_len") == prefix_len)).select(
+        side = nets.where((F.col("family") == family) & (F.col("prefix_len") == prefix_len)).select(
             F.col("bits").alias(key), F.struct("priority", "label").alias(hit)
         )
         width = 32 if family == "v4" else 128
         leading = F.when(F.length("_bits") == width, F.substring("_bits", 1, prefix_len))
-        rows = rows.join(F.broadcast(side), leading == F.col(key), "left")
+        if small:
+            rows = rows.join(F.broadcast(side), leading == F.col(key), "left")
+        else:
+            # An address or prefix may be very frequent, and rows of no or another family have no digits.
+            salt = f"_salt_{family}_{prefix_len}"
+            side = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+            digits = F.coalesce(leading, F.concat(F.lit("none "), F.col("_spread")))
+            rows = rows.join(side, (digits == F.col(key)) & (F.col("_spread") == F.col(salt)), "left")
         hits.append(F.col(hit))
     best = F.least(*hits) if len(hits) > 1 else hits[0]
     return rows.select(*df.columns, best["label"].alias(out))
 
 
-def _lookup_shuffled(df: DataFrame, ip: str, table: DataFrame, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _lookup_by_address(df: DataFrame, ip: str, table: DataFrame, out: str, hot_rows: int) -> DataFrame:
     counts = df.where(F.col(ip).isNotNull()).groupBy(F.col(ip).alias("_ip")).agg(F.count("*").alias("_n"))
-    bits = held(counts, _bits=ip_bits(F.col("_ip"))).where(F.col("_bits").isNotNull())
-    lengths = table.groupBy("family").agg(F.collect_set("prefix_len").alias("_lengths"))
+    addresses = stored(held(counts, _bits=ip_bits(F.col("_ip"))), "addresses")
+    lengths = table.groupBy("family").agg(F.collect_set("prefix_len").alias("_lengths"))  # two rows
     probes = (
-        bits.withColumn("family", ip_family(F.col("_ip")))
+        addresses.where(F.col("_bits").isNotNull())
+        .withColumn("family", ip_family(F.col("_ip")))
         .join(F.broadcast(lengths), "family")
         .withColumn("prefix_len", F.explode("_lengths"))
         .withColumn("bits", F.expr("substring(_bits, 1, prefix_len)"))
@@ -137,9 +161,11 @@ def _lookup_shuffled(df: DataFrame, ip: str, table: DataFrame, out: str, hot_row
     probes = probes.withColumn("_salt", F.pmod(F.xxhash64("_ip"), F.lit(SPREAD)).cast("int"))
     found = (
         probes.join(salted, ["family", "prefix_len", "bits", "_salt"])
-        .groupBy("_ip", "_n")
+        .groupBy("_ip")
         .agg(F.min(F.struct("priority", "label"))["label"].alias(out))
     )
-    rows = df.withColumn("_ip", F.col(ip))
-    joined = join_group_facts(rows, found, "_ip", "_n", df.columns, "left", hot_rows)
-    return joined.select(*df.columns, out)
+    # Every address has its facts, so one that is very frequent is spread whether it was found or not.
+    facts = addresses.select("_ip", "_n").join(found, "_ip", "left")
+    nowhere = F.concat(F.lit("none "), row_hash(df).cast("string"))
+    rows = held(df, _ip=F.coalesce(F.col(ip), nowhere))
+    return join_group_facts(rows, facts, "_ip", "_n", "left", hot_rows).select(*df.columns, out)

@@ -18,10 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# More rows than this under one key are spread over several tasks. The keys above it number at most
-# (all rows) / HOT_ROWS, which bounds the list that is broadcast.
+# More rows than this under one key are spread over several tasks.
 HOT_ROWS = 1_000_000
 SPREAD = 64
+# Keys that are spread number at most this many, as a key is also left whole while it holds less
+# than that share of all rows. So the list of them may be broadcast.
+HOT_KEYS = 100_000
 
 
 def block_totals(
@@ -87,23 +89,23 @@ def previous_value(
     out: str,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """``value`` of the preceding row of the group, as ``struct<v>``; null on the first row.
+    """``value`` of the preceding row of the group; null on the first row.
 
-    ``initial`` has the group columns and ``v``, the value before the first row of a group. It joins
-    the block summary, not the rows.
+    ``value`` is of a fixed-width type, so that blocks are summed up by hash, and never null. Where
+    only equality counts, give a hash of a text. ``initial`` has the group columns and ``v``, the value
+    before the first row of a group. It joins the block summary, not the rows.
     """
-    held = F.struct(value.alias("v"))
-    edges = df.groupBy(*group, *block).agg(F.max_by(held, F.col(seq)).alias("_edge"))
+    edges = df.groupBy(*group, *block).agg(F.max_by(value, F.col(seq)).alias("_edge"))
     whole = Window.partitionBy(*group).orderBy(*block)
     edges = edges.select(*group, *block, F.lag("_edge").over(whole).alias("_edge"))
     if initial is not None:
-        edges = edges.join(initial.select(*group, F.struct("v").alias("_initial")), [*group], "left").select(
+        edges = edges.join(initial.select(*group, F.col("v").alias("_initial")), [*group], "left").select(
             *group, *block, F.coalesce("_edge", "_initial").alias("_edge")
         )
     inside = Window.partitionBy(*group, *block).orderBy(seq)
     # Every block has its edge; a left join can be left out where the result is not asked for.
     return df.join(edges, [*group, *block], "left").select(
-        *df.columns, F.coalesce(F.lag(held).over(inside), F.col("_edge")).alias(out)
+        *df.columns, F.coalesce(F.lag(value).over(inside), F.col("_edge")).alias(out)
     )
 
 
@@ -114,14 +116,28 @@ def carry_last(
     seq: str,
     value: Column,
     out: str,
+    within: Column | None = None,
 ) -> DataFrame:
-    """The latest non-null ``value`` up to and including this row of the group."""
-    order = F.when(value.isNotNull(), F.col(seq))
-    edges = df.groupBy(*group, *block).agg(F.max_by(value, order).alias("_edge"))
+    """The latest non-null ``value`` up to and including this row of the group.
+
+    The block summary holds places only, which are numbers and so summed up by hash; the values are
+    fetched from the rows at those places. Nothing is carried from one block to another by rows
+    outside ``within``.
+    """
+    rows = df if within is None else df.where(within)
+    places = rows.groupBy(*group, *block).agg(F.max(F.when(value.isNotNull(), F.col(seq))).alias("_at"))
     earlier = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(
-        *group, *block, F.last("_edge", ignorenulls=True).over(earlier).alias("_edge")
-    ).where(F.col("_edge").isNotNull())
+    from_block = [f"_from_{c}" for c in block]
+    place = F.when(F.col("_at").isNotNull(), F.struct(*[F.col(c).alias(f) for c, f in zip(block, from_block)], "_at"))
+    edges = (
+        places.select(*group, *block, F.last(place, ignorenulls=True).over(earlier).alias("_place"))
+        .where(F.col("_place").isNotNull())
+        .select(*group, *block, "_place.*")
+    )
+    values = rows.where(value.isNotNull()).select(
+        *group, *[F.col(c).alias(f) for c, f in zip(block, from_block)], F.col(seq).alias("_at"), value.alias("_edge")
+    )
+    edges = edges.join(values, [*group, *from_block, "_at"]).select(*group, *block, "_edge")
     inside = (
         Window.partitionBy(*group, *block)
         .orderBy(seq)
@@ -153,26 +169,34 @@ def first_in_group(
     )
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash that tells rows apart, equal rows of different tasks too."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.spark_partition_id(), *plain)
+
+
 def join_group_facts(
     rows: DataFrame,
     facts: DataFrame,
     key: str,
     n: str,
-    identity: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    spread: int = SPREAD,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Attach the one facts row of a key to all rows of that key, hot keys spread over many tasks.
 
-    ``facts[n]`` is the number of rows under the key. Facts of keys above ``hot_rows`` are repeated
-    ``spread`` times and their rows are salted by ``identity``; all other keys join as they are.
+    ``facts[n]`` is the number of rows under the key. Keys of more than ``hot_rows`` rows, and of more than
+    one in ``hot_keys`` of all rows, get a salt for each so many rows: their facts are repeated and
+    their rows salted. There are ``hot_keys`` such keys at most. All other keys join as they are.
     """
-    hot = facts.where(F.col(n) > hot_rows).select(key, F.lit(True).alias("_hot"))
+    share = facts.agg(F.sum(n) / hot_keys).scalar()
+    limit = F.greatest(F.lit(float(hot_rows)), F.coalesce(share, F.lit(0.0)))
+    salts = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit)).otherwise(1).cast("bigint")
+    salted = facts.withColumn("_salts", salts)
+    hot = salted.where(F.col("_salts") > 1).select(key, "_salts")
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*identity), F.lit(spread))).otherwise(0).cast("bigint"),
+        "_salt", F.coalesce(F.pmod(row_hash(rows), F.col("_salts")), F.lit(0).cast("bigint"))
     )
-    last = F.when(F.col(n) > hot_rows, spread - 1).otherwise(0).cast("bigint")
-    salted_facts = facts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_salt"))
-    return salted_rows.join(salted_facts, [key, "_salt"], how).drop("_hot", "_salt")
+    repeated = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
+    return salted_rows.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.labels import container_state, short_id, short_status, verdict_class
 from fleetlens.functions.matching import held, match_groups
 from fleetlens.operators.lines import BLOCK, FILE, KEY, SEQ
-from fleetlens.operators.ordered import carry_last, previous_value
 
 # Patterns of paths, ports, chains, counters and header lines.
 _CONTAINER_PATH = r"(?d)^/var/lib/docker/containers/([0-9a-f]+)/"
@@ -208,34 +207,60 @@ def with_ports(containers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def carry_chain(lines: DataFrame) -> DataFrame:
-    """Add ``chain`` and ``policy`` of the section a line is in; null outside of any.
+    """Add ``chain`` and ``policy`` of the section a line is in, its key, and ``role``; null outside of any.
 
     A line ``Chain NAME TEXT`` opens a section and an empty line ends it. A line inside a section is
-    never taken for an opening one unless it has that form.
+    never taken for an opening one unless it has that form. The section is known by the place of
+    its opening line, ``section_block`` and ``section_seq``, as a name may occur twice. ``role`` is
+    ``open``, ``header`` for the line after it, or ``rule``; ``table`` is taken from the lines, and is
+    ``filter`` where they name none.
     """
     groups = match_groups(F.col("value"), _CHAIN, 2)
     opens = F.col("value").rlike(_CHAIN)
     mark = F.when(opens, F.struct(F.get(groups, F.lit(0)).alias("chain"), F.get(groups, F.lit(1)).alias("policy")))
     mark = F.when(F.col("value") == "", F.struct(F.lit("").alias("chain"), F.lit("").alias("policy"))).otherwise(mark)
-    marked = carry_last(held(lines, _mark=mark), FILE, BLOCK, SEQ, F.col("_mark"), "_section")
-    inside = F.col("_section.chain") != ""
-    return marked.select(
+    marked = held(lines, _mark=mark, _opens=opens)
+    marks = F.when(F.col("_mark").isNotNull(), F.col(SEQ))
+    places = marked.groupBy(*FILE, *BLOCK).agg(F.max(marks).alias("_at"), F.max_by("_opens", SEQ).alias("_opened"))
+    blocks = Window.partitionBy(*FILE).orderBy(*BLOCK)
+    place = F.when(F.col("_at").isNotNull(), F.struct(F.col("block_start").alias("_from"), "_at"))
+    before = F.last(place, ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    edges = places.select(*FILE, *BLOCK, before.alias("_place"), F.lag("_opened").over(blocks).alias("_opened"))
+    edges = edges.select(*FILE, *BLOCK, "_place._from", "_place._at", "_opened")
+    values = marked.where(F.col("_mark").isNotNull()).select(
+        *FILE, F.col("block_start").alias("_from"), F.col(SEQ).alias("_at"), F.col("_mark").alias("_edge")
+    )
+    edges = edges.join(values, [*FILE, "_from", "_at"], "left")
+    inside = Window.partitionBy(*FILE, *BLOCK).orderBy(SEQ)
+    here = F.struct(F.col("_mark").alias("mark"), F.col("block_start").alias("block"), F.col(SEQ).alias("seq"))
+    there = F.struct(F.col("_edge").alias("mark"), F.col("_from").alias("block"), F.col("_at").alias("seq"))
+    own, edge = F.when(F.col("_mark").isNotNull(), here), F.when(F.col("_edge").isNotNull(), there)
+    placed = marked.join(edges, [*FILE, *BLOCK], "left").select(
         *lines.columns,
-        F.when(inside, F.col("_section.chain")).alias("chain"),
-        F.when(inside, F.col("_section.policy")).alias("policy"),
+        "_opens",
+        F.coalesce(F.last(own, ignorenulls=True).over(inside), edge).alias("_section"),
+        F.coalesce(F.lag("_opens").over(inside), F.col("_opened"), F.lit(False)).alias("_after"),
+    )
+    found = F.col("_section.mark.chain") != ""
+    others = [c for c in lines.columns if c != "table"]
+    return placed.select(
+        *others,
+        F.col("table") if "table" in lines.columns else F.lit("filter").alias("table"),
+        F.when(found, F.col("_section.mark.chain")).alias("chain"),
+        F.when(found, F.col("_section.mark.policy")).alias("policy"),
+        F.when(found, F.col("_section.block")).alias("section_block"),
+        F.when(found, F.col("_section.seq")).alias("section_seq"),
+        F.when(found, F.when(F.col("_opens"), "open").when(F.col("_after"), "header").otherwise("rule")).alias("role"),
     )
 
 
 def read_firewall_snapshot(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rules, chains, rejects)`` of a rule listing; ``chains`` has a row for empty chains too."""
+    """``(rules, chains, rejects)`` of a rule listing; ``chains`` has a row per section, empty ones too."""
     placed = carry_chain(lines)
-    opens = F.col("value").rlike(_CHAIN)
-    after = previous_value(placed, FILE, BLOCK, SEQ, opens, "_previous")
-    is_header = F.coalesce(F.col("_previous.v"), F.lit(False)) & F.col("chain").isNotNull()
-    body = after.where(F.col("chain").isNotNull() & ~opens & ~is_header)
+    body = placed.where(F.col("role") == "rule")
     names = "num pkts bytes target prot opt in_iface out_iface source destination".split()
     tokens = body.select(
-        *[c for c in body.columns if c not in ("value", "_previous")],
+        *[c for c in body.columns if c not in ("value", "role")],
         F.split(F.btrim("value", F.lit(_TRIMMED)), _BLANKS).alias("t"),
     )
     rules = tokens.select(
@@ -243,13 +268,9 @@ def read_firewall_snapshot(lines: DataFrame) -> tuple[DataFrame, DataFrame, Data
         *[_token("t", i).alias(name) for i, name in enumerate(names)],
         F.concat_ws(" ", F.slice("t", len(names) + 1, F.greatest(F.size("t") - len(names), F.lit(0)))).alias("other"),
     )
-    counts = rules.groupBy("file_path", "chain").agg(F.count("*").alias("rules"))
-    chains = (
-        placed.where(opens)
-        .select("file_path", "chain", "policy")
-        .join(counts, ["file_path", "chain"], "left")
-        .withColumn("rules", F.coalesce("rules", F.lit(0).cast("bigint")))
-    )
+    section = [*FILE, "table", "section_block", "section_seq", "chain", "policy"]
+    sections = placed.where(F.col("role").isNotNull()).groupBy(*section)
+    chains = sections.agg(F.count_if(F.col("role") == "rule").alias("rules"))
     rejects = placed.where(F.col("chain").isNull() & (F.col("value") != "")).select(
         *lines.columns, F.lit("chain").alias("stage")
     )

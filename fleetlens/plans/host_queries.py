@@ -101,7 +101,7 @@ def ports_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "firewall_rules",
-    """SELECT p_brand AS chain, '(policy DROP 0 packets, 0 bytes)' AS policy, p_partkey::VARCHAR AS num,
+    """SELECT 'filter' AS table, p_brand AS chain, '(policy DROP 0 packets, 0 bytes)' AS policy, p_partkey::VARCHAR AS num,
          p_size::BIGINT AS pkts_n, 'K' AS pkts_mult, (p_partkey * 3)::BIGINT AS bytes_n, '' AS bytes_mult,
          ['REJECT', 'DROP', 'ACCEPT', 'LOG', 'RETURN', p_type][p_partkey % 6 + 1] AS target,
          ['reject', 'drop', 'accept', 'log', 'return', 'plain'][p_partkey % 6 + 1] AS verdict,
@@ -110,13 +110,17 @@ def ports_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
          'eth' || p_size AS out_iface, CASE WHEN p_size % 5 = 0 THEN '*' ELSE '10.0.0.0/8' END AS source,
          p_size % 5 > 0 AS source_negated, '*' AS destination,
          CASE WHEN p_size % 7 = 0 THEN '' ELSE 'tcp dpt:' || p_size END AS other
-       FROM part""",
+       FROM part
+       UNION ALL
+       SELECT CASE WHEN r_regionkey % 2 = 1 THEN 'nat' ELSE 'filter' END, 'OUTPUT', '(policy ACCEPT 0 packets, 0 bytes)',
+         i::VARCHAR, 0, '', 0, '', 'ACCEPT', 'accept', '*', '', '*', FALSE, '*', '*', FALSE, '*', ''
+       FROM region, range(1, 10) AS t(i) WHERE i <= r_regionkey""",
 )
 def firewall_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = firewall_lines(table(spark, sf_dir, "part"), table(spark, sf_dir, "region"))
     rules = normalise_rule(read_firewall_snapshot(lines)[0])
     return rules.select(
-        "chain", "policy", "num",
+        "table", "chain", "policy", "num",
         F.coalesce("pkts_count.n", F.col("pkts").try_cast("bigint")).alias("pkts_n"),
         F.col("pkts_count.mult").alias("pkts_mult"),
         F.coalesce("bytes_count.n", F.col("bytes").try_cast("bigint")).alias("bytes_n"),
@@ -128,12 +132,13 @@ def firewall_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "firewall_chains",
-    """SELECT p_brand AS chain, count(*) AS rules FROM part GROUP BY p_brand
-       UNION ALL SELECT replace(r_name, ' ', '-'), 0 FROM region""",
+    """SELECT 'filter' AS table, p_brand AS chain, count(*) AS rules FROM part GROUP BY p_brand
+       UNION ALL SELECT 'filter', replace(r_name, ' ', '-'), 0 FROM region
+       UNION ALL SELECT CASE WHEN r_regionkey % 2 = 1 THEN 'nat' ELSE 'filter' END, 'OUTPUT', r_regionkey FROM region""",
 )
 def firewall_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = firewall_lines(table(spark, sf_dir, "part"), table(spark, sf_dir, "region"))
-    return read_firewall_snapshot(lines)[1].select("chain", "rules")
+    return read_firewall_snapshot(lines)[1].select("table", "chain", "rules")
 
 
 @query("firewall_rejects", "SELECT 'stray ' || r_name AS value, 'chain' AS stage FROM region")

@@ -1,8 +1,8 @@
 """Whole runs: access log, error log and mail log reports, and the duplicate scan.
 
-The log reports parse the lines once and store the records that pass the filters below the shared
-folder, as the section marks and sessions read them more than once. With ``store=False`` nothing is
-run or written, and each of those reads parses the lines again.
+The log reports parse the lines once and store the records that pass the filters and the rejects below
+the shared folder, as the section marks, the sessions and the two results all read them. With
+``store=False`` nothing is run or written, and each of those reads parses the lines again.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.operators.access import Clause, apply_filters, label_access, parse_access
+from fleetlens.operators.access import Clause, clause_condition, clauses_of, label_access, parse_access_lines
 from fleetlens.operators.duplicates import reuse_digest, size_candidates
-from fleetlens.operators.errors import flag_noise, parse_error
-from fleetlens.operators.lines import DEFAULT_MAIL_TAIL_BYTES, mark_sections, route_lines, tail_bytes
-from fleetlens.operators.mail import classify_mail, drop_statistics, enrich_msgid, parse_syslog
+from fleetlens.operators.errors import flag_noise, parse_error_lines
+from fleetlens.operators.lines import mark_sections, route_lines, split_rejects
+from fleetlens.operators.mail import classify_mail, enrich_msgid, parse_syslog_lines
 from fleetlens.operators.network import lookup_network
 from fleetlens.session import stored
 from fleetlens.sources.files import hash_files, read_index, read_manifest, write_index
@@ -33,9 +33,12 @@ def access_log(
     store: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(report, rejects)`` of access-log lines."""
-    records, rejects = parse_access(route_lines(tail(lines) if tail else lines)[0])
-    passed = apply_filters(records, filters)
-    marked = mark_sections(stored(passed, "access") if store else passed)
+    taken = route_lines(tail(lines) if tail else lines)[0]
+    rows = parse_access_lines(taken)
+    for clause in clauses_of(filters):
+        rows = rows.where(F.col("stage").isNotNull() | clause_condition(clause))
+    records, rejects = split_rejects(_once(rows, "access", store), taken.columns)
+    marked = mark_sections(records)
     if nets is None:
         return label_access(marked), rejects
     return label_access(lookup_network(marked, "ip", nets), "net_label"), rejects
@@ -45,9 +48,9 @@ def error_log(
     lines: DataFrame, tail: Tail | None = None, drop_noise: bool = False, store: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """``(report, rejects)`` of error-log lines."""
-    records, rejects = parse_error(route_lines(tail(lines) if tail else lines)[0])
-    flagged = flag_noise(records, drop=drop_noise)
-    return mark_sections(stored(flagged, "error") if store else flagged), rejects
+    taken = route_lines(tail(lines) if tail else lines)[0]
+    records, rejects = split_rejects(_once(parse_error_lines(taken), "error", store), taken.columns)
+    return mark_sections(flag_noise(records, drop=drop_noise)), rejects
 
 
 def mail_log(
@@ -57,12 +60,19 @@ def mail_log(
     scope: Sequence[str] = (),
     store: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(report, rejects)`` of mail-log lines; by default the last 32 KiB of each file."""
-    tailed = tail(lines) if tail else tail_bytes(lines, DEFAULT_MAIL_TAIL_BYTES)
-    records, rejects = parse_syslog(route_lines(tailed)[0], year)
-    classified = drop_statistics(classify_mail(records))
-    marked = mark_sections(stored(classified, "mail") if store else classified)
-    return enrich_msgid(marked, scope), rejects
+    """``(report, rejects)`` of mail-log lines: of whole files, or of their ends with ``tail``."""
+    taken = route_lines(tail(lines) if tail else lines)[0]
+    parsed = classify_mail(parse_syslog_lines(taken, year))
+    rows = _once(parsed.where(F.col("stage").isNotNull() | (F.col("content") != "")), "mail", store)
+    records, rejects = split_rejects(rows, taken.columns, "host")
+    return enrich_msgid(mark_sections(records), scope), rejects
+
+
+def _once(rows: DataFrame, name: str, store: bool) -> DataFrame:
+    """Store parsed rows; of lines only those that were rejected are still needed."""
+    if not store:
+        return rows
+    return stored(rows.withColumn("value", F.when(F.col("stage").isNotNull(), F.col("value"))), name)
 
 
 def duplicate_scan(

@@ -334,11 +334,16 @@ def container_lines(lineitem: DataFrame) -> DataFrame:
 
 
 def firewall_lines(part: DataFrame, region: DataFrame) -> DataFrame:
-    """One listing: a chain per brand, an empty chain and a stray line per region."""
+    """One listing of two tables: a chain per brand, an empty chain and a stray line per region, and
+    a chain ``OUTPUT`` per region with as many rules as its key says, every second one in ``nat``.
+
+    A section starts at ``brand`` or ``1000 + region`` times 2**40; its rules lie in blocks of 256.
+    """
+    header = "num   pkts bytes target prot opt in out source destination"
     brand = "cast(substring(p_brand, 7) AS bigint)"
     rules = part.selectExpr(
-        f"{brand} AS block_start",
-        "p_partkey + 10 AS seq",
+        "'filter' AS table",
+        f"{brand} * (1L << 40) + p_partkey + 10 AS seq",
         """concat(p_partkey, '   ', p_size, 'K  ', p_partkey * 3, ' ', element_at(array('REJECT', 'DROP', 'ACCEPT',
              'LOG', 'RETURN', p_type), cast(p_partkey % 6 + 1 AS int)), '  ',
              CASE WHEN p_size % 2 = 0 THEN 'all' ELSE 'tcp' END, '  --  ',
@@ -346,19 +351,29 @@ def firewall_lines(part: DataFrame, region: DataFrame) -> DataFrame:
              CASE WHEN p_size % 5 = 0 THEN '0.0.0.0/0' ELSE '!10.0.0.0/8' END, '   0.0.0.0/0   ',
              CASE WHEN p_size % 7 = 0 THEN '' ELSE concat('tcp  dpt:', p_size) END) AS value""",
     )
-    brands = part.select(F.expr(f"{brand} AS block_start"), "p_brand").distinct()
-    frame = brands.select("block_start", F.expr(
-        """inline(array(struct(0L AS seq, concat('Chain ', p_brand, ' (policy DROP 0 packets, 0 bytes)') AS value),
-             struct(1L AS seq, 'num   pkts bytes target prot opt in out source destination' AS value),
-             struct(1L << 40 AS seq, '' AS value)))"""
+    brands = part.select(F.expr(f"{brand} * (1L << 40)").alias("at"), "p_brand").distinct()
+    frame = brands.select(F.lit("filter").alias("table"), "at", F.expr(
+        f"""inline(array(struct(0L AS n, concat('Chain ', p_brand, ' (policy DROP 0 packets, 0 bytes)') AS value),
+             struct(1L AS n, '{header}' AS value), struct(1L << 39 AS n, '' AS value)))"""
     ))
-    empty = region.select(F.expr("1000L + r_regionkey").alias("block_start"), F.expr(
-        """inline(array(struct(0L AS seq, concat('Chain ', replace(r_name, ' ', '-'), ' (2 references)') AS value),
-             struct(1L AS seq, 'num   pkts bytes target prot opt in out source destination' AS value),
-             struct(2L AS seq, '' AS value), struct(3L AS seq, concat('stray ', r_name) AS value)))"""
+    empty = region.select(F.lit("filter").alias("table"), F.expr("(1000L + r_regionkey) * (1L << 40)").alias("at"), F.expr(
+        f"""inline(array(struct(0L AS n, concat('Chain ', replace(r_name, ' ', '-'), ' (2 references)') AS value),
+             struct(1L AS n, '{header}' AS value), struct(2L AS n, '' AS value),
+             struct(3L AS n, concat('stray ', r_name) AS value)))"""
     ))
-    lines = rules.unionByName(frame).unionByName(empty)
-    return lines.select(F.lit("firewall").alias("file_path"), "block_start", "seq", "value")
+    output = region.select(
+        F.expr("CASE WHEN r_regionkey % 2 = 1 THEN 'nat' ELSE 'filter' END").alias("table"),
+        F.expr("(2000L + r_regionkey) * (1L << 40)").alias("at"),
+        F.expr(
+            f"""posexplode(concat(array('Chain OUTPUT (policy ACCEPT 0 packets, 0 bytes)', '{header}'),
+                 transform(filter(sequence(0, cast(r_regionkey AS int)), i -> i > 0),
+                   i -> concat(i, ' 0 0 ACCEPT all -- * * 0.0.0.0/0 0.0.0.0/0')), array('')))"""
+        ).alias("n", "value"),
+    )
+    framed = frame.unionByName(empty).unionByName(output).selectExpr("table", "at + n AS seq", "value")
+    lines = rules.unionByName(framed)
+    block = F.expr("seq div 256")
+    return lines.select(F.lit("firewall").alias("file_path"), block.alias("block_start"), "seq", "table", "value")
 
 
 def account_lines(customer: DataFrame) -> DataFrame:

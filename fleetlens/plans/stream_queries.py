@@ -5,8 +5,8 @@ Results go to a file sink in the shared folder, not through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +16,18 @@ from fleetlens.operators.lines import route_lines
 from fleetlens.operators.mail import classify_mail, parse_syslog
 from fleetlens.plans.access_queries import ACCESS_SQL, labels_sql
 from fleetlens.plans.content_queries import LINES_SQL
-from fleetlens.plans.mail_queries import YEAR
+from fleetlens.operators.network import lookup_network
+from fleetlens.plans.error_queries import ERROR_SQL
+from fleetlens.plans.mail_queries import SESSION_SQL, YEAR
 from fleetlens.plans.network_queries import NETS_SQL, networks
 from fleetlens.plans.registry import query
-from fleetlens.plans.render import access_lines, conversation_lines, document_lines
+from fleetlens.plans.render import access_lines, conversation_lines, document_lines, error_lines, event_ip, session_lines
 from fleetlens.session import shared_folder
 from fleetlens.streaming.access import stream_access
 from fleetlens.streaming.mail import stream_enrich
+from fleetlens.streaming.options import only_with_data, options, state_on_disk
 from fleetlens.streaming.purify import stream_purify
+from fleetlens.streaming.reports import access_reports, error_reports, mail_reports, stream_error, stream_mail
 from fleetlens.streaming.sections import section_marker
 
 
@@ -33,21 +37,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, number: int) -> Iterator[None]:
-    """Keyed state is split into this many parts for good when a stream first starts."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(number))
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def finished(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all input there is and read its output."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/streams/{name}-{uuid4().hex}"
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+    parts = str(spark.sparkContext.defaultParallelism)  # keyed state keeps the number it starts with
+    with options(spark, spark__sql__shuffle__partitions=parts), state_on_disk(spark), only_with_data(spark):
         run.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -106,6 +102,58 @@ def stream_purify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(stream_purify(document_lines(stream_table(spark, sf_dir, "documents"))), "purify")
 
 
+@query(
+    "stream_lookup_large",
+    f"{NETS_SQL} SELECT event_id, ip, net_label FROM access LEFT JOIN found USING (event_id)",
+)
+def stream_lookup_large_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way taken when there are too many networks to broadcast."""
+    rows = stream_table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
+    return finished(lookup_network(rows, "ip", networks(spark, sf_dir), broadcast_nets=0), "lookup")
+
+
+@query(
+    "stream_access_sections",
+    f"""{ACCESS_SQL} SELECT event_id, status,
+        coalesce(lag(date) OVER (PARTITION BY user_id ORDER BY event_id) <> date, true) AS new_section
+        FROM access WHERE status IN (404, 500)""",
+)
+def stream_access_sections_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = stream_access(access_lines(stream_table(spark, sf_dir, "events")), ["status=404,500"])
+    rows = report.select("event_id", "status", "file_path", "block_start", "seq", "date")
+    schema = "event_id bigint, status bigint, new_section boolean"
+    return finished_batches(rows, "access", access_reports, schema)
+
+
+@query(
+    "stream_error",
+    f"""{ERROR_SQL} SELECT event_id, date, time, ip, level, channel, message,
+        coalesce(lag(date) OVER (PARTITION BY user_id % 10 ORDER BY event_id) <> date, true) AS new_section
+        FROM error WHERE stage IS NULL AND NOT noise""",
+)
+def stream_error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_error(error_lines(stream_table(spark, sf_dir, "events")), drop_noise=True)
+    schema = (
+        "event_id bigint, date string, time string, ip string, level string, channel string, message string, "
+        "new_section boolean"
+    )
+    return finished_batches(rows, "error", error_reports, schema)
+
+
+@query(
+    "stream_mail",
+    f"""{SESSION_SQL} SELECT event_id, date, time, ipaddr, msgid, content,
+        coalesce(lag(date) OVER (PARTITION BY user_id % 3 ORDER BY event_id) <> date, true) AS new_section
+        FROM session""",
+)
+def stream_mail_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_mail(session_lines(stream_table(spark, sf_dir, "events")), YEAR)
+    schema = (
+        "event_id bigint, date string, time string, ipaddr string, msgid string, content string, new_section boolean"
+    )
+    return finished_batches(rows, "mail", partial(mail_reports, scope=["host"]), schema)
+
+
 @query(
     "stream_sections",
     f"""{ACCESS_SQL} SELECT event_id, date,

@@ -62,14 +62,13 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return known.unionByName(spread.withColumn("md5", _file_md5("path")))
 
 
-def read_image_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``(width, height, name)`` of the image files in a folder."""
-    images = spark.read.format("image").option("dropInvalid", "true").load(path)
-    return images.select(
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.element_at(F.split("image.origin", "/"), -1).alias("name"),
-    )
+def read_image_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(width, height, name)`` of the image files in a folder, and the names of those that are none."""
+    images = spark.read.format("image").load(path)
+    name = F.element_at(F.split("image.origin", "/"), -1).alias("name")
+    width, height = F.col("image.width").alias("width"), F.col("image.height").alias("height")
+    good = images.where("image.width > 0").select(width, height, name)
+    return good, images.where("image.width <= 0").select(name, F.lit("image").alias("stage"))
 
 
 def write_index(files: DataFrame, path: str, saved_at: datetime) -> None:

@@ -15,21 +15,23 @@ from fleetlens.operators.network import GROUPS
 CACHE_VERSION = "v1"
 CACHE_SECONDS = 86400
 
+_TRIMMED = " \t\n\r\0\x0b"  # fixed value: what is cut off around a network
 FEED_JSON = "prefixes array<struct<ipv4Prefix: string, ipv6Prefix: string>>"
 
 
 def read_cidr_text(spark: SparkSession, path: str, label: str) -> DataFrame:
     """``(cidr, pos, label)`` of a list with one network per line."""
-    rows = spark.read.text(path).select(F.trim("value").alias("cidr"), F.monotonically_increasing_id().alias("pos"))
+    rows = spark.read.text(path).select(F.btrim("value", F.lit(_TRIMMED)).alias("cidr"), F.monotonically_increasing_id().alias("pos"))
     return rows.where(F.col("cidr") != "").withColumn("label", F.lit(label))
 
 
 def read_cidr_json(spark: SparkSession, path: str, label: str) -> DataFrame:
     """``(cidr, pos, label)`` of ``{"prefixes": [{"ipv4Prefix" | "ipv6Prefix": …}]}``."""
     feed = spark.read.option("multiLine", "true").schema(FEED_JSON).json(path)
-    entries = feed.select(F.posexplode("prefixes").alias("pos", "entry"))
-    both = entries.select(F.col("pos").cast("bigint").alias("pos"), F.explode(F.array("entry.*")).alias("cidr"))
-    return both.where(F.col("cidr").isNotNull()).select("cidr", "pos", F.lit(label).alias("label"))
+    entries = feed.select(F.explode("prefixes").alias("entry"))
+    both = entries.select(F.explode(F.array("entry.*")).alias("cidr"))
+    placed = both.withColumn("pos", F.monotonically_increasing_id())  # rises through all files
+    return placed.where(F.col("cidr").isNotNull()).select("cidr", "pos", F.lit(label).alias("label"))
 
 
 def write_cidr_table(feeds: Mapping[str, DataFrame], path: str, now: datetime, ttl: int = CACHE_SECONDS) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fleetlens.operators.mail import UNKNOWN_ADDRESS
 
 DAY_MS = 24 * 3600 * 1000
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ORDER = ["file_path", "block_start", "seq"]
 
 
@@ -35,23 +34,18 @@ def _carry(ttl_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState],
     return carry
 
 
-def stream_enrich(records: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def stream_enrich(records: DataFrame, ttl_ms: int = DAY_MS, scope: Sequence[str] = ()) -> DataFrame:
     """Streaming form of ``enrich_msgid`` over classified mail records.
 
-    The state of an id is dropped ``ttl_ms`` after its last row; with ``0`` it is kept forever. Rows
-    without a message id bypass the state. The rows of one id in a micro-batch meet in one task, so
-    bound the micro-batch at the source, as ``stream_lines`` does.
+    ``scope`` narrows the state, as in the batch form. The state of an id is dropped ``ttl_ms`` after its
+    last row; with ``0`` it is kept forever. Rows without a message id bypass the state. The rows of
+    one id in a micro-batch meet in one task, so bound the micro-batch at the source, as
+    ``stream_lines`` does; :func:`~fleetlens.streaming.reports.mail_reports` has no such limit.
 
-    Sets two session options that the query reads when it starts: the RocksDB state store, and no
-    micro-batches without data. With a time limit, empty batches would follow each other without
-    end, and a stream that is to end when its input does never would; state past its time now goes
-    with the next batch that has data.
+    Start the query inside ``state_on_disk`` and, with a time limit, ``only_with_data``.
     """
-    conf = records.sparkSession.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     with_id = records.where(F.col("msgid") != "")
-    enriched = with_id.groupBy("msgid").applyInPandasWithState(
+    enriched = with_id.groupBy(*scope, "msgid").applyInPandasWithState(
         _carry(ttl_ms),
         outputStructType=records.schema,
         stateStructType="ipaddr string",

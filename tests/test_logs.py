@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import datetime as dt
 import subprocess
 import sys
@@ -173,7 +174,7 @@ MAIL = [
 
 def test_mail_report(spark):
     lines = read_lines(spark, str(DATA / "mail.log"))
-    report, rejects = mail_log(lines, 2023, tail=lambda df: df)
+    report, rejects = mail_log(lines, 2023)
     assert rows(report, "kind", "ipaddr", "msgid", "severity", "content") == MAIL
     assert rejects.count() == 2
     assert rows(report, "date", "new_section", "process", "pid")[:5] == [
@@ -211,3 +212,11 @@ print('rows', parse_access(df)[0].count())
 """ % str(DATA.parent.parent)
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_long_run_of_letters_is_no_mail_line(spark, lines_of):
+    start = time.perf_counter()
+    lines = lines_of(["x" * 1_000_000, "Feb  8 15:51:20 mx a: " + "y" * 1_000_000, "junk xxFeb  8 15:51:20 mx b: c"])
+    records, rejects = parse_syslog(lines, 2022)
+    assert records.count() == 1 and rejects.count() == 2
+    assert time.perf_counter() - start < 30

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.addresses import ip_bits, net_bits
 from fleetlens.operators.network import bad_networks, lookup_network, network_union, select_groups
+from fleetlens.streaming.options import options
 
 ADDRESSES = [
     "0.0.0.0", "255.255.255.255", "10.1.2.3", "1.2.3", "1.2.3.4.5", "256.1.1.1", "01.2.3.4", "1.2.3.4 ", "", "bad",
@@ -89,3 +90,17 @@ def test_groups(spark):
         "127.0.0.1": "localhost", "127.0.0.2": "cloudflare", "::1": "localhost", "10.0.1.1": None,
     }
     assert lookup_network(df, "ip", network_union(spark, ["none"], {})).where("net_label IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("ip", ["10.9.9.9", "172.16.0.1", "no address", None])
+def test_a_hot_address_is_spread(spark, ip):
+    """Found, unmatched, invalid and null addresses alike, without adaptive execution."""
+    nets = spark.createDataFrame(NETS, "cidr string, priority bigint, label string")
+    df = spark.createDataFrame([(ip, i) for i in range(20_000)], "ip string, id int").repartition(8)
+    with options(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="16",
+                 spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = lookup_network(df, "ip", nets, broadcast_nets=0, hot_rows=100)
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) < 6_000
+    assert got.where("net_label IS NOT NULL").count() == (20_000 if ip == "10.9.9.9" else 0)

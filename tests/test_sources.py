@@ -108,7 +108,7 @@ def test_index_version_and_roots(spark, tmp_path):
 
 
 def test_network_feeds(spark, tmp_path):
-    (tmp_path / "v4.txt").write_text("10.0.0.0/8 \n\n 20.0.0.0/8")
+    (tmp_path / "v4.txt").write_text("10.0.0.0/8 \n\n 20.0.0.0/8\t")
     (tmp_path / "bot.json").write_text(
         '{"creationTime": "x", "prefixes": [{"ipv6Prefix": "2001:db8::/32"}, {"ipv4Prefix": "30.0.0.0/8"}]}'
     )
@@ -138,8 +138,10 @@ def png(width, height):
 def test_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(3, 2))
     (tmp_path / "b.png").write_bytes(png(10, 20))
-    got = {tuple(r) for r in read_image_manifest(spark, str(tmp_path)).collect()}
-    assert got == {(3, 2, "a.png"), (10, 20, "b.png")}
+    (tmp_path / "c.png").write_bytes(b"no image")
+    images, rejects = read_image_manifest(spark, str(tmp_path))
+    assert {tuple(r) for r in images.collect()} == {(3, 2, "a.png"), (10, 20, "b.png")}
+    assert [tuple(r) for r in rejects.collect()] == [("c.png", "image")]
 
 
 def test_accounts(spark, tmp_path):
@@ -207,12 +209,15 @@ def test_firewall_listing(spark, lines_of):
              "1      12K  34M ACCEPT     all  --  !eth0   *       0.0.0.0/0            !10.0.0.0/8           state NEW  tcp dpt:22",
              "2        0    0 DROP       tcp  --  *      *       0.0.0.0/0            0.0.0.0/0",
              "", "Chain EMPTY (0 references)",
-             "num   pkts bytes target     prot opt in     out     source               destination", "", "stray"]
+             "num   pkts bytes target     prot opt in     out     source               destination", "", "stray",
+             "Chain INPUT (1 references)",
+             "num   pkts bytes target     prot opt in     out     source               destination", ""]
         )
     )
     got = [(r["chain"], r["num"], r["target"], r["other"]) for r in rules.orderBy("seq").collect()]
     assert got == [("INPUT", "1", "ACCEPT", "state NEW tcp dpt:22"), ("INPUT", "2", "DROP", "")]
     assert {(r["chain"], r["policy"], r["rules"]) for r in chains.collect()} == {
-        ("INPUT", "(policy DROP 0 packets, 0 bytes)", 2), ("EMPTY", "(0 references)", 0),
+        ("INPUT", "(policy DROP 0 packets, 0 bytes)", 2), ("EMPTY", "(0 references)", 0), ("INPUT", "(1 references)", 0),
     }
+    assert {r["table"] for r in chains.collect()} == {"filter"}
     assert [r["value"] for r in rejects.collect()] == ["stray"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from uuid import uuid4
 
 import pytest
@@ -11,14 +12,20 @@ from fleetlens.operators.access import apply_filters, label_access, parse_access
 from fleetlens.operators.lines import mark_sections, route_lines
 from fleetlens.operators.mail import classify_mail, enrich_msgid, parse_syslog
 from fleetlens.operators.purify import purified
+from fleetlens.plans.pipelines import error_log, mail_log
 from fleetlens.sources.follow import follow_lines
 from fleetlens.sources.lines import read_lines, stream_lines
 from fleetlens.streaming.access import stream_access
 from fleetlens.streaming.mail import stream_enrich
+from fleetlens.streaming.options import only_with_data, state_on_disk
 from fleetlens.streaming.purify import stream_purify, stream_purify_within
+from fleetlens.streaming.reports import error_reports, mail_reports, stream_error, stream_mail
 from fleetlens.streaming.sections import section_marker
 
 
+DATA = Path(__file__).parent / "data"
+
+
 class Stream:
     """A stream into a folder, run to the end of its input as often as wanted."""
 
@@ -28,10 +35,11 @@ class Stream:
     def run(self, write=None):
         writer = self.df.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint")
         writer = writer.trigger(availableNow=True)
-        if write:
-            writer.foreachBatch(write).start().awaitTermination(90)
-        else:
-            writer.format("parquet").start(f"{self.folder}/rows").awaitTermination(90)
+        with state_on_disk(self.spark), only_with_data(self.spark):
+            if write:
+                writer.foreachBatch(write).start().awaitTermination(90)
+            else:
+                writer.format("parquet").start(f"{self.folder}/rows").awaitTermination(90)
 
     def rows(self):
         return self.spark.read.parquet(f"{self.folder}/rows")
@@ -115,6 +123,63 @@ def test_sections_per_file_equal_batch(spark, tmp_path):
     assert flags(spark.read.parquet(out)) == flags(batch)
 
 
+def test_options_are_restored(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with state_on_disk(spark):
+        assert "RocksDB" in spark.conf.get(name)
+    assert spark.conf.get(name) == before
+
+
+def test_section_state_is_bounded(spark, tmp_path):
+    logs, state = tmp_path / "logs", tmp_path / "state"
+    logs.mkdir()
+    records = parse_access(route_lines(stream_lines(spark, str(logs), ordered=True))[0])[0]
+    stream = Stream(spark, records.select("file_path", "block_start", "seq", "date"), tmp_path / "out")
+    marker = section_marker(lambda df, n: df.count(), uuid4().hex, folder=str(state), forget_after="0 seconds")
+    for number in range(4):
+        (logs / f"{number}.log").write_text(access_line(number) + "\n")
+        stream.run(marker)
+    assert sorted(p.name for p in state.iterdir()) == ["after=2", "after=3"]
+    assert spark.read.parquet(str(state / "after=3")).count() == 1
+
+
+def test_mail_reports_equal_batch(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    parts = [
+        ["AAAAAAAAAA: early", "AAAAAAAAAA: client=h[192.0.2.1]", "AAAAAAAAAA: one", "connect from h[192.0.2.9]"],
+        ["AAAAAAAAAA: two", "BBBBBBBBBB: none", "AAAAAAAAAA: client=h[192.0.2.2]", "AAAAAAAAAA: three"],
+        ["AAAAAAAAAA: four", "BBBBBBBBBB: client=h[192.0.2.3]", "BBBBBBBBBB: five"],
+    ]
+    stream = Stream(spark, stream_mail(stream_lines(spark, str(logs), ordered=True), 2023), tmp_path / "out")
+    out = str(tmp_path / "rows")
+    marker = mail_reports(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), uuid4().hex, ["host"])
+    for number, texts in enumerate(parts):
+        (logs / f"{number}.log").write_text("\n".join(mail_line(i, t) for i, t in enumerate(texts)) + "\n")
+        stream.run(marker)
+    report, _ = mail_log(read_lines(spark, str(logs)), 2023, scope=["host"])
+    columns = ["msgid", "content", "ipaddr", "new_section"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(columns).collect())
+    assert got == sorted(tuple(r) for r in report.select(columns).collect())
+
+
+def test_error_reports_equal_batch(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    text = (DATA / "error.log").read_text().splitlines()
+    stream = Stream(spark, stream_error(stream_lines(spark, str(logs), ordered=True)), tmp_path / "out")
+    out = str(tmp_path / "rows")
+    marker = error_reports(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), uuid4().hex)
+    for number in range(3):
+        (logs / f"{number}.log").write_text("\n".join(text[number * 3 : number * 3 + 3]) + "\n")
+        stream.run(marker)
+    report, _ = error_log(read_lines(spark, str(logs)))
+    columns = ["date", "time", "level", "message", "noise", "new_section"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(columns).collect())
+    assert got and got == sorted(tuple(r) for r in report.select(columns).collect())
+
+
 def test_purify(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
