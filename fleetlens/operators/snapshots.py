@@ -29,6 +29,11 @@ def _token(name: str, position: int) -> Column:
     return F.get(F.col(name), F.lit(position))
 
 
+def by_mount(disks: DataFrame) -> DataFrame:
+    """Disks in the order of their mounts."""
+    return disks.orderBy("mount_label")
+
+
 def drop_header(lines: DataFrame, header: str | None) -> DataFrame:
     """Drop the lines that match the header pattern, or with ``None`` the first line of each file.
 

@@ -6,6 +6,7 @@ from fleetlens.plans import (  # noqa: F401
     access_queries,
     content_queries,
     error_queries,
+    file_queries,
     host_queries,
     mail_queries,
     network_queries,

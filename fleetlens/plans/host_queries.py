@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.labels import thousands
 from fleetlens.operators.aliases import annotate_ids, in_order, read_aliases, resolve_alias
 from fleetlens.operators.snapshots import (
+    by_mount,
     normalise_rule,
     parse_accounts,
     parse_container_meta,
@@ -49,10 +50,10 @@ def disk_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     disks = read_disk_snapshot(disk_lines(supplier))
     resolved = resolve_mounts(disks, parse_container_meta(container_meta(supplier)))
-    return resolved.select(
+    return by_mount(resolved).select(
         "host", "fsname", "fstype", "size", "used", "free", "pp", "mount_label",
         thousands(F.col("size")).alias("size_text"),
-    ).orderBy("mount_label")
+    )
 
 
 CONTAINERS_SQL = r"""

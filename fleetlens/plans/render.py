@@ -9,10 +9,16 @@ Rendered lines carry the same order columns as scanned ones: a block is a fixed
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.matching import held
+from fleetlens.sources.ranges import create_file
 
 BLOCK_ROWS = 4096
 
@@ -29,6 +35,30 @@ def as_lines(df: DataFrame, file_path: Column, seq: Column, value: Column, *keep
     return held(rows, value=F.col("value")).withColumn("n_bytes", F.octet_length("value").cast("bigint") + 1)
 
 
+def write_images(supplier: DataFrame, folder: str) -> None:
+    """A PNG file per supplier, and for every seventh one bytes that are none."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, nation in zip(*(c.to_pylist() for c in batch.columns)):
+                data = b"no image" if key % 7 == 0 else _png(key % 50 + 1, nation + 1)
+                with create_file(f"{folder}/{key}.png") as out:
+                    out.write(data)
+            yield batch
+
+    rows = supplier.selectExpr("cast(s_suppkey AS bigint) AS key", "cast(s_nationkey AS bigint) AS nation")
+    rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
+
+
+def _png(width: int, height: int) -> bytes:
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = zlib.compress(b"".join(b"\0" + b"\0\0\0" * width for _ in range(height)))
+    header = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")
+
+
 def event_ip() -> Column:
     return F.expr(
         """CASE WHEN event_id % 13 = 0 THEN concat('2a01::', lower(hex(user_id + 1)))

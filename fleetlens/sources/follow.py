@@ -36,7 +36,9 @@ class GrowingTextReader(DataSourceStreamReader):
         )
         listed = filesystem.get_file_info(pafs.FileSelector(inner, recursive=False))
         prefix = self.folder.rstrip("/")
-        return {f"{prefix}/{info.base_name}": info.size for info in listed if info.is_file}
+        names = {info.base_name: info.size for info in listed if info.is_file}
+        # As for Spark's own readers, a dot or an underscore marks what is no data.
+        return {f"{prefix}/{name}": size for name, size in names.items() if name[0] not in "._"}
 
     def _complete(self, known: dict[str, int]) -> dict[str, int]:
         ends = dict(known)

@@ -13,6 +13,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow.fs as pafs
 
 CHUNK = 4 * 1024 * 1024
+TAIL_CHUNK = 64 * 1024
 
 
 def open_file(path: str):
@@ -24,6 +25,17 @@ def open_file(path: str):
     return filesystem.open_input_file(inner)
 
 
+def create_file(path: str):
+    """A file to write at a path or URI; its folder is made where the file system has folders."""
+    parsed = urlparse(path)
+    if parsed.scheme in ("", "file"):
+        filesystem, inner = pafs.LocalFileSystem(), unquote(parsed.path) if parsed.scheme else path
+    else:
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+    filesystem.create_dir(inner.rpartition("/")[0])
+    return filesystem.open_output_stream(inner)
+
+
 def _next_line_start(source, position: int, size: int) -> int:
     """The first line start at or after ``position``."""
     if position <= 0:
@@ -72,6 +84,28 @@ def last_newline(path: str, start: int, end: int) -> int:
     return start
 
 
+def last_lines_start(path: str, n: int) -> int:
+    """Where the last ``n`` lines of a file begin, found from its end."""
+    with open_file(path) as source:
+        at = end = source.size()
+        left = n
+        while at > 0:
+            begin = max(0, at - TAIL_CHUNK)
+            chunk = source.read_at(at - begin, begin)
+            found = len(chunk)
+            while True:
+                found = chunk.rfind(b"\n", 0, found)
+                if found < 0:
+                    break
+                if begin + found + 1 == end:
+                    continue  # the last line's own end
+                left -= 1
+                if left == 0:
+                    return begin + found + 1
+            at = begin
+    return 0
+
+
 def md5_of(path: str) -> str:
     digest = hashlib.md5(usedforsecurity=False)
     with open_file(path) as source:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.arguments import parse_size_arg
 from fleetlens.session import task_count
 from fleetlens.sources.lines import TRAILING
-from fleetlens.sources.ranges import lines_between
+from fleetlens.sources.ranges import last_lines_start, lines_between
 
 # A tail is read in pieces of this many bytes, one row each, so no task reads more than a piece.
 PIECE = 64 * 1024 * 1024
@@ -34,6 +34,22 @@ def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
 
+def _files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return files.select("path", "length")
+
+
+def _read(spark: SparkSession, starts: DataFrame) -> DataFrame:
+    """The lines of files (``path``, ``length``) from ``start`` on, in pieces."""
+    pieces = (
+        starts.select("path", "length", F.explode(F.sequence("start", F.greatest(F.col("length") - 1, "start"),
+                                                             F.lit(PIECE).cast("bigint"))).alias("start"))
+        .withColumn("end", F.least(F.col("start") + PIECE, F.col("length")))
+        .repartition(task_count(spark), "path", "start")
+    )
+    return pieces.mapInArrow(_read_pieces, _SCHEMA).withColumn("value", F.rtrim("value", F.lit(TRAILING)))
+
+
 def read_tail(spark: SparkSession, paths: str | Sequence[str], amount: int | str) -> DataFrame:
     """The lines that start in the last ``amount`` bytes of each file, as ``read_lines`` rows.
 
@@ -41,13 +57,21 @@ def read_tail(spark: SparkSession, paths: str | Sequence[str], amount: int | str
     reading the whole file. ``seq`` is the byte offset of the line.
     """
     n = parse_size_arg(amount) if isinstance(amount, str) else amount
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     start = F.greatest(F.col("length") - n, F.lit(0).cast("bigint"))
-    pieces = (
-        files.where(F.lit(n) > 0)
-        .select("path", "length", F.explode(F.sequence(start, F.greatest(F.col("length") - 1, start),
-                                                       F.lit(PIECE).cast("bigint"))).alias("start"))
-        .withColumn("end", F.least(F.col("start") + PIECE, F.col("length")))
-        .repartition(task_count(spark), "path", "start")
-    )
-    return pieces.mapInArrow(_read_pieces, _SCHEMA).withColumn("value", F.rtrim("value", F.lit(TRAILING)))
+    return _read(spark, _files(spark, paths).where(F.lit(n) > 0).withColumn("start", start))
+
+
+def read_last_lines(spark: SparkSession, paths: str | Sequence[str], n: int) -> DataFrame:
+    """The last ``n`` lines of each file, as ``read_lines`` rows.
+
+    Same rows as ``tail_lines(read_lines(...), n)``, but tasks look for the line ends from the end of
+    each file and read nothing before them.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [last_lines_start(path, n) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=["path", "length", "start"])
+
+    files = _files(spark, paths).where((F.lit(n) > 0) & (F.col("length") > 0)).repartition(task_count(spark), "path")
+    return _read(spark, files.mapInArrow(find, "path string, length bigint, start bigint"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.lines import mark_sections, tail_bytes, tail_lines, with_offsets
 from fleetlens.operators.ordered import carry_last, first_in_group, join_group_facts, previous_value, running_total
 from fleetlens.sources.lines import read_lines
-from fleetlens.sources.tail import read_tail
+from fleetlens.sources.tail import read_last_lines, read_tail
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,7 @@ def test_tail_bytes(spark, small_splits, log_file, amount):
 def test_tail_lines(spark, small_splits, log_file, n):
     path, lines, _ = log_file
     assert texts(tail_lines(read_lines(spark, str(path)), n)) == plain(lines[-n:])
+    assert texts(read_last_lines(spark, str(path), n)) == plain(lines[-n:])
 
 
 def test_tail_lines_by_estimate(spark, log_file):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 import pytest
 
@@ -50,6 +51,32 @@ def test_parsing_runs_each_pattern_once(spark, name):
     assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("name", ["access_sections", "access_report", "error_report", "mail_enrich", "mail_report"])
+def test_order_is_summed_up_by_hash(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_records_and_rejects_come_from_one_parse(spark):
+    from fleetlens.plans.pipelines import access_log
+    from fleetlens.plans.registry import table
+    from fleetlens.plans.render import access_lines
+
+    report, rejects = access_log(access_lines(table(spark, SF_DIR, "events")))
+    for frame in (report, rejects):
+        assert "regexp_replace(value" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from fleetlens.session import clear_stored, stored
+
+    kept = stored(spark.range(3), "test")
+    path = Path(kept.inputFiles()[0].removeprefix("file:").removeprefix("//")).parent
+    assert path.exists()
+    clear_stored(spark)
+    assert not path.exists()
+
+
 def test_entry(spark):
     import __spark_entry__
 
