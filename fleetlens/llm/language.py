@@ -13,7 +13,7 @@ from fleetlens.llm.textbytes import lower_table, member_table, text_batches
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 300
-SAMPLE_PARTS = 16
+LANGUAGES = 1000
 UNKNOWN = "und"
 BEFORE = 0x0A  # a text is taken to follow line ends
 KNOWN_WINDOWS = 1_000_000
@@ -136,20 +136,21 @@ def fit_languages(
 ) -> Trees | None:
     """Learn a context tree for each value of ``lang_col`` from at most ``docs_per_language`` documents.
 
-    The documents are those with the smallest hash of their id. Only they are read whole; the count of
+    The documents are those with the smallest hash of their id, the languages the ``LANGUAGES`` most
+    frequent ones. Only they are read whole; the count of
     what they contain is a distributed aggregate, and its rows, bounded by the sample, make
     the trees on the driver. Rows without text, language or id are not used. ``None`` if nothing is left.
     """
     usable = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     ).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    hashed = usable.select("id", "lang", F.xxhash64("id").alias("hash"))
-    # The first of each part, and then of all parts: the last step sees so many rows of a language only.
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE_PARTS))
-    first = F.row_number().over(Window.partitionBy("lang", part).orderBy("hash", "id"))
-    parted = hashed.withColumn("place", first).filter(F.col("place") <= docs_per_language)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
-    sample = parted.withColumn("place", rank).filter(F.col("place") <= docs_per_language).select("id", "lang")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / F.lit(1 << 31)
+    hashed = usable.select("id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
+    # Half as many again as wanted are taken by their hash, whatever the size of the table, and then the first.
+    taken = hashed.filter(F.col("place") < F.lit(1.5 * docs_per_language) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    sample = taken.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).select("id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_batches(batches, "text", 1 << 20):
