@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BLANK = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 BASE = 0x9E3779B97F4A7C15
 
