@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.textbytes import Rolling, lower_table, member_table, runs, text_batches
 
-TRAINING_DOCS = 8000
+TRAINING_DOCS = 20_000
 FEATURES = 20_000
 LEAST_DOCS = 3
 LEAST_CHI2 = 15.0
