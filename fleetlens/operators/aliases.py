@@ -52,17 +52,20 @@ def _prefixes(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(starts)))
 
 
-def _followers(aliases: DataFrame, lengths: list[int], rounds: int = 64) -> DataFrame:
+def _followers(aliases: DataFrame, lengths: list[int], rounds: int = 64) -> DataFrame | None:
     """For each alias those later ones that its label brings in, directly or through another label."""
     heads = aliases.select("alias", "seq", F.explode(_prefixes(F.col("label"), lengths)).alias("next"))
     ends = aliases.select(F.col("alias").alias("next"), F.col("seq").alias("next_seq"))
-    step = stored(heads.join(ends, "next").where("next_seq > seq").select("alias", "next"), "alias-steps")
-    known, new = step, step
+    step = heads.join(ends, "next").where("next_seq > seq").select("alias", "next")
+    if step.isEmpty():  # as a rule labels are names, and hold no ids
+        return None
+    known = new = step = stored(step.distinct(), "alias-steps")
+    onward = step.select(F.col("alias").alias("next"), F.col("next").alias("last"))
     for _ in range(rounds):
+        further = new.join(onward, "next").select("alias", F.col("last").alias("next")).distinct()
+        new = stored(further.join(known, ["alias", "next"], "left_anti"), "alias-steps")
         if new.isEmpty():
             return known
-        further = new.join(step.select(F.col("alias").alias("next"), F.col("next").alias("last")), "next")
-        new = stored(further.select("alias", F.col("last").alias("next")).distinct().exceptAll(known.distinct()), "alias-steps")
         known = known.unionByName(new)
     raise ValueError(f"labels bring in aliases over more than {rounds} steps")
 
@@ -81,9 +84,12 @@ def annotate_ids(df: DataFrame, text: str, aliases: DataFrame, out: str = "annot
         return df.withColumn(out, F.col(text))
     texts = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n"))
     hits = texts.select("_text", F.explode(_prefixes(F.col("_text"), lengths)).alias("alias")).join(usable, "alias")
-    later = _followers(usable, lengths).join(usable.withColumnRenamed("alias", "next"), "next")
-    brought = hits.select("_text", "alias").join(later, "alias").select("_text", F.col("next").alias("alias"), "label", "seq")
-    entries = hits.select("_text", "alias", "label", "seq").unionByName(brought)
+    entries = hits.select("_text", "alias", "label", "seq")
+    followers = _followers(usable, lengths)
+    if followers is not None:
+        later = followers.join(usable.withColumnRenamed("alias", "next"), "next")
+        brought = hits.select("_text", "alias").join(later, "alias")
+        entries = entries.unionByName(brought.select("_text", F.col("next").alias("alias"), "label", "seq"))
     found = entries.groupBy("_text").agg(F.sort_array(F.collect_set(F.struct("seq", "alias", "label"))).alias("_entries"))
 
     def annotate(result, entry):

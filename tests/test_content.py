@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import random
 
 import pytest
@@ -148,3 +149,23 @@ def test_small_labels(spark):
     states = {"Exited (0) 3 days ago": "Ex(0) 3 days ago", "Up 3 hours": "Up 3 hours"}
     got = spark.createDataFrame([(s,) for s in states], "s string").select("s", short_status(F.col("s")).alias("t"))
     assert {r["s"]: r["t"] for r in got.collect()} == states
+
+
+def test_labels_that_hold_aliases(spark):
+    """Later aliases apply to labels too, through any number of steps; earlier ones do not."""
+    rows = [("aa", "x-bb1", 1), ("bb", "cc", 2), ("cc", "dd", 3), ("dd", "end", 4), ("ee", "aa", 5), ("z.", "never", 6)]
+    aliases = spark.createDataFrame(rows, "alias string, label string, seq int")
+    texts = {"aa0": "aa0 x-bb1 cc dd end", "ee": "ee aa", "bb,aa": None, "": "", "none": "none", None: None, "z.": "z."}
+
+    def folded(text):
+        for alias, label, _ in rows:
+            if re.fullmatch("[0-9a-f]+", alias):
+                text = re.sub(f"(^|[^0-9a-f])({alias})([0-9a-f]*)", lambda m: m.group() + " " + label, text)
+        return text
+
+    df = spark.createDataFrame([(t,) for t in texts] * 3, "t string")
+    got = annotate_ids(df, "t", aliases).collect()
+    assert len(got) == 3 * len(texts)
+    for row in got:
+        assert row["annotated"] == (None if row["t"] is None else folded(row["t"]))
+    assert folded("aa0") == texts["aa0"] and folded("ee") == texts["ee"]
