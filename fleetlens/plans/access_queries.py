@@ -42,7 +42,7 @@ FIELDS_SQL = ", ".join(f'"{f}"' for f in FIELDS)
 
 
 def _lines(spark: SparkSession, sf_dir: str, closing: Column | None = None) -> DataFrame:
-    return access_lines(table(spark, sf_dir, "events", "event_id"), closing)
+    return access_lines(table(spark, sf_dir, "events"), closing)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

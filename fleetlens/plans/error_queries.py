@@ -42,7 +42,7 @@ error AS (
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return parse_error(route_lines(error_lines(table(spark, sf_dir, "events", "event_id")))[0])
+    return parse_error(route_lines(error_lines(table(spark, sf_dir, "events")))[0])
 
 
 @query(
@@ -74,7 +74,7 @@ def error_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM error WHERE stage IS NULL AND NOT noise""",
 )
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report, _ = error_log(error_lines(table(spark, sf_dir, "events", "event_id")), drop_noise=True)
+    report, _ = error_log(error_lines(table(spark, sf_dir, "events")), drop_noise=True)
     return report.select(
         "event_id", "date", "time", "ip", "level", "channel", "message", "new_section"
     )

@@ -65,7 +65,7 @@ def positions(ordered: DataFrame, name: str) -> DataFrame:
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_lines(table(spark, sf_dir, "events", "event_id"))
+    return access_lines(table(spark, sf_dir, "events"))
 
 
 def _written_logs(spark: SparkSession, sf_dir: str) -> str:

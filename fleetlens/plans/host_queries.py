@@ -74,7 +74,7 @@ WITH c AS (
           CASE WHEN l_linenumber = 6 THEN '' ELSE name END AS name FROM c""",
 )
 def container_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = container_lines(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"))
+    lines = container_lines(table(spark, sf_dir, "lineitem"))
     containers, _ = read_container_snapshot(lines)
     return containers.select("l_orderkey", "container_id", "image", "created", "status", "state", "name")
 
@@ -88,14 +88,14 @@ def container_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM c WHERE l_linenumber NOT IN (2, 7)""",
 )
 def ports_by_interface_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = container_lines(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"))
+    lines = container_lines(table(spark, sf_dir, "lineitem"))
     containers, _ = with_ports(read_container_snapshot(lines)[0])
     return containers.select("l_orderkey", "container_id", "port_text")
 
 
 @query("ports_rejects", f"{CONTAINERS_SQL} SELECT l_orderkey, container_id FROM c WHERE l_linenumber IN (2, 7)")
 def ports_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = container_lines(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"))
+    lines = container_lines(table(spark, sf_dir, "lineitem"))
     _, rejects = with_ports(read_container_snapshot(lines)[0])
     return rejects.select("l_orderkey", "container_id")
 
@@ -187,7 +187,7 @@ def alias_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat(md5(cast(c_nationkey AS string)), ' up x', md5(cast(c_nationkey AS string)), ' f',
              md5(cast(c_nationkey AS string)), ' ', c_name)"""
     )
-    texts = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", text.alias("text"))
+    texts = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
     return annotate_ids(texts, "text", _aliases(spark, sf_dir)).select("c_custkey", "annotated")
 
 

@@ -56,7 +56,7 @@ mail AS (
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = mail_lines(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"))
+    lines = mail_lines(table(spark, sf_dir, "lineitem"))
     return parse_syslog(route_lines(lines)[0], YEAR)
 
 
@@ -107,7 +107,7 @@ session AS (
 
 
 def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = session_lines(table(spark, sf_dir, "events", "event_id"))
+    lines = session_lines(table(spark, sf_dir, "events"))
     return classify_mail(parse_syslog(route_lines(lines)[0], YEAR)[0])
 
 
@@ -124,7 +124,7 @@ def mail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM session""",
 )
 def mail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = session_lines(table(spark, sf_dir, "events", "event_id"))
+    lines = session_lines(table(spark, sf_dir, "events"))
     report, _ = mail_log(lines, YEAR, tail=tail_start, scope=["host"])
     return report.select(
         "event_id", "date", "time", "ipaddr", "msgid", "content", "new_section"

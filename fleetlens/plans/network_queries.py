@@ -56,7 +56,7 @@ found AS (
     f"{NETS_SQL} SELECT event_id, ip, net_label FROM access LEFT JOIN found USING (event_id)",
 )
 def net_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id").select("event_id", event_ip().alias("ip"))
+    rows = table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
     return lookup_network(rows, "ip", networks(spark, sf_dir))
 
 
@@ -66,7 +66,7 @@ def net_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def net_lookup_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when there are too many networks to broadcast."""
-    rows = table(spark, sf_dir, "events", "event_id").select("event_id", event_ip().alias("ip"))
+    rows = table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
     return lookup_network(rows, "ip", networks(spark, sf_dir), broadcast_nets=0)
 
 
@@ -82,7 +82,7 @@ def net_lookup_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM access LEFT JOIN best ON user_id % 4 = a""",
 )
 def net_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id").select("event_id", event_ip().alias("ip"))
+    rows = table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
     nets = network_union(spark, ["local", "google"], group_feeds(spark, sf_dir))
     return lookup_network(rows, "ip", nets).select("event_id", "net_label")
 
@@ -97,7 +97,7 @@ def net_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM events""",
 )
 def ip_bits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id").select("event_id", event_ip().alias("ip"))
+    rows = table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
     return rows.select("event_id", ip_family(F.col("ip")).alias("family"), ip_bits(F.col("ip")).alias("bits"))
 
 
@@ -110,7 +110,7 @@ def ip_bits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def net_bits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cidr = F.expr("concat('10.', user_id % 4, '.', event_id % 200, '.', user_id % 250, '/', event_id % 25 + 8)")
-    rows = table(spark, sf_dir, "events", "event_id").select("event_id", net_parts(cidr).alias("net"))
+    rows = table(spark, sf_dir, "events").select("event_id", net_parts(cidr).alias("net"))
     return rows.select("event_id", "net.prefix_len", "net.bits")
 
 
@@ -125,7 +125,7 @@ def net_bits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse, filter, look up, mark sections and label: the whole access-log report."""
-    lines = access_lines(table(spark, sf_dir, "events", "event_id"))
+    lines = access_lines(table(spark, sf_dir, "events"))
     report, _ = access_log(lines, filters=["status=404,500", "minsize=1000000"], nets=networks(spark, sf_dir))
     return report.select(
         "event_id", "date", "time", "req", "referer", "agent", "status_class", "size_label", "duration_label",

@@ -32,9 +32,10 @@ from fleetlens.streaming.sections import section_marker
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+    folder = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # As a pattern it may stand for one file or for a folder of files; a plain path must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
