@@ -8,26 +8,27 @@ from collections.abc import Iterator
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from fleetlens.sources.ranges import last_newline, lines_between
+from fleetlens.sources.ranges import lines_ending_between
 
 FORMAT = "growing_text"
 PIECE = 64 * 1024 * 1024
 
 
 class ByteRange(InputPartition):
-    """Lines of one file that start in ``[start, end)``."""
+    """Lines of one file whose newline lies in ``[start, end)``."""
 
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
 
 
 class GrowingTextReader(DataSourceStreamReader):
-    """Offsets map each file to the end of its last complete line that was seen."""
+    """Offsets map each file to how much of it was seen; the driver lists sizes and opens no file."""
 
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
         self.from_start = options.get("from_start", "true").lower() == "true"
         self.piece = int(options.get("piece_bytes", PIECE))
+        self.most = int(options.get("max_bytes", 0))
 
     def _sizes(self) -> dict[str, int]:
         filesystem, inner = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder else (
@@ -40,21 +41,23 @@ class GrowingTextReader(DataSourceStreamReader):
         # As for Spark's own readers, a dot or an underscore marks what is no data.
         return {f"{prefix}/{name}": size for name, size in names.items() if name[0] not in "._"}
 
-    def _complete(self, known: dict[str, int]) -> dict[str, int]:
-        ends = dict(known)
-        for path, size in self._sizes().items():
+    def _grown(self, known: dict[str, int], most: int) -> dict[str, int]:
+        """Sizes now, but no more than ``most`` bytes beyond those known."""
+        ends, left = dict(known), most or float("inf")
+        for path, size in sorted(self._sizes().items()):
             seen = known.get(path, 0)
-            if size > seen:
-                ends[path] = last_newline(path, seen, size)
-            elif size < seen:  # truncated and written anew
+            if size < seen:  # truncated and written anew
                 ends[path] = 0
+            elif left > 0 and size > seen:
+                ends[path] = int(min(size, seen + left))
+                left -= ends[path] - seen
         return ends
 
     def initialOffset(self) -> dict:
-        return {} if self.from_start else {"files": json.dumps(self._complete({}))}
+        return {} if self.from_start else {"files": json.dumps(self._grown({}, 0))}
 
     def latestOffset(self) -> dict:
-        self._known = self._complete(getattr(self, "_known", {}))
+        self._known = self._grown(getattr(self, "_known", {}), self.most)
         return {"files": json.dumps(self._known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
@@ -68,7 +71,7 @@ class GrowingTextReader(DataSourceStreamReader):
         return ranges
 
     def read(self, partition: ByteRange) -> Iterator[tuple]:
-        for offset, line in lines_between(partition.path, partition.start, partition.end):
+        for offset, line in lines_ending_between(partition.path, partition.start, partition.end):
             text = line.decode("utf-8", "replace").rstrip("\r\n")
             yield partition.path, partition.start, offset, len(line) + 1, text
 
@@ -76,8 +79,10 @@ class GrowingTextReader(DataSourceStreamReader):
 class GrowingText(DataSource):
     """``spark.readStream.format("growing_text")``: appended lines of all files in a folder.
 
-    Only complete lines are emitted. ``seq`` is the byte offset of a line. Options: ``path``,
-    ``from_start`` (``false`` skips what is there already) and ``piece_bytes``.
+    Only complete lines are emitted: a line belongs to the bytes that hold its newline, and the task
+    that reads them finds its beginning. ``seq`` is the byte offset of a line. Options: ``path``,
+    ``from_start`` (``false`` skips what is there already), ``piece_bytes``, and ``max_bytes``, which
+    bounds a micro-batch where the query goes on; a query that ends with its input reads one bound.
     """
 
     @classmethod

@@ -71,17 +71,33 @@ def lines_between(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]
             yield position, rest
 
 
-def last_newline(path: str, start: int, end: int) -> int:
-    """The end of the last complete line in ``[start, end)``, or ``start`` if there is none."""
+def _line_start(source, position: int) -> int:
+    """Where the line that ``position`` lies in begins."""
+    at = position
+    while at > 0:
+        begin = max(0, at - TAIL_CHUNK)
+        found = source.read_at(at - begin, begin).rfind(b"\n")
+        if found >= 0:
+            return begin + found + 1
+        at = begin
+    return 0
+
+
+def lines_ending_between(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """``(offset, line)`` of the lines whose newline lies in ``[start, end)``; a line may begin before."""
     with open_file(path) as source:
-        at = end
-        while at > start:
-            begin = max(start, at - CHUNK)
-            found = source.read_at(at - begin, begin).rfind(b"\n")
-            if found >= 0:
-                return begin + found + 1
-            at = begin
-    return start
+        position = at = _line_start(source, start)
+        rest = b""
+        while at < end:
+            chunk = source.read_at(min(CHUNK, end - at), at)
+            if not chunk:
+                return  # cut off since it was listed
+            at += len(chunk)
+            pieces = (rest + chunk).split(b"\n")
+            rest = pieces.pop()
+            for piece in pieces:
+                yield position, piece
+                position += len(piece) + 1
 
 
 def last_lines_start(path: str, n: int) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from stat import S_ISDIR, S_ISREG
 from uuid import uuid4
 
@@ -17,6 +18,7 @@ from fleetlens.session import shared_folder, task_count
 # Folders that hold copies by design.
 VERSION_CONTROL = (".git", ".svn")
 
+ROWS_AT_ONCE = 10_000  # a folder may hold any number of files
 _COLUMNS = ["root", "subpath", "size", "seconds", "is_dir"]
 _SCHEMA = "root string, subpath string, size bigint, seconds bigint, is_dir boolean"
 
@@ -38,12 +40,13 @@ def _entries(folder: str) -> Iterator[tuple[str, int, int, bool]]:
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for root, subpath in zip(batch["root"], batch["subpath"]):
-            rows = [
+            rows = (
                 (root, f"{subpath}/{name}" if subpath else name, size, seconds, is_dir)
                 for name, size, seconds, is_dir in _entries(f"{root}/{subpath}" if subpath else root)
                 if (name not in VERSION_CONTROL if is_dir else size > 0)
-            ]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            )
+            while some := list(islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=_COLUMNS)
 
 
 def walk_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

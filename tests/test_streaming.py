@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 from uuid import uuid4
 
@@ -13,8 +14,9 @@ from fleetlens.operators.lines import mark_sections, route_lines
 from fleetlens.operators.mail import classify_mail, enrich_msgid, parse_syslog
 from fleetlens.operators.purify import purified
 from fleetlens.plans.pipelines import error_log, mail_log
-from fleetlens.sources.follow import follow_lines
+from fleetlens.sources.follow import GrowingTextReader, follow_lines
 from fleetlens.sources.lines import read_lines, stream_lines
+from fleetlens.sources.ranges import lines_ending_between
 from fleetlens.streaming.access import stream_access
 from fleetlens.streaming.mail import stream_enrich
 from fleetlens.streaming.options import only_with_data, state_on_disk
@@ -202,6 +204,28 @@ def test_purify_within(spark, tmp_path):
     assert sorted(r["value"] for r in stream.rows().collect()) == ["a", "b"]
 
 
+def test_lines_belong_to_the_bytes_of_their_newline(tmp_path):
+    data = b"one\n\ntwo three\n" + b"x" * 200 + b"\nlast"
+    (tmp_path / "a").write_bytes(data)
+    wanted = [(i, line) for i, line in zip([0, 4, 5, 15], data.split(b"\n")[:-1])]
+    for cut in range(len(data) + 1):
+        parts = [*lines_ending_between(str(tmp_path / "a"), 0, cut), *lines_ending_between(str(tmp_path / "a"), cut, len(data))]
+        assert parts == wanted
+
+
+def test_a_batch_of_grown_files_can_be_bounded(tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"0123456789" * 10)
+    reader = GrowingTextReader({"path": str(tmp_path), "max_bytes": "150", "piece_bytes": "40"})
+    first = reader.latestOffset()
+    assert sum(json.loads(first["files"]).values()) == 150
+    ranges = reader.partitions({}, first)
+    assert [(r.path[-1], r.start, r.end) for r in ranges] == [
+        ("a", 0, 40), ("a", 40, 80), ("a", 80, 100), ("b", 0, 40), ("b", 40, 50),
+    ]
+    assert sum(json.loads(reader.latestOffset()["files"]).values()) == 200
+
+
 def test_follow_growing_files(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
