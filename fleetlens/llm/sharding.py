@@ -26,6 +26,7 @@ class Cuts:
     def __init__(self, totals: list[int], largest: int, shards: int, fetch: Callable[[set[int]], dict[int, list[int]]]):
         self.ends = list(accumulate(totals, initial=0))
         self.total, self.shards, self.fetch = self.ends[-1], shards, fetch
+        self.largest = largest
         self.low = max(-(-self.total // shards), largest)
         self.groups: dict[int, list[int]] = {}
 
@@ -39,11 +40,11 @@ class Cuts:
             for block, sizes in self.fetch(missing).items():
                 self.groups[block] = list(accumulate(sizes, initial=self.ends[block]))
 
-    def walk(self, capacity: int, by_block: bool = False) -> list[int]:
+    def walk(self, capacity: int, by_block: bool = False, alone: bool = False) -> list[int]:
         """Where greedy filling cuts; the last number is the total if the capacity suffices.
 
         ``by_block`` cuts before the block instead of inside it, which needs no sizes and never
-        reaches further than the real walk.
+        reaches further than the real walk. With ``alone`` a group larger than the capacity is a shard.
         """
         cuts, at = [], 0
         if not by_block:
@@ -57,13 +58,35 @@ class Cuts:
             elif by_block:
                 at = max(at, self.ends[self.block_at(reach)])
             else:
-                block = self.block_at(reach)
-                self.need([block])
-                ends = self.groups[block]
-                at = max(at, ends[bisect_right(ends, reach) - 1])
+                cut = self.end_before(reach)
+                at = cut if cut > at else self.end_after(at) if alone else at
             cuts.append(at)
         return cuts
 
+    def end_before(self, reach: int) -> int:
+        """The last end of a group at or before ``reach``."""
+        block = self.block_at(reach)
+        self.need([block])
+        ends = self.groups[block]
+        return ends[bisect_right(ends, reach) - 1]
+
+    def end_after(self, at: int) -> int:
+        """The first end of a group after ``at``, which is one itself."""
+        block = self.block_at(at)
+        self.need([block])
+        return self.groups[block][bisect_right(self.groups[block], at)]
+
+    def level(self, high: int) -> list[int]:
+        """Cuts by the smallest capacity that suffices if a group that exceeds it has a shard of its own."""
+        low = 1
+        while low < high:
+            middle = (low + high) // 2
+            if self.walk(middle, alone=True)[-1] < self.total:
+                low = middle + 1
+            else:
+                high = middle
+        return self.walk(low, alone=True)
+
     def possible(self, low: int, high: int) -> set[int]:
         """Blocks in which a cut can fall for some capacity from ``low`` to ``high``."""
         found: set[int] = set()
@@ -90,7 +113,8 @@ class Cuts:
                 tight = middle
         high = tight
         if self.walk(low)[-1] == self.total:
-            return self.walk(low)
+            # Where one group is the largest shard, filling the others as far would leave the last ones empty.
+            return self.level(low) if low == self.largest else self.walk(low)
         while low < high:
             blocks = self.possible(low, high)
             if len(blocks) <= FETCH_AT_ONCE:  # all that is left to try needs these sizes at most
@@ -115,7 +139,8 @@ def contiguous_shards(
     One row per input row: the id, ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``,
     ``shard`` and ``slot``, which counts from 0 without gaps in each shard. Groups of equal texts are
     ordered by their smallest id and cut into contiguous shards; no other way to cut that order
-    has a smaller largest shard. The last shards may be empty.
+    has a smaller largest shard. Where a single group is that shard, the next smaller capacity that
+    suffices for the other shards is taken for them. With few groups the last shards may be empty.
 
     Texts are compared by their SHA-256. Group sizes are numbered in range partitions; the driver
     holds one total per block of about the square root of all groups, and reads the sizes of those

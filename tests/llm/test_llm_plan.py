@@ -142,6 +142,13 @@ def test_cuts_have_the_least_capacity(blocks, shards):
     assert max(np.diff([0, *cuts])) == least_capacity(groups, shards)
 
 
+def test_beside_a_group_larger_than_a_shard_the_others_are_small_too():
+    blocks = [[3, 4, 5] * 20, [400], [2, 6] * 30]
+    cuts = Cuts([sum(b) for b in blocks], 400, 8, lambda numbers: {n: blocks[n] for n in numbers}).solve()
+    sizes = np.diff([0, *cuts]).tolist()
+    assert sum(sizes) == 880 and sorted(sizes)[-2:] == [80, 400]  # 240 on either side, in seven shards
+
+
 def check_shards(got, texts, shards):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in texts)
     by_text = defaultdict(list)
