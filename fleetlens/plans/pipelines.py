@@ -100,7 +100,7 @@ def duplicate_scan(
     Digests of ``previous_index`` are reused where path, size and mtime agree. The new index goes to
     ``index_path``, which must differ, and is read back as the result, so files are hashed once.
     """
-    if previous_index == index_path:
+    if previous_index is not None and previous_index.rstrip("/") == index_path.rstrip("/"):
         raise ValueError("the new index must not replace the one being read")
     files = read_manifest(spark, roots)
     candidates = size_candidates(files)

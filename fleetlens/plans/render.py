@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.labels import content_md5
 from fleetlens.functions.matching import held
 from fleetlens.sources.ranges import create_file
 
@@ -264,7 +265,7 @@ def session_lines(events: DataFrame) -> DataFrame:
 
 def document_files(documents: DataFrame) -> DataFrame:
     """Documents as files of a tree per source, hashed in the pass that reads their text."""
-    return held(documents, md5=F.md5("text")).select(
+    return held(documents, md5=content_md5(F.col("text"))).select(
         F.col("source").alias("root"),
         F.expr("concat(lang, '/', doc_id, '.txt')").alias("subpath"),
         F.octet_length("text").cast("bigint").alias("size"),

@@ -47,19 +47,18 @@ def read_manifest(spark: SparkSession, roots: Sequence[str], hidden: bool = True
 
 
 @F.pandas_udf(StringType())
-def _file_md5(paths: pd.Series) -> pd.Series:
-    return paths.map(md5_of)
+def _file_md5(paths: pd.Series, known: pd.Series) -> pd.Series:
+    return known.where(known.notna(), paths[known.isna()].map(md5_of))
 
 
 def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Fill ``md5`` where it is null by reading the file at ``path``; other files are not opened.
 
-    Files to hash are spread over tasks by path, as a manifest may list a whole tree in one task.
+    Files are spread over tasks by path, as a manifest may list a whole tree in one task; the rows are
+    read once.
     """
-    known = files.where(F.col("md5").isNotNull())
-    missing = files.where(F.col("md5").isNull())
-    spread = missing.repartition(tasks or task_count(files.sparkSession), "path")
-    return known.unionByName(spread.withColumn("md5", _file_md5("path")))
+    spread = files.repartition(tasks or task_count(files.sparkSession), "path")
+    return spread.withColumn("md5", _file_md5("path", "md5"))
 
 
 def read_image_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
