@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.addresses import ip_bits, ip_family, net_parts
@@ -60,13 +60,22 @@ def net_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_network(rows, "ip", networks(spark, sf_dir))
 
 
-@query(
-    "net_lookup_shuffled",
-    f"{NETS_SQL} SELECT event_id, ip, net_label FROM access LEFT JOIN found USING (event_id)",
-)
+# Also addresses outside all networks, texts that are none, and nulls, many of each.
+HOT_SQL = f"""{NETS_SQL} SELECT event_id,
+    CASE event_id % 11 WHEN 3 THEN NULL WHEN 4 THEN '172.16.0.1' WHEN 5 THEN 'no address' ELSE ip END AS ip,
+    CASE WHEN event_id % 11 NOT IN (3, 4, 5) THEN net_label END AS net_label
+  FROM access LEFT JOIN found USING (event_id)"""
+
+
+def hot_ip() -> Column:
+    special = F.when(F.expr("event_id % 11 = 4"), "172.16.0.1").when(F.expr("event_id % 11 = 5"), "no address")
+    return F.when(F.expr("event_id % 11 <> 3"), F.coalesce(special, event_ip())).alias("ip")
+
+
+@query("net_lookup_shuffled", HOT_SQL)
 def net_lookup_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when there are too many networks to broadcast."""
-    rows = table(spark, sf_dir, "events").select("event_id", event_ip().alias("ip"))
+    rows = table(spark, sf_dir, "events").select("event_id", hot_ip())
     return lookup_network(rows, "ip", networks(spark, sf_dir), broadcast_nets=0)
 
 
