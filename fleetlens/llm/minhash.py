@@ -294,7 +294,8 @@ def near_duplicates(
 
     keys = index_keys(reps, index)
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top")
-    rows = stored(keys.join(shared.drop("top"), "key"), "near-keys")
+    shared = stored(shared.drop("top"), "near-shared")  # few, and so a very frequent key's rows can be split
+    rows = stored(keys.join(shared, "key"), "near-keys")
 
     words = index.hashes * SYMBOL_BITS // 64
     first = rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -323,6 +324,7 @@ def near_duplicates(
         .filter("low < high")
         .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
+    mixed_keys = stored(mixed_keys, "near-mixed")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (
         others.join(mixed_keys, "key")
