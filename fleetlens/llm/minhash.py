@@ -27,7 +27,7 @@ class Index:
     most ``e`` differing symbols or one of the others at most ``e - 1``: else more than ``distance``
     would differ. So a chunk of the first kind is indexed once for each way to leave out ``e`` of
     its symbols, here one, and a chunk of the second kind with none left out. 64 hashes and a
-    distance of 22 lose a pair of similarity 0.85 with a probability of 5 in 100,000, and more
+    distance of 22 lose a pair of similarity 0.85 with a probability of 3 in 100,000, and more
     similar pairs with a lower one.
     """
 
