@@ -102,7 +102,7 @@ def annotate_ids(df: DataFrame, text: str, aliases: DataFrame, out: str = "annot
     # Every text has its facts, so one that is very frequent is spread whether it has an alias or not.
     facts = texts.join(rewritten, "_text", "left")
     rows = df.withColumn("_text", F.coalesce(F.col(text), F.concat(F.lit("none "), row_hash(df).cast("string"))))
-    joined = join_group_facts(rows, facts, "_text", "_n", "left")
+    joined = join_group_facts(rows, facts, "_text", "_n", "left", sizes=texts)
     return joined.select(*df.columns, F.coalesce(out, F.col(text)).alias(out))
 
 

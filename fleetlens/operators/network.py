@@ -168,4 +168,4 @@ def _lookup_by_address(df: DataFrame, ip: str, table: DataFrame, out: str, hot_r
     facts = addresses.select("_ip", "_n").join(found, "_ip", "left")
     nowhere = F.concat(F.lit("none "), row_hash(df).cast("string"))
     rows = held(df, _ip=F.coalesce(F.col(ip), nowhere))
-    return join_group_facts(rows, facts, "_ip", "_n", "left", hot_rows).select(*df.columns, out)
+    return join_group_facts(rows, facts, "_ip", "_n", "left", hot_rows, sizes=addresses).select(*df.columns, out)

@@ -183,20 +183,22 @@ def join_group_facts(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     hot_keys: int = HOT_KEYS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Attach the one facts row of a key to all rows of that key, hot keys spread over many tasks.
 
     ``facts[n]`` is the number of rows under the key. Keys of more than ``hot_rows`` rows, and of more than
     one in ``hot_keys`` of all rows, get a salt for each so many rows: their facts are repeated and
     their rows salted. There are ``hot_keys`` such keys at most. All other keys join as they are.
+    ``sizes`` has the key and the number of rows alone, where the facts cost more to compute.
     """
-    share = facts.agg(F.sum(n) / hot_keys).scalar()
+    sizes = facts.select(key, n) if sizes is None else sizes.select(key, n)
+    share = sizes.agg(F.sum(n) / hot_keys).scalar()
     limit = F.greatest(F.lit(float(hot_rows)), F.coalesce(share, F.lit(0.0)))
     salts = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit)).otherwise(1).cast("bigint")
-    salted = facts.withColumn("_salts", salts)
-    hot = salted.where(F.col("_salts") > 1).select(key, "_salts")
+    hot = sizes.withColumn("_salts", salts).where(F.col("_salts") > 1).select(key, "_salts")
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.coalesce(F.pmod(row_hash(rows), F.col("_salts")), F.lit(0).cast("bigint"))
     )
-    repeated = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
-    return salted_rows.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return salted_rows.drop("_salts").join(repeated, [key, "_salt"], how).drop("_salt")
