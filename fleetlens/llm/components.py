@@ -11,7 +11,7 @@ from fleetlens.session import stored
 def components(links: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node in ``links`` (``a``, ``b``).
 
-    Large-star and small-star steps alternate until every node points at a root. Each step takes a
+    Large-star and small-star steps alternate until every node points at one root only. Each step takes a
     minimum per node, combined before the shuffle and stored, and joins it back, so that a node with
     very many links is an ordinary skewed join, which adaptive execution splits, and never a group in
     one task. Each round is stored, which cuts the lineage. Links with a null end and from a node to itself are left out.
@@ -31,9 +31,10 @@ def components(links: DataFrame, name: str, rounds: int = 100) -> DataFrame:
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-small")
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}-round")
+        forked = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high")
         roots = edges.select(F.col("b").alias("a")).distinct()
-        if edges.join(roots, "a", "left_semi").isEmpty():
-            break  # nobody's root points on; a small star has given each node one root
+        if forked.isEmpty() and edges.join(roots, "a", "left_semi").isEmpty():
+            break  # every node points at one root, and nobody's root points on
     else:
         raise RuntimeError(f"components of {name} are not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

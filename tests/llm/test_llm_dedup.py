@@ -189,6 +189,33 @@ def test_components(spark):
     assert components(frame.limit(0), "none").count() == 0
 
 
+CHAINS = [
+    [1, 2, 3, 4],
+    [1, 3, 4, 5, 2],
+    [2, 5, 6, 7, 4, 1, 3, 8],
+    [10, 9, 4, 8, 6, 7, 3, 1, 5, 2],
+    [6, 11, 9, 3, 7, 8, 10, 4, 5, 13, 14, 12, 1, 15, 2],
+]
+STARS = [(16, x) for x in (13, 4, 5, 2, 8, 15, 9, 19, 7)] + [(11, x) for x in (14, 6, 17, 10, 18, 3, 12, 1, 7)]
+
+
+@pytest.mark.parametrize("links", [*(list(zip(c, c[1:])) for c in CHAINS), STARS], ids=len)
+def test_components_give_each_node_once(spark, links):
+    """Rows, not a dict, of graphs on their own: chains in shuffled order, and two stars joined through one node."""
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = sorted(tuple(r) for r in components(frame, "once").collect())
+    assert got == sorted(rooted({x for pair in links for x in pair}, links).items())
+
+
+@pytest.mark.parametrize("order", [(1, 3, 4, 5, 2), (4, 1, 6, 3, 5, 2)])
+def test_vectors_in_a_chain_are_one_component(spark, order):
+    """Each is near to its neighbours in the chain only."""
+    rows = [(i, [float(np.cos(0.3 * k)), float(np.sin(0.3 * k))], 0) for k, i in enumerate(order)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.component_id) for r in near_vectors(frame, threshold=0.93).collect())
+    assert got == [(i, 1) for i in sorted(order)]
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 
