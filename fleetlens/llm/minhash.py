@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from fleetlens.session import stored
 
 BLOCK = 1024
 SYMBOL_BITS = 16
+LOSS = 3e-5  # the highest probability that a pair of just the wanted similarity is lost
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,7 @@ class Index:
     would differ. So a chunk of the first kind is indexed once for each way to leave out ``e`` of
     its symbols, here one, and a chunk of the second kind with none left out. 64 hashes and a
     distance of 22 lose a pair of similarity 0.85 with a probability of 3 in 100,000, and more
-    similar pairs with a lower one.
+    similar pairs with a lower one. ``for_percent`` has a distance for other similarities.
     """
 
     hashes: int = 64
@@ -36,8 +38,27 @@ class Index:
     chunks: int = 16
 
     def __post_init__(self) -> None:
-        if self.hashes % (4 * self.chunks) or not self.chunks <= self.distance < 2 * self.chunks:
-            raise ValueError("chunks must divide the hashes into words, and allow one error in some of them")
+        if self.hashes % 4 or self.hashes % self.chunks or not self.chunks <= self.distance < 2 * self.chunks:
+            raise ValueError("hashes must fill words, and chunks divide them and allow one error in some of them")
+        if self.width < 2:
+            raise ValueError("a chunk that may leave out one symbol must have another")
+
+    @classmethod
+    def for_percent(cls, percent: int, hashes: int = 64) -> Index:
+        """The index that loses a pair of this similarity with a probability of ``LOSS`` at most.
+
+        Symbols differ independently with the chance of ``1 - percent / 100``. From a distance of half
+        the hashes on, chunks have two symbols instead of four: their keys, of one or two symbols, are
+        shared by many dissimilar documents, so the result is whole but slow. Raises ``ValueError`` where
+        a pair may differ in all symbols.
+        """
+        q = 1 - percent / 100
+        chance = [comb(hashes, k) * q**k * (1 - q) ** (hashes - k) for k in range(hashes + 1)]
+        distance = next((d for d in range(hashes) if sum(chance[d + 1 :]) <= LOSS), hashes)
+        for width in (4, 2):
+            if distance < 2 * (hashes // width):
+                return cls(hashes, max(distance, hashes // width), hashes // width)
+        raise ValueError(f"{hashes} hashes cannot find pairs of a similarity of {percent} percent")
 
     @property
     def width(self) -> int:
@@ -262,7 +283,7 @@ def cross_pairs(rows: DataFrame, index: Index, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, index: Index = Index(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 85, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Connect documents whose sets of five-word shingles overlap by ``percent`` of their union.
 
@@ -271,7 +292,8 @@ def near_duplicates(
 
     Documents with one set are one class, known by the set's size and two 64-bit hashes of it, and
     take part through the class's smallest id. Candidates are pairs whose signatures differ in
-    ``index.distance`` symbols at most; ``Index`` says why none is lost. They are met in two steps,
+    ``index.distance`` symbols at most; ``Index`` says why none is lost, and without an ``index`` the
+    distance follows from ``percent``. They are met in two steps,
     because the members of a large group need not be met in all pairs to be connected: first each
     member of a key meets the smallest id under that key; then, under keys whose members are not all
     connected by what was confirmed, the unconnected pairs are searched inside tasks, block by
@@ -282,6 +304,7 @@ def near_duplicates(
     repeat an id are one node, which has the links of each; a null id is linked with nothing and its ``component_id`` is null. An
     empty table gives an empty result. Other columns are not read and may have any name.
     """
+    index = index or Index.for_percent(percent)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stored(set_signatures(source, index), "near-sets")
     usable = sets.filter("n > 0 AND id IS NOT NULL")

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -189,6 +190,34 @@ def test_components(spark):
     assert components(frame.limit(0), "none").count() == 0
 
 
+@pytest.mark.parametrize("percent", [97, 85, 80, 75, 70, 60])
+def test_the_distance_follows_from_the_percent(percent):
+    index = Index.for_percent(percent)
+    q = 1 - percent / 100
+    lost = sum(comb(64, k) * q**k * (1 - q) ** (64 - k) for k in range(index.distance + 1, 65))
+    assert lost <= 3e-5
+    test_no_pair_within_the_distance_is_lost(index)
+
+
+def test_the_index_at_85_is_as_documented():
+    assert Index.for_percent(85) == Index()
+    with pytest.raises(ValueError):
+        Index.for_percent(1)
+
+
+@pytest.mark.parametrize("percent, changed", [(70, 176), (80, 111)])
+def test_pairs_just_similar_enough(spark, percent, changed):
+    """Pairs whose last words differ, at the similarity that is asked for."""
+    rows = []
+    for i in range(60):
+        same = [f"s{i}x{k}" for k in range(1004 - changed)]
+        for j in (0, 1):
+            rows.append((2 * i + j, " ".join(same + [f"o{i}y{j}z{k}" for k in range(changed)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_duplicates(frame, percent=percent).collect()), key=str)
+    assert [r[2] for r in sorted(got)] == [i // 2 * 2 for i in range(120)]
+
+
 CHAINS = [
     [1, 2, 3, 4],
     [1, 3, 4, 5, 2],
