@@ -106,7 +106,8 @@ class Template:
 
         A stretch is as long as the template and half as much. Where one could pair enough words, the
         one that could pair most of those that begin inside it is aligned, and if that fails the
-        stretch itself. The next one begins after the last word that was paired.
+        stretch itself. What lies before the first word that was paired is searched in the same way, up to
+        that word. The next one begins after the last word that was paired.
         """
         ends, most = self.stretches(places, words)
         begin, failed = 0, -1
@@ -119,6 +120,10 @@ class Template:
                         continue
                     pairs = align(words[at : ends[at]], self.words)
                     if len(pairs) >= self.least:
+                        cut = at + pairs[0][0]
+                        if cut - begin >= self.least:
+                            for early, own in self.windows(places[begin:cut], words[begin:cut]):
+                                yield begin + early, own
                         yield at, pairs
                         step = at + pairs[-1][0] + 1
                         break

@@ -256,6 +256,20 @@ def test_licenses_are_found_where_they_are(spark):
     assert [(f.license, f.coverage) for f in got[102]] == [("MIT (line)", 0.8)]
 
 
+def test_an_altered_notice_before_a_whole_one_is_found(spark):
+    words = [f"t{i}" for i in range(1, 11)]
+    whole, short = " ".join(words), " ".join(words[:8])
+    rows = [(1, f"{short} x y {whole}"), (2, f"{short} {short} {whole}"), (3, f"{whole} {short} x {whole} {short}")]
+    rows += [(4, f"{' '.join(words[:7])} x y {whole}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(f.start, f.coverage) for f in r.found] for r in find_licenses(frame, {"t": whole}).collect()}
+    n, m = len(short) + 1, len(whole) + 1
+    assert got[1] == [(0, 0.8), (n + 4, 1.0)]
+    assert got[2] == [(0, 0.8), (n, 0.8), (2 * n, 1.0)]
+    assert got[3] == [(0, 1.0), (m, 0.8), (m + n + 2, 1.0), (2 * m + n + 2, 0.8)]
+    assert got[4] == [(len(short) - 3 + 5, 1.0)]
+
+
 def test_license_edges(spark, edge_docs, edge_texts, no_docs):
     got = find_licenses(edge_docs, TEMPLATES).collect()
     assert len(got) == len(edge_texts) and all(r.found == [] for r in got)
