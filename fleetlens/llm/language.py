@@ -234,12 +234,16 @@ def _judged(scorer: Scorer | None, data: np.ndarray, bounds: np.ndarray) -> tupl
 
 
 def in_known_language(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
-    """The rows whose text is predicted to be in some language, with all their columns as they are."""
+    """The rows whose text is predicted to be in some language, with all their columns as they are.
+
+    That is text with a letter, whatever its code length. If nothing was learned, such text is kept as well.
+    """
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value) if held.value is not None else None
         for rows, data, bounds in text_batches(batches, text_col):
-            yield rows.filter(pa.array(_judged(scorer, data, bounds)[0] >= 0))
+            kept = have_letters(data, bounds) if scorer is None else _judged(scorer, data, bounds)[0] >= 0
+            yield rows.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)

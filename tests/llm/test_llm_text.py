@@ -158,6 +158,13 @@ def test_language_edges(spark, edge_docs, edge_texts, no_docs):
     assert {r.lang_pred for r in predict_languages(edge_docs, nothing).collect()} == {"und"}
 
 
+def test_the_stage_keeps_letters_if_nothing_was_learned(edge_docs, edge_texts):
+    kept = in_known_language(edge_docs, None)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        ((i, t) for i, t in edge_texts if any(c.isalpha() for c in t)), key=str
+    )
+
+
 def test_letters_of_any_script():
     texts = ["", "12", "é", "日", "٣", "1a", "ª", "👍"]
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
