@@ -13,6 +13,7 @@ from fleetlens.llm.hnsw import near_vectors
 from fleetlens.llm.language import fit_languages, held_out, predict_languages
 from fleetlens.llm.license_texts import TEMPLATES
 from fleetlens.llm.licenses import find_licenses
+from fleetlens.llm.merkle import folded, merkle_manifest, proof_digest
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
@@ -168,3 +169,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = contiguous_shards(table(spark, sf_dir, "documents"), shards=16)
     return shards.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+# CRC-32 of a short ASCII text, bit by bit; DuckDB has no such function.
+def crc32_sql(text: str) -> str:
+    return f"""(xor(list_reduce(flatten(list_transform(string_split(CAST({text} AS VARCHAR), ''),
+        lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda crc, c: CASE WHEN xor(crc, c) % 2 = 1
+        THEN xor(xor(crc, c) >> 1, 3988292384) ELSE xor(crc, c) >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT))"""
+
+
+def _framed(field: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({field} AS VARCHAR))) || ':' || {field}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_framed(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+               CASE WHEN {crc32_sql('doc_id')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+                    ELSE {_leaf_sql('text')} END AS altered
+        FROM documents
+    ), placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS pos
+        FROM leaves
+    ), nodes AS (
+        SELECT g, 0 AS level, pos, n, leaf AS digest FROM placed
+        UNION ALL
+        SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM nodes WHERE n > 1 GROUP BY g, level, pos // 3, n
+    ), tops AS (
+        SELECT -1 AS g, 0 AS level, g AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+    ), upper AS (
+        SELECT * FROM tops
+        UNION ALL
+        SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM upper WHERE n > 1 GROUP BY g, level, pos // 3, n
+    ), everything AS (
+        SELECT * FROM nodes UNION ALL SELECT * FROM upper
+    ), siblings AS (
+        SELECT a.g, a.level, a.pos,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+        FROM everything a JOIN everything b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3
+        WHERE a.n > 1 GROUP BY a.g, a.level, a.pos
+    ), walk AS (
+        SELECT g AS own, pos AS place, g, 0 AS level, pos, 0 AS step, altered AS node, '' AS proof FROM placed
+        UNION ALL
+        SELECT own, place, CASE WHEN s.g IS NULL THEN -1 ELSE w.g END, CASE WHEN s.g IS NULL THEN 0 ELSE w.level + 1 END,
+               CASE WHEN s.g IS NULL THEN w.own ELSE w.pos // 3 END, step + 1,
+               CASE WHEN s.g IS NULL THEN node ELSE sha256(s.l || node || s.r) END,
+               CASE WHEN s.g IS NULL THEN proof ELSE proof || s.l || s.r END
+        FROM walk w LEFT JOIN siblings s ON w.g = s.g AND w.level = s.level AND w.pos = s.pos
+        WHERE s.g IS NOT NULL OR w.g >= 0
+    ), ends AS (
+        SELECT own, place, arg_max(node, step) AS folded_root, sha256(arg_max(proof, step)) AS proof_sha256
+        FROM walk GROUP BY own, place
+    )
+    SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, proof_sha256, folded_root,
+           folded_root = r.digest AS verified
+    FROM placed p JOIN tops t ON p.g = t.pos JOIN ends e ON p.g = e.own AND p.pos = e.place
+    CROSS JOIN (SELECT digest FROM upper WHERE n = 1) r
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tree = merkle_manifest(table(spark, sf_dir, "documents"), altered={"text": text})
+    proof = tree.withColumn("folded_root", folded(F.col("path"), F.col("altered_leaf")))
+    return proof.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
