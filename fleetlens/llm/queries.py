@@ -19,6 +19,7 @@ from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
 from fleetlens.llm.sharding import contiguous_shards
 from fleetlens.llm.toxicity import fit_toxicity, score_toxicity
+from fleetlens.llm.trie import conversation_trie, numbered_turns, with_shared_heads
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -251,3 +252,49 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query(
+    "op11_conversation_trie",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql('conv_id')} % 6 AS h FROM turns GROUP BY conv_id
+    ), rebuilt AS (
+        SELECT c.conv_id, 0 AS part, d, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE d <= h
+        UNION ALL
+        SELECT c.conv_id, 1, d, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE d > h
+    ), whole AS (
+        SELECT c.conv_id, coalesce(list(struct_pack(r := role, t := text) ORDER BY part, d) FILTER (d IS NOT NULL), []) AS seq
+        FROM convs c LEFT JOIN rebuilt USING (conv_id) GROUP BY c.conv_id
+    ), steps AS (
+        SELECT conv_id, unnest(range(len(seq) + 1)) AS depth, seq FROM whole
+    ), nodes AS (
+        SELECT seq[:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               (count(*) - 1) * coalesce(length(any_value(seq[depth].t)), 0) AS saves,
+               coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = len(seq)), '') AS ends
+        FROM steps GROUP BY prefix, depth
+    ), parents AS (
+        SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p
+        ON p.depth = n.depth - 1 AND p.prefix = n.prefix[:n.depth - 1]
+    ), kids AS (
+        SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+        FROM parents WHERE depth > 0 GROUP BY ALL
+    ), facts AS (
+        SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN kids USING (conv_id, depth)
+    ), ancestors AS (
+        SELECT prefix[:up] AS prefix, up AS depth, saves, n_children
+        FROM (SELECT *, unnest(range(depth + 1)) AS up FROM facts)
+    ), sums AS (
+        SELECT prefix, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves)::BIGINT AS saved_tokens
+        FROM ancestors GROUP BY prefix, depth
+    )
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+    FROM facts JOIN sums USING (prefix, depth)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(*with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations"))))
