@@ -15,6 +15,7 @@ from fleetlens.llm.license_texts import TEMPLATES
 from fleetlens.llm.licenses import find_licenses
 from fleetlens.llm.merkle import folded, merkle_manifest, proof_digest
 from fleetlens.llm.minhash import near_duplicates
+from fleetlens.llm.mixing import entropy_mix
 from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.registry import ORACLES, QUERIES, query, table
 from fleetlens.llm.sharding import contiguous_shards
@@ -298,3 +299,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(*with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_entropy_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "rate", "copies"
+    )
