@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,6 @@ from fleetlens.session import stored
 
 SPAN = 64  # turns whose digests are put together at once
 TOUR_BLOCK = 1 << 16  # arcs summed in one window partition
-SIBLINGS = 100_000  # children linked in one window partition, about
 ROOT = ""
 
 
@@ -128,7 +128,7 @@ def tour_links(nodes: DataFrame, children: DataFrame) -> DataFrame:
     dealt into blocks by hash and linked inside them; a second step links the blocks of a parent, so a parent with
     very many children is no single group.
     """
-    blocks = max(1, -(-nodes.count() // SIBLINGS))
+    blocks = 1 + isqrt(nodes.count())  # so neither a block nor the blocks of a parent are many
     dealt = children.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
     inside = Window.partitionBy("parent", "block").orderBy("conv_id")
     linked = stored(dealt.withColumn("sibling", F.lead("node").over(inside)), "trie-siblings")
