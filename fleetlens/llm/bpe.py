@@ -177,7 +177,7 @@ class Encoder:
         else:
             fixed = None
         ends = np.append(starts[1:], len(data))
-        hashes = self.rolling.stretches(self.rolling.sums(self.rolling.bytes[data]), starts, ends)
+        hashes = self.rolling.words(self.rolling.bytes[data], starts, ends)
         unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         new = self.known.missing(unique)
         if len(new):

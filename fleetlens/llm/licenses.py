@@ -136,7 +136,7 @@ def words_of(rolling: Rolling, data: np.ndarray, bounds: np.ndarray) -> tuple[np
     lowered = lower_table()[data]
     inside = member_table(bytes(b for b in range(256) if b >= 128 or chr(b).isalnum()))
     starts, ends, row = runs(lowered, bounds, inside)
-    return rolling.stretches(rolling.sums(rolling.bytes[lowered]), starts, ends), starts, ends, row
+    return rolling.words(rolling.bytes[lowered], starts, ends), starts, ends, row
 
 
 def find_licenses(

@@ -96,9 +96,8 @@ def reduce_by_dominance(left: Counts, capacity: int) -> list[tuple[Pattern, int]
             longest = left.largest(longest - 1)
             continue
         pattern = tuple((k, chosen.count(k)) for k in sorted(set(chosen), reverse=True))
-        # A perfect pair and a piece that nothing fits with stay dominating while their pieces last.
-        lasting = sum(chosen) == capacity and len(chosen) == 2 or len(chosen) == 1
-        n = min(left.n[k] // m for k, m in pattern) if lasting else 1
+        # The set dominates while its pieces last, as there are only fewer others to compare it with.
+        n = min(left.n[k] // m for k, m in pattern)
         for length, m in pattern:
             left.take(length, n * m)
         fixed.append((pattern, n))
@@ -230,7 +229,7 @@ class WordEncoder:
         ends = np.append(starts[1:], len(points))
         words = kinds[starts] != SPACE
         starts, ends = starts[words], ends[words]
-        hashes = self.rolling.stretches(self.rolling.sums(self.values[points]), starts, ends)
+        hashes = self.rolling.words(self.values[points], starts, ends)
         unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         new = self.known.missing(unique)
         if len(new):

@@ -24,7 +24,7 @@ def shingle_sets(
     starts, ends, row = runs(lowered, bounds, ~member_table(BLANK))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), np.zeros(n, np.uint64)
-    hashes = rolling.stretches(rolling.sums(rolling.bytes[lowered]), starts, ends)
+    hashes = rolling.words(rolling.bytes[lowered], starts, ends)
     counts = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(counts)])
     sums = rolling.sums(hashes)

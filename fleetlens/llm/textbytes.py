@@ -1,12 +1,14 @@
 """Words of many texts at once, as numpy arrays over one buffer of UTF-8 bytes.
 
 Word hashes are 64 bits of a polynomial over random byte values, followed by a mixing step. All
-arithmetic is modulo 2**64, so numpy's wrapping unsigned integers are what is meant.
+arithmetic is modulo 2**64, so numpy's wrapping unsigned integers are what is meant. Such polynomials of some
+long words agree whatever the base, so words of more than ``LONG`` values have a BLAKE2 digest instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ import pyarrow as pa
 BATCH_BYTES = 1 << 20
 BLANK = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 BASE = 0x9E3779B97F4A7C15
+LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,6 +65,14 @@ class Rolling:
         raw = (sums[ends] - sums[starts]) * self.down[starts]
         return mixed(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
+    def words(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of the values, of any length."""
+        hashes = self.stretches(self.sums(values), starts, ends)
+        for at in np.flatnonzero(ends - starts > LONG):
+            digest = blake2b(values[starts[at] : ends[at]].tobytes(), digest_size=8).digest()
+            hashes[at] = np.uint64(int.from_bytes(digest, "little"))
+        return hashes
+
 
 def text_batches(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES
