@@ -16,7 +16,7 @@ from fleetlens.llm.shingles import shingle_sets, signatures
 from fleetlens.llm.textbytes import Rolling, mixed, text_batches
 from fleetlens.session import stored
 
-BLOCK = 1024
+BLOCK = 512
 SYMBOL_BITS = 16
 LOSS = 3e-5  # the highest probability that a pair of just the wanted similarity is lost
 
@@ -199,7 +199,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Group:
-    """Pairs of one key's rows in two blocks, or in one, that may be linked and are not yet connected."""
+    """Pairs of one key's rows that may be linked and are not yet connected, found once among the key's blocks.
+
+    ``main`` marks members of the key's largest component, which are in their own block only. All others, the strays,
+    are in every block: a stray meets a member there, and another stray in the lower of their own blocks.
+    """
 
     def __init__(self, index: Index, percent: int) -> None:
         self.index, self.percent = index, percent
@@ -209,15 +213,14 @@ class Group:
         column = {name: rows.column(i) for i, name in enumerate(rows.schema.names)}
         size, component = column["n"].to_numpy(), column["component"].to_numpy()
         own, slot = column["own"].to_numpy(), int(column["slot"][0].as_py())
-        cross = column["low"][0].as_py() != column["high"][0].as_py()
+        main, block = column["main"].to_numpy(zero_copy_only=False), column["block"][0].as_py()
         signature = column["signature"].flatten().to_numpy().view(np.uint16).reshape(n, self.index.hashes)
         sketches = [np.frombuffer(s.as_buffer(), dtype="<u2") for s in column["sketch"]]
         lefts, rights = [], []
         for i in range(n - 1):
             after = np.arange(i + 1, n)
             fits = component[after] != component[i]
-            if cross:
-                fits &= own[after] != own[i]
+            fits &= main[after] | main[i] | (np.minimum(own[after], own[i]) == block)
             small, large = np.minimum(size[after], size[i]), np.maximum(size[after], size[i])
             after = after[fits & (small * 100 >= large * self.percent)]
             if not len(after):
@@ -244,7 +247,7 @@ class Group:
 
 
 def cross_pairs(rows: DataFrame, index: Index, percent: int) -> DataFrame:
-    """Pairs between components, from rows sorted by key and block pair within partitions."""
+    """Pairs between components, from rows sorted by key and block within partitions."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = Group(index, percent), []
@@ -259,7 +262,7 @@ def cross_pairs(rows: DataFrame, index: Index, percent: int) -> DataFrame:
 
         last = None
         for batch in batches:
-            marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            marks = np.stack([batch.column(i).to_numpy() for i in range(2)])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
             for begin, end in zip(edges, edges[1:]):
@@ -297,7 +300,8 @@ def near_duplicates(
     because the members of a large group need not be met in all pairs to be connected: first each
     member of a key meets the smallest id under that key; then, under keys whose members are not all
     connected by what was confirmed, the unconnected pairs are searched inside tasks, block by
-    block, and only pairs that pass a lossless bound on their overlap leave the task. Every link is
+    block, and only pairs that pass a lossless bound on their overlap leave the task. There the members of a key's largest
+    component have one row each and only the others are repeated over the blocks. Every link is
     confirmed on the full sets of 64-bit shingle hashes.
 
     Null and empty texts and texts of blanks have no shingles and are linked with nothing. Rows that
@@ -332,7 +336,8 @@ def near_duplicates(
         .select("a", "b")
     )
     wanted = rows.select("id").distinct()
-    full = stored(full_sets(source.join(wanted, "id", "left_semi")), "near-full")
+    full = full_sets(source.join(wanted, "id", "left_semi")).join(reps, "id")
+    full = stored(full, "near-full")
     links = stored(confirmed(near, full, percent), "near-links")
     linked = components(links, "near-first")
 
@@ -341,26 +346,30 @@ def near_duplicates(
         .join(linked.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
     )
+    parts = others.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
     mixed_keys = (
-        others.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-        .filter("low < high")
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        parts.groupBy("key")
+        .agg(
+            F.max_by("component", "rows").alias("largest"),
+            F.sum("rows").alias("members"),
+            F.count(F.lit(1)).alias("components"),
+        )
+        .filter("components > 1")
+        .select("key", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
     mixed_keys = stored(mixed_keys, "near-mixed")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = (
+    placed = (
         others.join(mixed_keys, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "slot", "id", "component", "own")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("main", F.col("component") == F.col("largest"))
+        .join(full.select("id", "n", "signature", "sketch"), "id")
     )
+    everywhere = F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     searched = (
-        spread.join(reps, "id")
-        .join(full.select("id", "sketch"), "id")
-        .select("key", "low", "high", "slot", "own", "id", "component", "n", "signature", "sketch")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
+        placed.withColumn("block", F.explode(everywhere))
+        .select("key", "block", "slot", "own", "main", "id", "component", "n", "signature", "sketch")
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block")
     )
     later = cross_pairs(searched, index, percent).distinct()
     more = confirmed(later, full, percent)
