@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.addresses import ip_bits, ip_family, net_parts
+from fleetlens.functions.addresses import bound, ip_bits, net_parts
 from fleetlens.functions.matching import held
-from fleetlens.operators.ordered import HOT_ROWS, SPREAD, join_group_facts, row_hash
+from fleetlens.operators.netranges import RANGE_SCHEMA, address_key, flat_ranges, local_ranges, part_of, with_bounds
+from fleetlens.operators.ordered import HOT_ROWS, join_group_facts, row_hash
 from fleetlens.session import stored
 
 # Known groups in priority order, and the addresses of the built-in one.
@@ -19,10 +20,12 @@ GOOGLE_GROUPS = ("google:bot", "google:ads", "google:user")
 LOCAL_ADDRESSES = ("127.0.0.1", "::1")
 LOCAL_LABEL = "localhost"
 
-# Networks up to this number in all are broadcast, one hash table per prefix length; 200,000 rows of
-# at most about 200 bytes stay below 40 MB. The networks of larger prefix lengths are shuffled.
+# Networks up to this number in all are broadcast as ranges, two a network and one a part at most; 412,500 rows of
+# at most about 150 bytes stay below 62 MB. More networks are shuffled.
 BROADCAST_NETS = 200_000
+STREAM_SALTS = 8  # tasks that the rows of one part in a micro-batch go to
 _GROUP_STEP = 2**40
+IN_RANGE = "_key >= _start AND _key < _until"
 
 
 def select_groups(names: Iterable[str]) -> list[str]:
@@ -95,75 +98,71 @@ def lookup_network(
 ) -> DataFrame:
     """Add the label of the first network, by priority, that holds the address; null without one.
 
-    Runs one job to fetch up to ``broadcast_nets`` networks and one more. If that was all of them,
-    the rows are not shuffled: each distinct prefix length is one broadcast hash join on the leading
-    digits. Otherwise distinct addresses are looked up with shuffled joins and joined back; on a
-    stream, which cannot be grouped by address without end, the rows themselves meet the networks
-    of each large prefix length in a shuffled join.
+    The networks are swept into disjoint ranges, so each address is looked up once: a join on the part of the
+    ranges that its key falls in, with a range test. Runs one job to fetch up to ``broadcast_nets`` networks
+    and one more. If that was all of them, they are swept here and broadcast, one join per family, and
+    the rows are not shuffled. Otherwise they are swept in parts by tasks, and distinct addresses meet
+    their part in a shuffled join and are joined back, hot parts and addresses spread by their counts. A stream
+    cannot be grouped by address without end; its rows meet the parts themselves, each part repeated ``STREAM_SALTS`` times.
     """
     table = network_table(nets)
-    fetched = table.limit(broadcast_nets + 1).toArrow()
+    fetched = with_bounds(table).limit(broadcast_nets + 1).toArrow()
     if fetched.num_rows <= broadcast_nets:
-        kinds = fetched.group_by(["family", "prefix_len"]).aggregate([]).to_pylist()  # at most 33 + 129
-        local = df.sparkSession.createDataFrame(fetched)
-        return _lookup_by_kind(df, ip, [(k["family"], k["prefix_len"], True) for k in kinds], local, out)
-    kept = stored(table, "networks")
-    if not df.isStreaming:
-        return _lookup_by_address(df, ip, kept, out, hot_rows)
-    counts = kept.groupBy("family", "prefix_len").agg(F.count("*").alias("n")).orderBy("n").collect()
-    kinds, total = [], 0
-    for kind in counts:
-        total += kind["n"]
-        kinds.append((kind["family"], kind["prefix_len"], total <= broadcast_nets))
-    return _lookup_by_kind(df, ip, kinds, kept, out)
-
-
-def _lookup_by_kind(df: DataFrame, ip: str, kinds: list[tuple[str, int, bool]], nets: DataFrame, out: str) -> DataFrame:
-    """One left join per family and prefix length, a broadcast one where the kind says so."""
-    if not kinds:
+        splitters, ranges = local_ranges([(n["low"], n["high"], n["priority"], n["label"]) for n in fetched.to_pylist()])
+        return _lookup_in_broadcast(df, ip, splitters, ranges, out)
+    splitters, kept = flat_ranges(stored(table, "networks"))
+    if df.isStreaming:
+        return _lookup_in_stream(df, ip, splitters, kept, out)
+    return _lookup_by_address(df, ip, splitters, kept, out, hot_rows)
+
+
+def _keyed(df: DataFrame, ip: str, splitters: list[str]) -> DataFrame:
+    """Add ``_key`` of the address and ``_part``; null where the text is no address."""
+    rows = held(df, _key=bound(ip_bits(F.col(ip)), address_key))
+    return held(rows, _part=part_of(df, F.col("_key"), splitters))
+
+
+def _lookup_in_broadcast(
+    df: DataFrame, ip: str, splitters: list[str], ranges: list[tuple[int, str, str, str]], out: str
+) -> DataFrame:
+    families = sorted({start[0] for _, start, _, _ in ranges})
+    if not families:
         return df.withColumn(out, F.lit(None).cast("string"))
-    spread = F.pmod(row_hash(df), F.lit(SPREAD)).cast("int")
-    rows = held(df, _bits=ip_bits(F.col(ip)), _spread=spread)
-    hits: list[Column] = []
-    for family, prefix_len, small in sorted(kinds):
-        key, hit = f"_key_{family}_{prefix_len}", f"_hit_{family}_{prefix_len}"
-        side = nets.where((F.col("family") == family) & (F.col("prefix_len") == prefix_len)).select(
-            F.col("bits").alias(key), F.struct("priority", "label").alias(hit)
-        )
-        width = 32 if family == "v4" else 128
-        leading = F.when(F.length("_bits") == width, F.substring("_bits", 1, prefix_len))
-        if small:
-            rows = rows.join(F.broadcast(side), leading == F.col(key), "left")
-        else:
-            # An address or prefix may be very frequent, and rows of no or another family have no digits.
-            salt = f"_salt_{family}_{prefix_len}"
-            side = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-            digits = F.coalesce(leading, F.concat(F.lit("none "), F.col("_spread")))
-            rows = rows.join(side, (digits == F.col(key)) & (F.col("_spread") == F.col(salt)), "left")
-        hits.append(F.col(hit))
-    best = F.least(*hits) if len(hits) > 1 else hits[0]
-    return rows.select(*df.columns, best["label"].alias(out))
+    rows = _keyed(df, ip, splitters)
+    for family in families:
+        own = df.sparkSession.createDataFrame([r for r in ranges if r[1][0] == family], RANGE_SCHEMA)
+        side = F.broadcast(own.toDF("_in", "_start", "_until", f"_label_{family}"))
+        rows = rows.join(side, (F.col("_part") == F.col("_in")) & F.expr(IN_RANGE), "left").drop("_in", "_start", "_until")
+    labels = [F.col(f"_label_{family}") for family in families]
+    return rows.select(*df.columns, F.coalesce(*labels).alias(out))
+
+
+def _lookup_in_stream(df: DataFrame, ip: str, splitters: list[str], ranges: DataFrame, out: str) -> DataFrame:
+    # Rows without an address meet nothing, each under a part of its own.
+    spread = F.pmod(row_hash(df), F.lit(2**31 - 1)).cast("int")
+    rows = held(_keyed(df, ip, splitters), _spread=spread)
+    rows = rows.select(
+        *df.columns,
+        "_key",
+        F.coalesce(F.col("_part"), -2 - F.col("_spread")).alias("_part"),
+        (F.col("_spread") % STREAM_SALTS).alias("_salt"),
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1)))
+    side = ranges.toDF("_in", "_start", "_until", "_label").withColumn("_salted", salts)
+    met = rows.join(side, (F.col("_part") == F.col("_in")) & (F.col("_salt") == F.col("_salted")) & F.expr(IN_RANGE), "left")
+    return met.select(*df.columns, F.col("_label").alias(out))
 
 
-def _lookup_by_address(df: DataFrame, ip: str, table: DataFrame, out: str, hot_rows: int) -> DataFrame:
+def _lookup_by_address(
+    df: DataFrame, ip: str, splitters: list[str], ranges: DataFrame, out: str, hot_rows: int
+) -> DataFrame:
     counts = df.where(F.col(ip).isNotNull()).groupBy(F.col(ip).alias("_ip")).agg(F.count("*").alias("_n"))
-    addresses = stored(held(counts, _bits=ip_bits(F.col("_ip"))), "addresses")
-    lengths = table.groupBy("family").agg(F.collect_set("prefix_len").alias("_lengths"))  # two rows
-    probes = (
-        addresses.where(F.col("_bits").isNotNull())
-        .withColumn("family", ip_family(F.col("_ip")))
-        .join(F.broadcast(lengths), "family")
-        .withColumn("prefix_len", F.explode("_lengths"))
-        .withColumn("bits", F.expr("substring(_bits, 1, prefix_len)"))
-    )
-    # Many addresses may share a short prefix, so every network is repeated once per salt.
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    probes = probes.withColumn("_salt", F.pmod(F.xxhash64("_ip"), F.lit(SPREAD)).cast("int"))
-    found = (
-        probes.join(salted, ["family", "prefix_len", "bits", "_salt"])
-        .groupBy("_ip")
-        .agg(F.min(F.struct("priority", "label"))["label"].alias(out))
-    )
+    addresses = stored(_keyed(counts, "_ip", splitters), "addresses")
+    usable = addresses.where(F.col("_part") >= 0).select("_ip", "_key", "_part")
+    sizes = usable.groupBy("_part").agg(F.count("*").alias("_held"))
+    side = ranges.toDF("_part", "_start", "_until", "_label").join(sizes, "_part")
+    met = join_group_facts(usable, side, "_part", "_held", hot_rows=hot_rows, sizes=sizes)
+    found = met.where(IN_RANGE).select("_ip", F.col("_label").alias(out))
     # Every address has its facts, so one that is very frequent is spread whether it was found or not.
     facts = addresses.select("_ip", "_n").join(found, "_ip", "left")
     nowhere = F.concat(F.lit("none "), row_hash(df).cast("string"))

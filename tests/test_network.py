@@ -104,3 +104,90 @@ def test_a_hot_address_is_spread(spark, ip):
     assert sum(r["count"] for r in sizes) == 20_000
     assert max(r["count"] for r in sizes) < 6_000
     assert got.where("net_label IS NOT NULL").count() == (20_000 if ip == "10.9.9.9" else 0)
+
+
+def expected_label(nets, text):
+    """The first network by priority that holds the address, as one scan in order finds it."""
+    address = ipaddress.ip_address(text)
+    for cidr, _, label in sorted(nets, key=lambda n: n[1]):
+        if address in ipaddress.ip_network(cidr):
+            return label
+    return None
+
+
+def nested_networks(rng, n):
+    """Networks that nest deeply in a few places, lie apart elsewhere, and touch the ends of both families."""
+    nets = {"0.0.0.0/1", "255.255.255.255/32", "::/128", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff/128", "ff00::/8"}
+    while len(nets) < n:
+        wide = rng.random() < 0.5
+        if rng.random() < 0.6:
+            base = rng.choice([0x0A000000, 0xC0A80000, 0xFFFFFF00, rng.getrandbits(32)])
+            address = base ^ rng.getrandbits(10 if wide else 16)
+            nets.add(str(ipaddress.ip_network((address, rng.randrange(4, 33)), strict=False)))
+        else:
+            base = rng.choice([0x2A01 << 112, ((1 << 128) - 1) ^ 0xFFFF, rng.getrandbits(128)])
+            address = base ^ rng.getrandbits(12 if wide else 80)
+            nets.add(str(ipaddress.ip_network((address, rng.randrange(8, 129)), strict=False)))
+    order = rng.sample(range(n), n)
+    return [(cidr, order[i], f"net {order[i] % 50}") for i, cidr in enumerate(sorted(nets))]
+
+
+def edge_addresses(rng, nets, n):
+    """First, last and neighbouring addresses of networks, and any others."""
+    found = []
+    for cidr, _, _ in rng.sample(nets, n):
+        net = ipaddress.ip_network(cidr)
+        last = (1 << net.max_prefixlen) - 1
+        for value in (int(net[0]), int(net[-1]), int(net[0]) - 1, int(net[-1]) + 1):
+            if 0 <= value <= last:
+                found.append(str(type(net[0])(value)))
+    return found + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("nets_n, broadcast_nets", [(200, 1000), (200, 0), (900, 1000), (900, 0)])
+def test_first_match_wins_over_longest_prefix(spark, nets_n, broadcast_nets):
+    rng = random.Random(nets_n)
+    nets = nested_networks(rng, nets_n)
+    table = spark.createDataFrame(nets, "cidr string, priority bigint, label string").repartition(5)
+    addresses = edge_addresses(rng, nets, 60)
+    df = spark.createDataFrame([(a, i) for i, a in enumerate(addresses)], "ip string, part int")
+    got = lookup_network(df, "ip", table, broadcast_nets=broadcast_nets)
+    assert got.columns == ["ip", "part", "net_label"]
+    assert {r["ip"]: r["net_label"] for r in got.collect()} == {a: expected_label(nets, a) for a in addresses}
+
+
+def test_ranges_are_apart_and_few(spark):
+    from fleetlens.operators.netranges import flat_ranges, local_ranges, with_bounds
+    from fleetlens.operators.network import network_table
+
+    rng = random.Random(8)
+    nets = nested_networks(rng, 700)
+    table = with_bounds(network_table(spark.createDataFrame(nets, "cidr string, priority bigint, label string")))
+    rows = [(r.low, r.high, r.priority, r.label) for r in table.collect()]
+    for splitters, ranges in (local_ranges(rows), flat_ranges(table.drop("low", "high"))):
+        ranges = sorted(tuple(r) for r in (ranges if isinstance(ranges, list) else ranges.collect()))
+        assert len(ranges) <= 2 * len(nets) + len(splitters)
+        for (part, start, until, _), later in zip(ranges, [*ranges[1:], None]):
+            assert start < until and splitters[part] <= start
+            assert later is None or until <= later[1]
+            assert part + 1 == len(splitters) or until <= splitters[part + 1]
+
+
+def test_many_networks_on_a_stream(spark, tmp_path):
+    """A hundred thousand networks are not broadcast, and the plan has one join."""
+    nets = spark.range(100_000).selectExpr(
+        "concat('10.', id div 65536, '.', id div 256 % 256, '.', id % 256) AS cidr", "id AS priority", "cast(id AS string) AS label"
+    )
+    nets = nets.union(spark.sql("SELECT '10.0.0.0/8', 50000L, 'wide'"))
+    spark.range(500).selectExpr("concat('10.', id % 3, '.', id % 200, '.', id % 250) AS ip", "id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ip string, id long").parquet(str(tmp_path / "in"))
+    found = lookup_network(stream, "ip", nets, broadcast_nets=1000)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 1
+    query = found.writeStream.format("memory").queryName("many_networks").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.table("many_networks").collect()
+    assert len(rows) == 500
+    for r in rows:
+        number = (r["id"] % 3) * 65536 + (r["id"] % 200) * 256 + r["id"] % 250
+        assert r["net_label"] == (str(number) if number < 50_000 else "wide")
