@@ -14,12 +14,16 @@ from fleetlens.functions.matching import SEPARATOR, digits_to_long, held, match_
 from fleetlens.operators.lines import split_rejects
 from fleetlens.operators.ordered import carry_last
 
+# A remote client writes part of these lines, so no pattern may take more than linear time on any text. Each literal
+# is looked for once: where the first place of a literal lets the rest fail, later places do so too, and
+# a possessive class or an atomic group keeps the match from trying them.
+
 # The syslog grammar; text before the month name is skipped. A month is tried at the
 # start of a run of letters only, so a long run is passed once.
 _SYSLOG = (
-    r"(?d)^.*?(?<![A-Za-z])([A-Za-z]++) +(\d+) (\d{2}:\d{2}:\d{2}) "
-    r"([a-z0-9-]+) "
-    r"(.*?)(?:\[(\d+)\])?: "
+    r"(?d)^(?>.*?(?<![A-Za-z])([A-Za-z]++) +(\d+) (\d{2}:\d{2}:\d{2}) "
+    r"([a-z0-9-]++) )"
+    r"(?>(.*?)(?:\[(\d++)\])?: )"
     r"(.*)$"
 )
 _SYSLOG_GROUPS = 7
@@ -28,39 +32,46 @@ _SYSLOG_GROUPS = 7
 # (kind, pattern, address, message id, content, severity), where the address, id and content are
 # replacement texts and "$0" is the whole message.
 MAIL_KINDS = (
-    ("conn_prewarn", r"warning: hostname (.*?) does not resolve to address (.*?)(?:: (.*))?",
+    ("conn_prewarn", r"warning: hostname (?>(.*?) does not resolve to address )(.*?)(?:: (.*))?",
      "$2", "", "hostname [$1] does not resolve back", "info"),
-    ("conn_start", r"connect from (.*?)\[(.*?)\]",
+    ("conn_start", r"connect from ([^\[]*+)\[(.*)\]",
      "$2", "", "connect from $1", "notice"),
-    ("conn_auth_fail", r"warning: (.*?)\[(.*)\]: SASL ([A-Z]+) authentication failed:(.*)",
+    ("conn_auth_fail", r"warning: ([^\[]*+)\[(.*)\]: SASL ([A-Z]++) authentication failed:(.*)",
      "$2", "", "$0", "info"),
     ("conn_lost", r"lost connection after (.*) from (.*?)\[(.*?)\]",
      "$3", "", "lost connection after $1", "info"),
     ("conn_timeout", r"timeout after (.*) from (.*?)\[(.*?)\]",
      "$3", "", "timeout after $1", "info"),
-    ("conn_end", r"disconnect from (.*?)\[(.*?)\](.*)",
+    ("conn_end", r"disconnect from ([^\[]*+)\[([^\]]*+)\](.*)",
      "$2", "", "disconnect from $1$3", "notice"),
     ("conn_spf",
-     r"(None|Pass|Fail); identity=(.*?); client-ip=(.*?); helo=(.*?); envelope-from=(.*?); receiver=(.*?)",
+     r"(None|Pass|Fail); identity=(?>(.*?); client-ip=)(?>(.*?); helo=)(?>(.*?); envelope-from=)(?>(.*?); receiver=)(.*)",
      "$3", "", "result=$1; idnt=$2; helo=$4; from=$5; recv=$6", "info"),
-    ("conn_reject_rcpt", r"NOQUEUE: reject: RCPT from (.*?)\[(.*?)\]: (.*)",
+    ("conn_reject_rcpt", r"NOQUEUE: reject: RCPT from ([^\[]*+)\[(?>(.*?)\]: )(.*)",
      "$2", "", "NOQUEUE: reject RCPT: $3", "info"),
-    ("msg_start", r"([A-Z0-9]{10,11}): client=(.*?)\[(.*?)\](.*)",
+    ("msg_start", r"([A-Z0-9]{10,11}): client=([^\[]*+)\[([^\]]*+)\](.*)",
      "$3", "$1", "client=$2$4", "info"),
     ("msg_generic", r"([A-Z0-9]{10,11}): (.*)",
      "", "$1", "$2", "info"),
-    ("sys_dovecot_1", r"(auth|auth-worker)(?:\(\d+\))?: (passwd-file|sql)\((.*?),(.*)\): (.*)",
+    ("sys_dovecot_1", r"(auth|auth-worker)(?:\(\d+\))?: (passwd-file|sql)\(([^,]*+),(.*)\): (.*)",
      "$4", "", "$1: $2($3): $5", "alert"),
     ("sys_dovecot_2",
-     r"auth: login\((.*?),(.*)\): Request timed out waiting for client to continue authentication \((\d+) secs\)",
+     r"auth: login\(([^,]*+),(.*)\): Request timed out waiting for client to continue authentication \((\d++) secs\)",
      "$2", "", "$0", "alert"),
     ("sys_dovecot_3",
-     r"auth: login\(\?,(.*)\): Username character disallowed by auth_username_chars: "
-     r"0x[0-9a-f]{2} \(username: (.*?)\)",
+     r"auth: login\(\?,(?=.*\)$)(.*)\): Username character disallowed by auth_username_chars: "
+     r"0x[0-9a-f]{2} \(username: (.*)\)",
      "$1", "", "$0", "alert"),
-    ("anvil_stats_1", r"statistics: max connection rate .* for \(.*\) at .*", "", "", "", "info"),
-    ("anvil_stats_2", r"statistics: max connection count \d+ for \(.*\) at .*", "", "", "", "info"),
-    ("anvil_stats_3", r"statistics: max cache size \d+ at .*", "", "", "", "info"),
+    ("anvil_stats_1", r"statistics: max connection rate (?>.*? for \()(?>.*?\) at ).*", "", "", "", "info"),
+    ("anvil_stats_2", r"statistics: max connection count \d++ for \((?>.*?\) at ).*", "", "", "", "info"),
+    ("anvil_stats_3", r"statistics: max cache size \d++ at .*", "", "", "", "info"),
+)
+# Kinds whose first field ends at the last " from " that an opening bracket follows. Seen from the end
+# of the text that is the first one behind the first bracket, so these are matched backwards:
+# address, host without brackets, first field.
+_BACKWARDS = ("conn_lost", "conn_timeout")
+_FROM_BACKWARDS = (
+    r"\]([^\[]*+(?:\[(?:(?! morf )[^\[])*+(?=\[))*+)\[((?:(?! morf )[^\[])*+) morf (.*)"
 )
 # A text that every message of the kind holds, where the pattern does not begin with one.
 _HOLDS = {
@@ -123,10 +134,20 @@ def _packed(message: Column) -> Column:
     cases = F
     for name, pattern, address, msgid, content, severity in MAIL_KINDS:
         reason = "$3" if name == "conn_prewarn" else ""  # shown in brackets, if there is one
+        may = _may_match(message, name, pattern)
+        if name in _BACKWARDS:
+            before = pattern[: pattern.index("(")]
+            whole = f"(?d)^{_FROM_BACKWARDS}{before[::-1]}$"
+            fields = ("", severity[::-1], f"$3{before[::-1]}", "", "$1", name[::-1])
+            text = F.reverse(message)
+            cases = cases.when(
+                may & message.endswith("]") & text.rlike(whole),
+                F.reverse(F.regexp_replace(text, whole, SEPARATOR.join(fields))),
+            )
+            continue
         packed = SEPARATOR.join((name, address, msgid, content, severity, reason))
         whole = f"(?d)^{pattern}$"
-        matches = _may_match(message, name, pattern) & message.rlike(whole)
-        cases = cases.when(matches, F.regexp_replace(message, whole, packed))
+        cases = cases.when(may & message.rlike(whole), F.regexp_replace(message, whole, packed))
     return cases
 
 
