@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from pathlib import Path
 from uuid import uuid4
 
@@ -90,6 +91,53 @@ def test_enrich_over_batches(spark, tmp_path, ttl_ms):
     assert ("AAAAAAAAAA", "four", "192.0.2.2") in got and ("AAAAAAAAAA", "early", "**UNKNOWN**") in got
 
 
+def test_rows_of_a_large_id_wait_on_disk(spark, tmp_path, monkeypatch):
+    """Many rows of one id in a micro-batch, in any order, as from many files; then equal to the batch form."""
+    from fleetlens.streaming import mail
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for number in range(3):
+        texts = []
+        for i in range(1500):
+            texts.append(f"AAAAAAAAAA: client=h[192.0.2.{i % 250}]" if i % 7 == number else f"AAAAAAAAAA: line {number} {i}")
+            texts.append(f"BBBBBBBB{i % 90 + 10}: line {number} {i}")
+        (logs / f"{number}.log").write_text("\n".join(mail_line(i % 60, t) for i, t in enumerate(texts)) + "\n")
+    parsed = parse_syslog(stream_lines(spark, str(logs), ordered=True), 2023)[0]
+    chunks = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        stream = Stream(spark, stream_enrich(classify_mail(parsed), held_rows=300), tmp_path / "out")
+        stream.run()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunks)
+    columns = ["file_path", "msgid", "content", "ipaddr", "pid"]
+    batch = enrich_msgid(classify_mail(parse_syslog(read_lines(spark, str(logs)), 2023)[0]))
+    got = sorted(tuple(r) for r in stream.rows().select(columns).collect())
+    assert got == sorted(tuple(r) for r in batch.select(columns).collect())
+    assert len(got) == 9000
+
+
+def test_sessions_expire(spark, tmp_path):
+    """An address is forgotten its time after the last row of the id, and rows of the id keep it alive."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    parsed = parse_syslog(stream_lines(spark, str(logs), ordered=True), 2023)[0]
+    stream = Stream(spark, stream_enrich(classify_mail(parsed), ttl_ms=20_000), tmp_path / "out")
+    parts = [
+        ["AAAAAAAAAA: client=h[192.0.2.1]", "BBBBBBBBBB: client=h[192.0.2.2]"],
+        ["AAAAAAAAAA: alive"],
+        ["AAAAAAAAAA: still", "BBBBBBBBBB: gone"],
+    ]
+    began = time.monotonic()
+    for number, texts in enumerate(parts):
+        (logs / f"{number}.log").write_text("\n".join(mail_line(i, t) for i, t in enumerate(texts)) + "\n")
+        time.sleep(max(0.0, began + [0, 14, 28][number] - time.monotonic()))
+        stream.run()
+    found = {r["content"]: r["ipaddr"] for r in stream.rows().collect()}
+    assert found["alive"] == found["still"] == "192.0.2.1" and found["gone"] == "**UNKNOWN**"
+
+
 def test_sections_over_batches(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
