@@ -169,3 +169,17 @@ def test_labels_that_hold_aliases(spark):
     for row in got:
         assert row["annotated"] == (None if row["t"] is None else folded(row["t"]))
     assert folded("aa0") == texts["aa0"] and folded("ee") == texts["ee"]
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_aliases_in_the_plan_and_joined_ones_agree(spark, n):
+    rng = random.Random(n)
+    names = {"".join(rng.choice("ab1") for _ in range(rng.randrange(1, 5))) for _ in range(n)}
+    rows = [(a, " ".join(rng.choice([*names, "x", "abba"]) for _ in range(rng.randrange(3))), i) for i, a in enumerate(sorted(names))]
+    aliases = spark.createDataFrame(rows, "alias string, label string, seq int")
+    texts = [" ".join("".join(rng.choice("ab1x") for _ in range(rng.randrange(6))) for _ in range(5)) for _ in range(60)]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate([*texts, None, ""])], "t string, seq int")
+    plan = annotate_ids(df, "t", aliases)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r.seq, r.annotated) for r in plan.collect() if r.t is not None)
+    assert found == sorted((r.seq, r.annotated) for r in annotate_ids(df, "t", aliases, in_place=0).collect() if r.t is not None)
