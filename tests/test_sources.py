@@ -221,3 +221,77 @@ def test_firewall_listing(spark, lines_of):
     }
     assert {r["table"] for r in chains.collect()} == {"filter"}
     assert [r["value"] for r in rejects.collect()] == ["stray"]
+
+
+def jpeg(width, height, filler=0):
+    segment = lambda kind, data: b"\xff" + bytes([kind]) + struct.pack(">H", len(data) + 2) + data
+    frame = struct.pack(">BHHB", 8, height, width, 1) + b"\x01\x11\x00"
+    fill = b"".join(segment(0xE1, b"\xff\xc0" * 30_000) for _ in range(filler))
+    return b"\xff\xd8" + segment(0xE0, b"JFIF\0" + b"\0" * 9) + fill + b"\xff" + segment(0xC4, b"\0") + segment(0xC2, frame) + b"\xff\xd9"
+
+
+def webp(kind, data):
+    return b"RIFF" + struct.pack("<I", 4 + 8 + len(data)) + b"WEBP" + kind + struct.pack("<I", len(data)) + data
+
+
+IMAGES = {
+    "a.png": (png(300, 2), (300, 2)),
+    "b.jpg": (jpeg(640, 480), (640, 480)),
+    "long head.jpeg": (jpeg(7, 9, filler=40), (7, 9)),
+    "c.gif": (b"GIF89a" + struct.pack("<HH", 5, 6) + b"\0" * 20, (5, 6)),
+    "d.gif": (b"GIF87a" + struct.pack("<HH", 1, 65535) + b"\0" * 20, (1, 65535)),
+    "e.bmp": (b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 20, -30) + b"\0" * 30, (20, 30)),
+    "old.bmp": (b"BM" + b"\0" * 12 + struct.pack("<IHH", 12, 20, 31) + b"\0" * 30, (20, 31)),
+    "x.webp": (webp(b"VP8X", b"\0" * 4 + (399).to_bytes(3, "little") + (299).to_bytes(3, "little")), (400, 300)),
+    "l.webp": (webp(b"VP8L", b"\x2f" + (99 | 49 << 14).to_bytes(4, "little") + b"\0" * 9), (100, 50)),
+    "k.webp": (webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 12, 13) + b"\0" * 9), (12, 13)),
+    "cut.png": (png(300, 2)[:18], None),
+    "cut.jpg": (jpeg(640, 480)[:25], None),
+    "no frame.jpg": (b"\xff\xd8\xff\xda\0\0", None),
+    "zero.gif": (b"GIF89a" + b"\0" * 20, None),
+    "wave.webp": (b"RIFF\0\0\0\0WAVEfmt " + b"\0" * 30, None),
+    "plus+sign ä%20.txt": (b"text", None),
+    "nothing": (b"", None),
+}
+
+
+def test_image_headers_of_five_formats(spark, tmp_path):
+    for name, (data, _) in IMAGES.items():
+        (tmp_path / name).write_bytes(data)
+    images, rejects = read_image_manifest(spark, str(tmp_path))
+    assert {r["name"]: (r["width"], r["height"]) for r in images.collect()} == {n: s for n, (_, s) in IMAGES.items() if s}
+    assert {r["name"] for r in rejects.collect()} == {n for n, (data, s) in IMAGES.items() if data and not s}
+
+
+def test_few_bytes_of_an_image_are_read():
+    from fleetlens.sources.images import image_size
+
+    for data, size in IMAGES.values():
+        asked = []
+        assert image_size(lambda n, at: (asked.append(n), data[at : at + n])[1]) == size
+        assert sum(asked) < 1000
+
+
+def test_a_failed_write_leaves_the_index_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "root string, subpath string, size long, mtime timestamp, md5 string"
+    day = datetime(2024, 1, 1)
+    rows = [("r", f"f{i}", i, day, None) for i in range(50)] + [("other", "x", 1, day, "m")]
+    write_index(spark.createDataFrame(rows, schema), path, day)
+    before = sorted(map(tuple, read_index(spark, path).collect()), key=str)
+    reader = read_index(spark, path)
+    broken = spark.range(100).selectExpr(
+        "'r' AS root", "concat('g', id) AS subpath", "if(id = 99, raise_error('killed'), id) AS size",
+        "timestamp'2024-01-02' AS mtime", "cast(null AS string) AS md5",
+    )
+    with pytest.raises(Exception, match="killed"):
+        write_index(broken, path, datetime(2024, 1, 2))
+    assert sorted(map(tuple, read_index(spark, path).collect()), key=str) == before
+    write_index(spark.createDataFrame([("r", "new", 1, day, None)], schema), path, datetime(2024, 1, 3))
+    # A reader of the earlier index still finds its files.
+    assert sorted(map(tuple, reader.collect()), key=str) == before
+    assert {(r["root"], r["subpath"]) for r in read_index(spark, path).collect()} == {("r", "new"), ("other", "x")}
+    for n in range(3):
+        write_index(spark.createDataFrame([("r", f"n{n}", 1, day, None)], schema), path, datetime(2024, 1, 4))
+    assert len(list((tmp_path / "index").glob("v-*"))) <= 3
+    assert {(r["root"], r["subpath"]) for r in read_index(spark, path).collect()} == {("r", "n2"), ("other", "x")}
