@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import json
 import random
 
 import pytest
@@ -183,3 +184,38 @@ def test_aliases_in_the_plan_and_joined_ones_agree(spark, n):
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
     found = sorted((r.seq, r.annotated) for r in plan.collect() if r.t is not None)
     assert found == sorted((r.seq, r.annotated) for r in annotate_ids(df, "t", aliases, in_place=0).collect() if r.t is not None)
+
+
+def test_pretty_from_tokens_is_pretty_in_python(spark):
+    from fleetlens.functions import json_text
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 4 else 6)
+        if kind < 3:
+            return rng.choice([0, 1, -1, 7, 2**60, -(10**17), 10**18, 2**63, True, False, None])
+        if kind < 5:
+            return rng.choice(["", "a", "x:y, {z}", "[1]", "é", 'q"', "/", "\\", "\n", "\x7f", "1.5"])
+        if kind == 5:
+            return rng.choice([1.5, -0.0, 1e30, 3.0])
+        if kind < 7:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice("abcdé") * rng.randrange(3): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    texts = []
+    for i in range(1500):
+        v = value(0)
+        texts.append(json.dumps(v, ensure_ascii=bool(i % 2), indent=rng.choice([None, 1]), separators=rng.choice([(",", ":"), (" , ", " : ")])))
+    broken = [t[: rng.randrange(len(t) + 1)] + rng.choice(["", "}", ",", " 1", "]", '"', ":"]) + t[rng.randrange(len(t) + 1) :] for t in texts[:500]]
+    texts += broken + ["1 2", "{} {}", "[1][2]", "[] 1", '{"a":1,"a":2}', "01", "-0", "--1", "nulL", "'a'", "[1,]", "[,1]", "{,}", "/**/1", "[NaN]", "1,2", "a", "\t7 ", '"a" "b"']
+    texts += ["[" * n + "]" * n for n in (100, 249, 251, 512, 513)] + ["[" + "1," * 5000 + "1]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(8)
+    found = {r.i: r.p for r in df.select("i", json_pretty(F.col("t")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == pretty(t), t
+    # Texts of strings without escapes and of integers do not reach Python.
+    plain = [t for t in texts[:1500] if t.isascii() and not re.search(r"[\\\x7f]|[.][0-9]|[0-9]e|-0|[0-9]{19}", t)]
+    by_tokens = {r.t for r in df.where(json_text.is_plain(F.col("t"))).select("t").collect()}
+    repeated = {t for t in plain if len(set(re.findall(r'"[a-d]*" *:', t))) < len(re.findall(r'"[a-d]*" *:', t))}
+    assert len(plain) > 200 and set(plain) - repeated <= by_tokens
