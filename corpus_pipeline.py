@@ -1,7 +1,12 @@
 """A training corpus from ``documents``: filter, deduplicate, pack.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and returns the columns of
-``documents``; the last returns the packed pieces. No stage before the last changes a row.
+``documents``; the last returns the packed pieces. No stage before the last changes a row. An empty table passes all
+stages empty. Columns beside ``doc_id``, ``text`` and ``lang`` are carried and may have any name.
+
+A null text is empty: the language stage drops it. A null id is an id as any other. Rows that repeat an id are one document
+in the deduplicating stages, which keep or drop all of them by their id: where an id has several texts, a row stays if
+any row of its id is kept, and rows that are equal throughout stay together. The language and toxicity stages judge each row by its own text.
 """
 
 from __future__ import annotations
