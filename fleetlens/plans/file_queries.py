@@ -38,6 +38,7 @@ from fleetlens.plans.stream_queries import finished
 from fleetlens.session import shared_folder, stored
 from fleetlens.sources.files import read_image_manifest, read_index, read_manifest, write_index
 from fleetlens.sources.follow import follow_lines
+from fleetlens.sources.follow_log import follow_many
 from fleetlens.sources.lines import read_lines, stream_lines
 from fleetlens.sources.networks import cidr_table, read_cidr_json, read_cidr_text, write_cidr_table
 from fleetlens.sources.sinks import write_lines
@@ -98,6 +99,14 @@ def files_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(follow_lines(spark, folder).select(F.col("value").alias("line")), "followed")
 
 
+@query("files_followed_log", f"{LINE_SQL} SELECT line FROM lines")
+def files_followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "followed")
+    write_lines(_event_lines(spark, sf_dir), folder)
+    lines = follow_many(spark, folder, new_folder(spark, "manifests"))
+    return finished(lines.select(F.col("value").alias("line")), "followed")
+
+
 @query("files_tail_bytes", f"{LINE_SQL} SELECT line FROM placed WHERE line_offset >= file_size - 2048")
 def files_tail_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lines(spark, _written_logs(spark, sf_dir), last_bytes="2k").select(F.col("value").alias("line"))

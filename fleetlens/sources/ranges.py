@@ -50,23 +50,41 @@ def _next_line_start(source, position: int, size: int) -> int:
     return size
 
 
+class _Lines:
+    """Puts lines together from chunks; the chunks of a long line are joined once, at its end."""
+
+    def __init__(self) -> None:
+        self.open: list[bytes] = []
+
+    def closed_by(self, chunk: bytes) -> list[bytes]:
+        """The lines that end in ``chunk``, without newline."""
+        pieces = chunk.split(b"\n")
+        if len(pieces) > 1:
+            pieces[0] = b"".join([*self.open, pieces[0]])
+            self.open.clear()
+        self.open.append(pieces.pop())
+        return pieces
+
+    def rest(self) -> bytes:
+        return b"".join(self.open)
+
+
 def lines_between(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """``(offset, line)`` of the lines that start in ``[start, end)``; a line may reach past ``end``."""
     with open_file(path) as source:
         size = source.size()
         position = _next_line_start(source, start, size)
-        rest = b""
+        lines = _Lines()
         at = position
         while position < end and at < size:
             chunk = source.read_at(min(CHUNK, size - at), at)
             at += len(chunk)
-            pieces = (rest + chunk).split(b"\n")
-            rest = pieces.pop()
-            for piece in pieces:
+            for piece in lines.closed_by(chunk):
                 if position >= end:
                     return
                 yield position, piece
                 position += len(piece) + 1
+        rest = lines.rest()
         if rest and position < end:
             yield position, rest
 
@@ -87,15 +105,13 @@ def lines_ending_between(path: str, start: int, end: int) -> Iterator[tuple[int,
     """``(offset, line)`` of the lines whose newline lies in ``[start, end)``; a line may begin before."""
     with open_file(path) as source:
         position = at = _line_start(source, start)
-        rest = b""
+        lines = _Lines()
         while at < end:
             chunk = source.read_at(min(CHUNK, end - at), at)
             if not chunk:
                 return  # cut off since it was listed
             at += len(chunk)
-            pieces = (rest + chunk).split(b"\n")
-            rest = pieces.pop()
-            for piece in pieces:
+            for piece in lines.closed_by(chunk):
                 yield position, piece
                 position += len(piece) + 1
 
