@@ -13,6 +13,7 @@ from fleetlens.operators.duplicates import (
     duplicate_groups,
     duplicate_members,
     in_walk_order,
+    number_files,
     reuse_digest,
     size_candidates,
 )
@@ -91,6 +92,28 @@ def dup_plan_third(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_plan(_indexed_files(spark, sf_dir), keep=3).select("root", "subpath", "md5", "n", "action")
 
 
+def _numbered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_files(_indexed_files(spark, sf_dir))
+
+
+@query(
+    "dup_groups_numbered",
+    f"""{FILES_SQL} SELECT md5, n, sum(size)::BIGINT AS bytes, arg_min(root, place) AS first_root,
+        arg_min(subpath, place) AS first_subpath FROM members WHERE n > 1 GROUP BY md5, n""",
+)
+def dup_groups_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(_numbered_files(spark, sf_dir))
+
+
+@query(
+    "dup_plan_numbered",
+    f"""{FILES_SQL} SELECT root, subpath, md5, n, CASE WHEN place = 1 THEN 'keep' ELSE 'delete' END AS action
+        FROM members WHERE n > 1""",
+)
+def dup_plan_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_plan(_numbered_files(spark, sf_dir)).select("root", "subpath", "md5", "n", "action")
+
+
 @query(
     "dup_incremental",
     f"""{FILES_SQL} SELECT root, subpath, toxic IS NOT NULL AND toxic = 0 AS reused,
