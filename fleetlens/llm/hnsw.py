@@ -195,14 +195,54 @@ class Shard:
         return left, right
 
     def audit(self) -> None:
-        """Widen the beam until enough of what brute force finds for some of the vectors is found."""
-        some = np.linspace(0, len(self.single) - 1, min(AUDITED, len(self.single))).astype(np.int64)
-        left, right = self.brute(self.single[some])
-        wanted = set(zip(left.tolist(), right.tolist()))
-        while self.beam < len(self.single):
-            left, right = self.range(self.single[some])
-            if len(wanted & set(zip(left.tolist(), right.tolist()))) >= RECALL * len(wanted):
-                return
+        """Widen the beam until enough links of some vectors are found; those are known by brute force.
+
+        Vectors are taken in a random order until ``AUDITED`` of them have a link to another vector, or
+        all were taken. So a shard with few links is audited by all of them.
+        """
+        n = len(self.single)
+        if self.beam >= n:
+            return  # compared with all vectors in any case
+        order = np.random.default_rng(2).permutation(n)
+        linked, lefts, rights = 0, [], []
+        for at in range(0, n, AUDITED):
+            part = order[at : at + AUDITED]
+            left, right = self.brute(self.single[part])
+            other = part[left] != right
+            lefts.append(part[left[other]])
+            rights.append(right[other])
+            linked += len(np.unique(left[other]))
+            if linked >= AUDITED:
+                break
+        owner, right = np.concatenate(lefts), np.concatenate(rights)
+        some, left = np.unique(owner, return_inverse=True)
+        while self.beam < n and self.misses(left, right, *self.range(self.single[some])):
+            self.beam *= 2
+
+    def misses(self, left: np.ndarray, right: np.ndarray, got_left: np.ndarray, got_right: np.ndarray) -> bool:
+        """Whether too few of the links wanted were got, over all of them or as the mean of their vectors."""
+        if not len(left):
+            return False
+        n = len(self.single)
+        got = np.isin(left * n + right, got_left * n + got_right)
+        found = np.bincount(left, got)[np.unique(left)] / np.bincount(left)[np.unique(left)]
+        return min(got.mean(), found.mean()) < RECALL
+
+    def audited(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hits of vectors of other shards. ``AUDITED`` of a batch are held against brute force as well.
+
+        Where they miss links the beam is widened, for this batch and those after it.
+        """
+        some = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
+        wanted = self.brute(queries[some]) if self.beam < len(self.single) else None
+        while True:
+            left, right = self.range(queries)
+            if self.beam >= len(self.single):
+                return left, right
+            at = np.minimum(np.searchsorted(some, left), len(some) - 1)
+            inside = some[at] == left
+            if not self.misses(*wanted, at[inside], right[inside]):
+                return left, right
             self.beam *= 2
 
     def range(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +270,10 @@ class Shard:
         none = np.zeros(0, dtype=np.int64)
         return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
-    def links(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs confirmed in double precision."""
-        left, right = self.range(queries.astype(np.float32))
+    def links(self, queries: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs confirmed in double precision. ``inside`` says that the queries are the shard's own."""
+        single = queries.astype(np.float32)
+        left, right = self.range(single) if inside else self.audited(single)
         sure = np.zeros(len(left), dtype=bool)
         for at in range(0, len(left), 1 << 14):
             some = slice(at, at + (1 << 14))
@@ -282,7 +323,7 @@ def shard_links(rows: DataFrame, threshold: float) -> DataFrame:
         mark, held, shard, ids, forest = None, [], None, None, Forest()
 
         def found(queries: pa.RecordBatch, inside: bool) -> pa.RecordBatch:
-            left, right = shard.links(units(queries.column(5)))
+            left, right = shard.links(units(queries.column(5)), inside)
             a, b = queries.column(4).to_numpy()[left], ids[right]
             low, high = np.minimum(a, b), np.maximum(a, b)
             keep = low != high
@@ -346,8 +387,8 @@ def near_vectors(
     Equal vectors of a label are one class, linked among themselves and represented by the smallest
     id. The classes of a label are spread over shards of about ``shard`` classes, a graph is built for
     each shard in one task, and every class of the label is looked up in every shard of the label.
-    Each shard is audited against brute force, and its beam widened until the audit passes; hits that
-    fill a beam widen it further. Only links confirmed in double precision leave the task, each
+    Each shard is audited against brute force, by its own vectors and by some of every batch of others,
+    and its beam widened until the audit passes; hits that fill a beam widen it further. Only links confirmed in double precision leave the task, each
     once; their ends are counted, and those that connect something new make the components.
 
     Vectors that are null, empty or zero, or have null or non-finite components, and rows without
