@@ -13,7 +13,6 @@ from fleetlens.llm.textbytes import lower_table, member_table, text_batches
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 300
-LANGUAGES = 1000
 UNKNOWN = "und"
 BEFORE = 0x0A  # a text is taken to follow line ends
 KNOWN_WINDOWS = 1_000_000
@@ -136,43 +135,51 @@ def fit_languages(
 ) -> Trees | None:
     """Learn a context tree for each value of ``lang_col`` from at most ``docs_per_language`` documents.
 
-    The documents are those with the smallest hash of their id, the languages the ``LANGUAGES`` most
-    frequent ones. Only they are read whole; the count of
-    what they contain is a distributed aggregate, and its rows, bounded by the sample, make
-    the trees on the driver. Rows without text, language or id are not used. ``None`` if nothing is left.
+    A document is an id with a text: rows that repeat both count once, rows that repeat an id alone are documents
+    of their own. Those with the smallest hash of id and text are taken, in every language, so none is left out.
+    Only they are counted, by a distributed aggregate, and its rows, bounded by the sample of each
+    language, make the trees on the driver. Rows without text, language or id are not used. ``None`` if nothing is left.
     """
     usable = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     ).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / F.lit(1 << 31)
-    hashed = usable.select("id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
-    # Half as many again as wanted are taken by their hash, whatever the size of the table, and then the first.
-    taken = hashed.filter(F.col("place") < F.lit(1.5 * docs_per_language) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    sample = taken.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).select("id", "lang")
+    usable = usable.select("lang", "text", F.xxhash64("id", "text").alias("place"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("place").alias("n"))
+    # Twice as many as wanted are taken by a share of the hashes, whatever the size of the table, and then the first.
+    # The share follows from the different hashes, as of a few hashes with many rows each none might be within it.
+    # Like the trees, counts and sample have rows for each language.
+    share = F.pmod("place", F.lit(1 << 31)) / F.lit(1 << 31)
+    hashed = usable.select("lang", "place").join(F.broadcast(counts), "lang")
+    taken = hashed.filter(share < F.lit(2.0 * docs_per_language) / F.col("n")).select("lang", "place").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 31)), "place"))
+    sample = taken.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).select("lang", "place")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = set()
         for rows, data, bounds in text_batches(batches, "text", 1 << 20):
             window = windows(data, bounds, order)
-            names, code = np.unique(rows.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            of_byte = np.repeat(code, np.diff(bounds))
-            for i, name in enumerate(names):
-                own = window[of_byte == i]
+            for row, key in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+                if key in counted:
+                    continue
+                counted.add(key)
+                own = window[bounds[row] : bounds[row + 1]]
                 for level in range(order + 1):
                     gram, n = np.unique(own & np.uint64((1 << 8 * (level + 1)) - 1), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([name] * len(gram), pa.string()),
+                            pa.array([key[0]] * len(gram), pa.string()),
+                            pa.array(np.full(len(gram), key[1], dtype=np.int64)),
                             pa.array(np.full(len(gram), level, dtype=np.int32)),
                             pa.array(gram.view(np.int64)),
                             pa.array(n),
                         ],
-                        names=["lang", "level", "gram", "n"],
+                        names=["lang", "place", "level", "gram", "n"],
                     )
 
-    chosen = usable.join(F.broadcast(sample), ["id", "lang"]).select("lang", "text")
-    counted = chosen.mapInArrow(count, "lang string, level int, gram long, n long")
+    chosen = usable.join(F.broadcast(sample), ["lang", "place"]).select("lang", "place", "text")
+    counted = chosen.mapInArrow(count, "lang string, place long, level int, gram long, n long")
+    # Tasks that met the same document counted the same.
+    counted = counted.groupBy("lang", "place", "level", "gram").agg(F.max("n").alias("n"))
     table = counted.groupBy("lang", "level", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         return None
@@ -233,17 +240,27 @@ def _judged(scorer: Scorer | None, data: np.ndarray, bounds: np.ndarray) -> tupl
     return np.where(letters, best, -1), np.where(letters, share, 0.0), least
 
 
-def in_known_language(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
+def in_known_language(
+    docs: DataFrame, trees: Trees | None, text_col: str = "text", margin: float | None = None
+) -> DataFrame:
     """The rows whose text is predicted to be in some language, with all their columns as they are.
 
-    That is text with a letter, whatever its code length. If nothing was learned, such text is kept as well.
+    That is text with a letter. With a ``margin``, its shortest code must also not exceed eight bits a byte, the
+    code of bytes in no language, by more than that many bits: such text is in no learned language, as
+    noise is, and short text is kept. If nothing was learned, text with a letter is kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value) if held.value is not None else None
         for rows, data, bounds in text_batches(batches, text_col):
-            kept = have_letters(data, bounds) if scorer is None else _judged(scorer, data, bounds)[0] >= 0
+            if scorer is None:
+                kept = have_letters(data, bounds)
+            else:
+                best, _, least = _judged(scorer, data, bounds)
+                kept = best >= 0
+                if margin is not None:
+                    kept &= least <= 8.0 * np.diff(bounds) + margin
             yield rows.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)

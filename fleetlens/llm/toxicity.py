@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.textbytes import Rolling, lower_table, member_table, runs, text_batches
+from fleetlens.session import stored
 
 TRAINING_DOCS = 20_000
 FEATURES = 20_000
@@ -105,20 +106,26 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    max_features: int = FEATURES,
 ) -> Model:
     """Learn from the labels of at most ``training_docs`` documents, those with the smallest hash of their id.
 
-    Features are counted by a distributed aggregate; those that occur in ``LEAST_DOCS`` documents
-    and depend on the label by a chi-squared of ``LEAST_CHI2`` are kept, ``FEATURES`` at most. The driver
+    An id has one label, 1 if any of its rows has, and may have several texts: each different text of a sampled id
+    is learned once, however often it is repeated, at most ``training_docs`` of them by their hash. These texts are
+    stored, as they are read twice. Features are counted by a distributed aggregate; those that occur in
+    ``LEAST_DOCS`` documents and depend on the label by a chi-squared of ``LEAST_CHI2`` are kept, the
+    ``max_features`` most dependent at most; what is left out scores nothing. The driver
     gets those features of the sampled sentences only. Rows without id or label are not used.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    sample = (
-        known.filter("id IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(training_docs)
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(sample), "id").select("label", "text")
+    known = known.filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(training_docs)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled = texts.join(F.broadcast(sample), "id").withColumn("place", F.xxhash64("id", "text"))
+    once = stored(labelled.select("label", "place", "text").dropDuplicates(["place"]), "toxicity-sample")
+    first = once.select("place").orderBy("place").limit(training_docs)
+    chosen = once.join(F.broadcast(first), "place").select("label", "text", "place")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -159,7 +166,7 @@ def fit_toxicity(
         .withColumn("chi2", chi2)
         .filter(F.col("chi2") >= LEAST_CHI2)
         .orderBy(F.desc("chi2"), "feature")
-        .limit(FEATURES)
+        .limit(max_features)
         .toArrow()
     )
     hashes = np.sort(kept["feature"].to_numpy().view(np.uint64))
@@ -186,11 +193,13 @@ def fit_toxicity(
                     pa.array(empty, pa.int32()),
                     pa.array(parts, pa.list_(pa.int32())),
                     pa.array(lists, pa.list_(pa.int32())),
+                    rows.column(2),
                 ],
-                names=["label", "empty", "sentence", "feature"],
+                names=["label", "empty", "sentence", "feature", "place"],
             )
 
-    rows = chosen.mapInArrow(found, "label int, empty int, sentence array<int>, feature array<int>").toArrow()
+    schema = "label int, empty int, sentence array<int>, feature array<int>, place long"
+    rows = chosen.mapInArrow(found, schema).toArrow().sort_by("place")  # the same sums in each run
     label = rows["label"].to_numpy().astype(np.int64)
     empty = rows["empty"].to_numpy().astype(np.float64)
     feature, sentence, doc, at = [], [], [], 0
