@@ -21,6 +21,8 @@ from fleetlens.llm.packing import packed_documents
 from fleetlens.llm.toxicity import fit_toxicity, not_toxic
 from fleetlens.session import stored
 
+NOISE_MARGIN = 128.0  # bits by which a text's code must exceed eight bits a byte to be taken for noise
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,8 +35,11 @@ def _only(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop text in no language: null, or without a letter. Learns from the documents that are not held out."""
-    return in_known_language(docs, fit_languages(docs.filter(~held_out("doc_id", 3, 1))))
+    """Drop text in no language: null, without a letter, or longer in each learned language's code than as plain bytes.
+
+    The margin keeps text that is too short to tell. Learns from the documents that are not held out.
+    """
+    return in_known_language(docs, fit_languages(docs.filter(~held_out("doc_id", 3, 1))), margin=NOISE_MARGIN)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
