@@ -123,10 +123,10 @@ def access_request() -> Column:
     )
 
 
-def access_lines(events: DataFrame, closing: Column | None = None) -> DataFrame:
+def access_lines(events: DataFrame, closing: Column | None = None, ip: Column | None = None) -> DataFrame:
     """One log file per user."""
     return as_lines(
-        held(events, ip=event_ip()),
+        held(events, ip=event_ip() if ip is None else ip),
         F.concat(F.lit("access/"), F.col("user_id").cast("string")),
         F.col("event_id"),
         access_line(closing),
