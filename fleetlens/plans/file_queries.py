@@ -41,7 +41,8 @@ from fleetlens.sources.follow import follow_lines
 from fleetlens.sources.follow_log import follow_many
 from fleetlens.sources.lines import read_lines, stream_lines
 from fleetlens.sources.networks import cidr_table, read_cidr_json, read_cidr_text, write_cidr_table
-from fleetlens.sources.sinks import write_lines
+from fleetlens.sources.sinks import write_by_name, write_lines
+from fleetlens.sources.walk import walk_files
 
 NOW = datetime(2024, 1, 1)
 
@@ -69,13 +70,12 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_lines(table(spark, sf_dir, "events"))
 
 
-def _written_logs(spark: SparkSession, sf_dir: str) -> str:
-    """One file per log; the path that reads all of them."""
+def _written_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per log; their manifest."""
     folder = new_folder(spark, "logs")
-    rows = _event_lines(spark, sf_dir).select(F.element_at(F.split("file_path", "/"), -1).alias("log"), "seq", "value")
-    ordered = rows.repartition("log").sortWithinPartitions("log", "seq").drop("seq")
-    ordered.write.partitionBy("log").option("lineSep", "\n").text(folder)
-    return f"{folder}/log=*/part-*"
+    rows = _event_lines(spark, sf_dir).select(F.element_at(F.split("file_path", "/"), -1).alias("name"), "seq", "value")
+    write_by_name(rows, folder)
+    return walk_files(spark, [folder])
 
 
 @query("files_lines", f"{LINE_SQL} SELECT line FROM lines")

@@ -22,19 +22,21 @@ from fleetlens.operators.network import lookup_network
 from fleetlens.session import stored
 from fleetlens.sources.files import hash_files, read_index, read_manifest, write_index
 from fleetlens.sources.lines import read_lines
-from fleetlens.sources.tail import read_last_lines, read_tail
+from fleetlens.sources.tail import Paths, read_last_lines, read_tail
 
 Tail = Callable[[DataFrame], DataFrame]
 
 
 def log_lines(
-    spark: SparkSession, paths: str | Sequence[str], last_bytes: int | str | None = None, last_lines: int | None = None
+    spark: SparkSession, paths: Paths, last_bytes: int | str | None = None, last_lines: int | None = None
 ) -> DataFrame:
     """Lines for a report: whole files, or only their ends, which are then read without what is before them."""
     if last_bytes is not None:
         return read_tail(spark, paths, last_bytes)
     if last_lines is not None:
         return read_last_lines(spark, paths, last_lines)
+    if isinstance(paths, DataFrame):
+        return read_tail(spark, paths, 2**62)
     return read_lines(spark, paths)
 
 

@@ -36,6 +36,19 @@ def create_file(path: str):
     return filesystem.open_output_stream(inner)
 
 
+def move_file(path: str, target: str) -> None:
+    """Give a whole file its final name; what had that name is replaced."""
+    parsed, wanted = urlparse(path), urlparse(target)
+    if parsed.scheme in ("", "file"):
+        filesystem, inner = pafs.LocalFileSystem(), unquote(parsed.path) if parsed.scheme else path
+        final = unquote(wanted.path) if wanted.scheme else target
+    else:
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+        final = pafs.FileSystem.from_uri(target)[1]
+    filesystem.create_dir(final.rpartition("/")[0])
+    filesystem.move(inner, final)
+
+
 def _next_line_start(source, position: int, size: int) -> int:
     """The first line start at or after ``position``."""
     if position <= 0:

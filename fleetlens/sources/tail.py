@@ -16,25 +16,32 @@ from fleetlens.sources.ranges import last_lines_start, lines_between
 # A tail is read in pieces of this many bytes, one row each, so no task reads more than a piece.
 PIECE = 64 * 1024 * 1024
 _BATCH_LINES = 4096
+_BATCH_BYTES = 16 * 1024 * 1024
+# Names or patterns, which the driver lists, or the ``path`` and ``size`` of a manifest, which can hold very many files.
+Paths = str | Sequence[str] | DataFrame
 _SCHEMA = "file_path string, block_start bigint, seq bigint, file_size bigint, n_bytes bigint, value string"
 
 
 def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file_path", "block_start", "seq", "file_size", "n_bytes", "value"]
+    rows: list[tuple] = []  # of many small files at once
+    held = 0
     for batch in batches:
         for piece in batch.to_pylist():
-            rows: list[tuple] = []
             for offset, line in lines_between(piece["path"], piece["start"], piece["end"]):
                 text = line.decode("utf-8", "replace")
                 rows.append((piece["path"], piece["start"], offset, piece["length"], len(line) + 1, text))
-                if len(rows) == _BATCH_LINES:
+                held += len(line)
+                if len(rows) == _BATCH_LINES or held > _BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                    rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
 
-def _files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def _files(spark: SparkSession, paths: Paths) -> DataFrame:
+    if isinstance(paths, DataFrame):
+        return paths.select("path", F.col("size").alias("length"))
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     return files.select("path", "length")
 
@@ -50,7 +57,7 @@ def _read(spark: SparkSession, starts: DataFrame) -> DataFrame:
     return pieces.mapInArrow(_read_pieces, _SCHEMA).withColumn("value", F.rtrim("value", F.lit(TRAILING)))
 
 
-def read_tail(spark: SparkSession, paths: str | Sequence[str], amount: int | str) -> DataFrame:
+def read_tail(spark: SparkSession, paths: Paths, amount: int | str) -> DataFrame:
     """The lines that start in the last ``amount`` bytes of each file, as ``read_lines`` rows.
 
     Same rows as ``tail_bytes(read_lines(...), amount)``, but tasks seek to the tail instead of
@@ -61,7 +68,7 @@ def read_tail(spark: SparkSession, paths: str | Sequence[str], amount: int | str
     return _read(spark, _files(spark, paths).where(F.lit(n) > 0).withColumn("start", start))
 
 
-def read_last_lines(spark: SparkSession, paths: str | Sequence[str], n: int) -> DataFrame:
+def read_last_lines(spark: SparkSession, paths: Paths, n: int) -> DataFrame:
     """The last ``n`` lines of each file, as ``read_lines`` rows.
 
     Same rows as ``tail_lines(read_lines(...), n)``, but tasks look for the line ends from the end of
