@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.addresses import bound
 from fleetlens.functions.labels import container_state, short_id, short_status, verdict_class
 from fleetlens.functions.matching import held, match_groups
 from fleetlens.operators.lines import BLOCK, FILE, KEY, SEQ
@@ -155,8 +156,7 @@ def parse_ports(ports: Column) -> Column:
     """
     fields = F.regexp_replace(ports, _PORT, "$1 $2 $3 $4")
 
-    def entry(text: Column) -> Column:
-        part = F.split(text, " ", -1)
+    def entry(part: Column) -> Column:
         iface, host_port = F.get(part, F.lit(0)), F.get(part, F.lit(1))
         return F.struct(
             F.when(iface == "", "-").when(iface == ANY_ADDRESS, "*").otherwise(iface).alias("iface"),
@@ -165,8 +165,9 @@ def parse_ports(ports: Column) -> Column:
             F.get(part, F.lit(2)).alias("container_port"),
         )
 
-    entries = F.transform(F.filter(F.split(fields, ", ", -1), lambda text: text != ""), entry)
-    return F.when(ports.rlike(_PORTS), entries)
+    # Split before the entries are made, as an expression of a lambda is computed wherever it is mentioned.
+    parts = F.transform(F.filter(F.split(fields, ", ", -1), lambda text: text != ""), lambda text: F.split(text, " ", -1))
+    return F.when(ports.rlike(_PORTS), F.transform(parts, entry))
 
 
 def ports_by_interface(entries: Column) -> Column:
@@ -184,17 +185,18 @@ def ports_by_interface(entries: Column) -> Column:
             F.concat(e["host_port"], F.lit("->"), e["container_port"])
         )
 
-    groups = F.array_distinct(F.transform(entries, group_of))
-    texts = F.transform(
-        groups,
-        lambda g: F.concat(
-            g,
-            F.lit("{"),
-            F.concat_ws(",", F.transform(F.filter(entries, lambda e: group_of(e) == g), numbers)),
-            F.lit("}"),
-        ),
-    )
-    return F.concat_ws("; ", texts)
+    def grouped(named: Column) -> Column:
+        texts = F.transform(
+            F.array_distinct(named["group"]),
+            lambda g: F.concat(
+                g, F.lit("{"), F.concat_ws(",", F.filter(named, lambda e: e["group"] == g)["number"]), F.lit("}")
+            ),
+        )
+        return F.concat_ws("; ", texts)
+
+    # Group and number of an entry are made once, not for each group they are compared with.
+    named = F.transform(entries, lambda e: F.struct(group_of(e).alias("group"), numbers(e).alias("number")))
+    return bound(named, grouped)
 
 
 def with_ports(containers: DataFrame) -> tuple[DataFrame, DataFrame]:
