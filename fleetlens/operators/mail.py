@@ -81,6 +81,9 @@ _HOLDS = {
     "msg_generic": ": ",
     "sys_dovecot_1": "auth",
 }
+# Kinds tried in one step. A step is one generated method, and the JVM leaves a method of more than 8,000 bytes
+# uncompiled, which all kinds together would be.
+_STEP = 6
 UNPARSED = "unparsed"
 UNKNOWN_ADDRESS = "**UNKNOWN**"
 
@@ -129,10 +132,10 @@ def _may_match(message: Column, name: str, pattern: str) -> Column:
     return reduce(Column.__and__, tests)
 
 
-def _packed(message: Column) -> Column:
+def _packed(message: Column, kinds: Sequence[tuple[str, ...]]) -> Column:
     """The fields of the first kind that a message matches, as one text; null if it matches none."""
     cases = F
-    for name, pattern, address, msgid, content, severity in MAIL_KINDS:
+    for name, pattern, address, msgid, content, severity in kinds:
         reason = "$3" if name == "conn_prewarn" else ""  # shown in brackets, if there is one
         may = _may_match(message, name, pattern)
         if name in _BACKWARDS:
@@ -157,7 +160,11 @@ def classify_mail(records: DataFrame) -> DataFrame:
     Most messages meet the pattern of their own kind only, as literal texts tell the kinds apart
     first. The address of ``msg_generic`` rows is left null for :func:`enrich_msgid`.
     """
-    rows = held(records, p=F.split(_packed(F.col("message")), SEPARATOR, -1))
+    steps = [_packed(F.col("message"), MAIL_KINDS[i : i + _STEP]) for i in range(0, len(MAIL_KINDS), _STEP)]
+    rows = held(records, p=steps[0])
+    for step in steps[1:]:
+        rows = held(rows, p=F.coalesce("p", step))
+    rows = held(rows, p=F.split("p", SEPARATOR, -1))
     found = F.col("p").isNotNull()
     name, address, msgid, content, severity, reason = (F.get("p", F.lit(i)) for i in range(6))
     return rows.select(

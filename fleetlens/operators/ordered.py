@@ -88,14 +88,16 @@ def previous_value(
     value: Column,
     out: str,
     initial: DataFrame | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """``value`` of the preceding row of the group; null on the first row.
 
     ``value`` is of a fixed-width type, so that blocks are summed up by hash, and never null. Where
     only equality counts, give a hash of a text. ``initial`` has the group columns and ``v``, the value
-    before the first row of a group. It joins the block summary, not the rows.
+    before the first row of a group. It joins the block summary, not the rows. ``summary`` are the same rows where they
+    cost less to read, for the block summary.
     """
-    edges = df.groupBy(*group, *block).agg(F.max_by(value, F.col(seq)).alias("_edge"))
+    edges = (df if summary is None else summary).groupBy(*group, *block).agg(F.max_by(value, F.col(seq)).alias("_edge"))
     whole = Window.partitionBy(*group).orderBy(*block)
     edges = edges.select(*group, *block, F.lag("_edge").over(whole).alias("_edge"))
     if initial is not None:
@@ -109,6 +111,27 @@ def previous_value(
     )
 
 
+def _carried_in(
+    rows: DataFrame, group: Sequence[str], block: Sequence[str], seq: str, value: Column, initial: DataFrame | None = None
+) -> DataFrame:
+    """``_edge``, the latest non-null ``value`` before a block, of each (group, block) that has one."""
+    places = rows.groupBy(*group, *block).agg(F.max(F.when(value.isNotNull(), F.col(seq))).alias("_at"))
+    earlier = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    from_block = [f"_from_{c}" for c in block]
+    place = F.when(F.col("_at").isNotNull(), F.struct(*[F.col(c).alias(f) for c, f in zip(block, from_block)], "_at"))
+    places = places.select(*group, *block, F.last(place, ignorenulls=True).over(earlier).alias("_place"))
+    values = rows.where(value.isNotNull()).select(
+        *group, *[F.col(c).alias(f) for c, f in zip(block, from_block)], F.col(seq).alias("_at"), value.alias("_edge")
+    )
+    placed = places.where(F.col("_place").isNotNull()).select(*group, *block, "_place.*")
+    edges = placed.join(values, [*group, *from_block, "_at"]).select(*group, *block, "_edge")
+    if initial is None:
+        return edges
+    first = places.where(F.col("_place").isNull()).select(*group, *block)
+    before = initial.select(*group, F.col("v").alias("_edge"))
+    return edges.unionByName(first.join(before, [*group]).select(*group, *block, "_edge"))
+
+
 def carry_last(
     df: DataFrame,
     group: Sequence[str],
@@ -124,20 +147,7 @@ def carry_last(
     fetched from the rows at those places. Nothing is carried from one block to another by rows
     outside ``within``.
     """
-    rows = df if within is None else df.where(within)
-    places = rows.groupBy(*group, *block).agg(F.max(F.when(value.isNotNull(), F.col(seq))).alias("_at"))
-    earlier = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    from_block = [f"_from_{c}" for c in block]
-    place = F.when(F.col("_at").isNotNull(), F.struct(*[F.col(c).alias(f) for c, f in zip(block, from_block)], "_at"))
-    edges = (
-        places.select(*group, *block, F.last(place, ignorenulls=True).over(earlier).alias("_place"))
-        .where(F.col("_place").isNotNull())
-        .select(*group, *block, "_place.*")
-    )
-    values = rows.where(value.isNotNull()).select(
-        *group, *[F.col(c).alias(f) for c, f in zip(block, from_block)], F.col(seq).alias("_at"), value.alias("_edge")
-    )
-    edges = edges.join(values, [*group, *from_block, "_at"]).select(*group, *block, "_edge")
+    edges = _carried_in(df if within is None else df.where(within), group, block, seq, value)
     inside = (
         Window.partitionBy(*group, *block)
         .orderBy(seq)
@@ -149,6 +159,36 @@ def carry_last(
     )
 
 
+def carry_last_by_block(
+    df: DataFrame,
+    group: Sequence[str],
+    block: Sequence[str],
+    seq: str,
+    value: Column,
+    out: str,
+    within: Column | None = None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`carry_last` for rows that later steps take by block, shuffled by block alone.
+
+    What is carried into a block comes as rows before its own, not by a join on group and block, so a window
+    over the block needs no further shuffle. ``initial`` has the group columns and ``v``, the value
+    before the first row of a group.
+    """
+    edges = _carried_in(df if within is None else df.where(within), group, block, seq, value, initial)
+    own = df.select(*df.columns, value.alias("_value"), F.lit(True).alias("_own"))
+    carried_in = edges.select(*group, *block, F.col("_edge").alias("_value"), F.lit(False).alias("_own"))
+    rows = own.unionByName(carried_in, allowMissingColumns=True).repartition(*block)
+    # Sorted by the group first: its columns tell rows apart sooner than those of the block.
+    inside = (
+        Window.partitionBy(*group, *block)
+        .orderBy("_own", seq)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    carried = rows.withColumn(out, F.last("_value", ignorenulls=True).over(inside))
+    return carried.where("_own").select(*df.columns, out)
+
+
 def first_in_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, salt: Column, spread: int = SPREAD
 ) -> DataFrame:

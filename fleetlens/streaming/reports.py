@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.errors import flag_noise, parse_error
 from fleetlens.operators.lines import BLOCK, FILE, SEQ, route_lines
 from fleetlens.operators.mail import UNKNOWN_ADDRESS, classify_mail, drop_statistics, parse_syslog
-from fleetlens.operators.ordered import carry_last
+from fleetlens.operators.ordered import carry_last_by_block
 from fleetlens.session import shared_folder
 from fleetlens.streaming.sections import KEPT_BATCHES, forget, section_marker
 
@@ -54,28 +54,27 @@ def mail_reports(
     def enrich(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state_folder = folder or f"{shared_folder(spark)}/sessions/{name}"
-        rows = batch.persist()  # read for the summary, the rows and the state
+        rows = batch.persist()  # read for the summaries, the rows and the state
+        rows.count()  # stages that run side by side on several executors would each parse what is not cached yet
         client = F.when(F.col("kind") == "msg_start", F.col("ipaddr"))
         named = F.col("msgid") != ""
-        carried = carry_last(rows, keys, [*FILE, *BLOCK], SEQ, client, "_client", named)
         clients = rows.where(named).groupBy(*keys).agg(
             F.max_by("ipaddr", F.when(F.col("kind") == "msg_start", F.struct(*FILE, *BLOCK, SEQ))).alias("client")
         )
         clients = clients.withColumn("seen", F.current_timestamp())
+        earlier = None
         if batch_id > 0:
             schema = ", ".join([*(f"`{k}` string" for k in keys), "client string", "seen timestamp"])
             before = spark.read.schema(schema).parquet(f"{state_folder}/after={batch_id - 1}")
-            earlier = before.select(*keys, F.col("client").alias("_before"))
-            carried = carried.join(earlier, keys, "left")
-            known = F.coalesce("ipaddr", "_client", "_before", F.lit(UNKNOWN_ADDRESS))
+            earlier = before.select(*keys, F.col("client").alias("v"))
             fresh = before.where(F.col("seen") >= F.current_timestamp() - F.expr(f"INTERVAL {forget_after}"))
             kept = fresh.withColumnsRenamed({"client": "_old", "seen": "_seen"})
             clients = clients.join(kept, keys, "full").select(
                 *keys, F.coalesce("client", "_old").alias("client"), F.coalesce("seen", "_seen").alias("seen")
             )
-        else:
-            known = F.coalesce("ipaddr", "_client", F.lit(UNKNOWN_ADDRESS))
-        mark(carried.withColumn("ipaddr", known).select(*batch.columns), batch_id)
+        carried = carry_last_by_block(rows, keys, [*FILE, *BLOCK], SEQ, client, "_client", named, earlier)
+        known = F.coalesce("ipaddr", "_client", F.lit(UNKNOWN_ADDRESS))
+        mark(carried.withColumn("ipaddr", known).select(*batch.columns), batch_id, rows)
         clients.where(F.col("client").isNotNull()).write.mode("overwrite").parquet(f"{state_folder}/after={batch_id}")
         forget(spark, state_folder, batch_id - KEPT_BATCHES)
         rows.unpersist()

@@ -42,29 +42,32 @@ def section_marker(
     ``log`` is the column that names a log; it may span several files, whose names give their order.
     The last date of each log is one small row, written per batch below the shared folder, so a
     repeated batch reads the same state again. The state of the last two batches is kept, and a log
-    without rows for ``forget_after`` is left out of it.
+    without rows for ``forget_after`` is left out of it. A third argument of the function gives rows of the same
+    places and dates that are cached, and the batch, which then is read by ``sink`` alone, is not.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int, summary: DataFrame | None = None) -> None:
         spark = batch.sparkSession
         state_folder = folder or f"{shared_folder(spark)}/sections/{name}"
+        rows = batch.withColumn("_log", F.col(log))
         # Read three times below; losing an executor only computes its part of the batch again.
-        rows = batch.withColumn("_log", F.col(log)).persist()
+        facts = rows.persist() if summary is None else summary.withColumn("_log", F.col(log))
         block = [c for c in (*KEY[:1], *BLOCK) if c != log]
         before = _state_of(spark, state_folder, batch_id)
         initial = None if before is None else before.select(F.col("log").alias("_log"), F.col("day").alias("v"))
         day = F.xxhash64(date)  # only whether it changes counts
-        marked = previous_value(rows, ["_log"], block, SEQ, day, "_previous", initial)
+        marked = previous_value(rows, ["_log"], block, SEQ, day, "_previous", initial, facts)
         changed = F.col("_previous").isNull() | (F.col("_previous") != day)
         sink(marked.select(*batch.columns, changed.alias("new_section")), batch_id)
         order = F.struct(*block, SEQ)
-        last = rows.groupBy(F.col("_log").alias("log")).agg(F.max_by(day, order).alias("day"))
+        last = facts.groupBy(F.col("_log").alias("log")).agg(F.max_by(day, order).alias("day"))
         last = last.withColumn("seen", F.current_timestamp())
         if before is not None:
             fresh = before.where(F.col("seen") >= F.current_timestamp() - F.expr(f"INTERVAL {forget_after}"))
             last = last.unionByName(fresh.join(last.select("log"), "log", "left_anti"))
         last.write.mode("overwrite").parquet(f"{state_folder}/after={batch_id}")
         forget(spark, state_folder, batch_id - KEPT_BATCHES)
-        rows.unpersist()
+        if summary is None:
+            rows.unpersist()
 
     return run
